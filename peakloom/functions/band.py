@@ -51,12 +51,14 @@ def with_neighbours(
     item: Column,
     name: str = "near",
     spread: int = 4,
+    keep_chunk: bool = False,
 ) -> DataFrame:
     """Add the array of ``item`` of all points of the key at ``at + [lo, hi]`` (self included
     when the interval holds 0).
 
     Keys are cut into chunks of ``spread`` times the reach; each point also goes to the
-    chunks that see it, so one shuffle serves all rows and no pair is written out.
+    chunks that see it, so one shuffle serves all rows and no pair is written out. With
+    ``keep_chunk`` the column ``_chunk`` stays, for groupings that reuse the partitioning.
     """
     size = spread * max(abs(lo), abs(hi), 1)
     home = bucket_of(F.col(at), size)
@@ -64,6 +66,5 @@ def with_neighbours(
     last = bucket_of(F.col(at) - min(lo, 0), size)
     laid = points.select("*", F.explode(F.sequence(first, last)).alias("_chunk"))
     frame = W.partitionBy(key, "_chunk").orderBy(at).rangeBetween(lo, hi)
-    return (
-        laid.withColumn(name, F.collect_list(item).over(frame)).filter(F.col("_chunk") == home).drop("_chunk")
-    )
+    seen = laid.withColumn(name, F.collect_list(item).over(frame)).filter(F.col("_chunk") == home)
+    return seen if keep_chunk else seen.drop("_chunk")

@@ -16,7 +16,7 @@ def cut_masses(peptides: DataFrame, cols: Sequence[str], peptide: str = "peptide
     prefix = F.aggregate(
         F.col("_m"),
         F.array().cast("array<bigint>"),
-        lambda acc, m: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0)) + m)),
+        lambda acc, m: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + m)),
     )
     return (
         peptides.select(*cols, masses.alias("_m"))

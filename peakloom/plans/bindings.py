@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from peakloom.functions import mass, text
-from peakloom.operators import peptide as pep
+from peakloom.operators import peaks, peptide as pep
 
 RESIDUE_CLASS = "ACDEFGHIKLMNPQRSTVWY"
 
@@ -101,6 +101,15 @@ class Tables:
     def cuts(self) -> DataFrame:
         return pep.cut_masses(self.annotated().select("spectrum_id", "peptide"), ["spectrum_id", "peptide"])
 
+    def sums(self) -> DataFrame:
+        return self.spectra().select("spectrum_id", "charge", (F.col("pm_u") + mass.PROTON).alias("sum_u"))
+
+    def strong(self) -> DataFrame:
+        return peaks.strong_peaks(self.peak_list(), 2_000_000, 3, 5_000)
+
+    def ion_matches(self) -> DataFrame:
+        return peaks.match_ions(self.expected(), self.peak_list(), ION_TOL)
+
     def expected(self, ions: list[str] | None = None) -> DataFrame:
         return pep.expected_ions(self.cuts(), ions)
 
@@ -116,7 +125,36 @@ def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(lit(x) for x in row) + ")" for row in rows)
 
 
+# Tolerances of the test bindings; wide, because the given tables are no real spectra.
+ION_TOL = 30_000
+EDGE_TOL = 10_000
+
+
+def edges_sql(doubles: bool, nodes: str = "peaks", score: str = "intensity") -> str:
+    """Best target per node and step: within half the tolerance, else within one and a half."""
+
+    def best(source: str) -> str:
+        return f"""SELECT spectrum_id, from_u, to_u, label, n_res, err_u, to_score FROM (
+            SELECT a.spectrum_id, a.mass_u AS from_u, b.mass_u AS to_u, r.label, r.n_res, b.mass_u - a.mass_u - r.mass AS err_u, b.{score} AS to_score,
+            row_number() OVER (PARTITION BY a.spectrum_id, a.mass_u, r.label ORDER BY abs(b.mass_u - a.mass_u - r.mass) > {EDGE_TOL // 2}, b.{score} DESC, b.mass_u) AS rn
+            FROM {nodes} a JOIN {nodes} b ON a.spectrum_id = b.spectrum_id AND b.mass_u - a.mass_u BETWEEN 500000 AND 3800000
+            JOIN ({source}) r ON abs(b.mass_u - a.mass_u - r.mass) <= {EDGE_TOL * 3 // 2}) WHERE rn = 1"""
+
+    one = best("SELECT residue AS label, CAST(1 AS INTEGER) AS n_res, mass FROM edge_residues")
+    if not doubles:
+        return one
+    two = best(
+        "SELECT x.residue || y.residue AS label, CAST(2 AS INTEGER) AS n_res, x.mass + y.mass AS mass FROM edge_order x JOIN edge_order y ON x.i <= y.i"
+    )
+    return f"""WITH e1 AS ({one}), e2 AS ({two}) SELECT * FROM e1 UNION ALL SELECT * FROM e2 WHERE NOT EXISTS (SELECT 1 FROM e1
+        WHERE e1.spectrum_id = e2.spectrum_id AND e1.from_u = e2.from_u AND e1.label IN (substr(e2.label, 1, 1), substr(e2.label, 2, 1))
+        AND e1.label NOT IN ('P', 'G', 'H', 'S'))"""
+
+
 VIEWS = {
+    "edge_order": "SELECT residue, CAST(mass AS BIGINT) AS mass, i FROM (VALUES "
+    + _values([(r, m, i) for i, (r, m) in enumerate(mass.EDGE_RESIDUES.items())])
+    + ") AS v(residue, mass, i)",
     "residues": "SELECT residue, CAST(mass AS BIGINT) AS mass FROM (VALUES "
     + _values(list(mass.RESIDUE_MASS.items()))
     + ") AS v(residue, mass)",
@@ -156,6 +194,26 @@ VIEWS = {
     "expected": """SELECT cuts.*, ion, orientation, ion_charge, parent, strong,
         ((CASE WHEN orientation = 'prefix' THEN cut_u ELSE total_u - cut_u END) + offset_u) // ion_charge AS expected_u
         FROM cuts CROSS JOIN ions""",
+    "sums": "SELECT spectrum_id, charge, pm_u + 10073 AS sum_u FROM spectra",
+    "peak_range": "SELECT spectrum_id, min(mass_u) AS lo_u, max(mass_u) AS hi_u, count(*) AS n_peaks FROM peaks GROUP BY 1",
+    "ion_base": f"""SELECT * FROM (SELECT e.spectrum_id, e.cut, e.ion, e.orientation, e.ion_charge, e.expected_u, p.mass_u, p.intensity,
+        row_number() OVER (PARTITION BY e.spectrum_id, e.cut, e.ion ORDER BY p.intensity*(2*{ION_TOL} - abs(p.mass_u - e.expected_u)) DESC, p.mass_u) AS rn
+        FROM expected e JOIN peaks p ON p.spectrum_id = e.spectrum_id AND p.mass_u BETWEEN e.expected_u - {ION_TOL} AND e.expected_u + {ION_TOL}
+        WHERE e.parent IS NULL) WHERE rn = 1""",
+    "ion_derived": f"""SELECT * FROM (SELECT d.spectrum_id, d.cut, d.ion, d.orientation, d.ion_charge, d.expected_u, p.mass_u, p.intensity,
+        row_number() OVER (PARTITION BY d.spectrum_id, d.cut, d.ion ORDER BY p.intensity*(2*tol_u - abs(p.mass_u - at_u)) DESC, p.mass_u) AS rn
+        FROM (SELECT e.*, e.expected_u + coalesce(b.mass_u - b.expected_u, 0) AS at_u, CASE WHEN b.mass_u IS NULL THEN {ION_TOL} ELSE {ION_TOL // 2} END AS tol_u
+          FROM expected e LEFT JOIN ion_base b ON b.spectrum_id = e.spectrum_id AND b.cut = e.cut AND b.ion = e.parent WHERE e.parent IS NOT NULL) d
+        JOIN peaks p ON p.spectrum_id = d.spectrum_id AND p.mass_u BETWEEN at_u - tol_u AND at_u + tol_u) WHERE rn = 1""",
+    "ion_won": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY spectrum_id, mass_u, ion_charge, orientation ORDER BY abs(mass_u - expected_u), ion, cut) AS claim
+        FROM (SELECT * FROM ion_base UNION ALL SELECT * FROM ion_derived)) WHERE claim = 1""",
+    "ion_matches": """SELECT e.*, w.mass_u, w.intensity, w.mass_u - e.expected_u AS err_u, CASE WHEN w.mass_u IS NOT NULL THEN 'observed'
+        WHEN e.expected_u BETWEEN lo_u AND hi_u THEN 'missing' ELSE 'not_visible' END AS status
+        FROM expected e JOIN peak_range USING (spectrum_id) LEFT JOIN ion_won w ON w.spectrum_id = e.spectrum_id AND w.cut = e.cut AND w.ion = e.ion""",
+    "single_edges": edges_sql(False),
+    "strong_set": """SELECT p.spectrum_id, p.mass_u, p.intensity FROM peaks p JOIN peaks q ON q.spectrum_id = p.spectrum_id AND q.mass_u BETWEEN p.mass_u - 1000000 AND p.mass_u + 1000000
+        GROUP BY ALL HAVING count(*) FILTER (WHERE q.intensity > p.intensity) + 1 <= 3
+        AND count(*) FILTER (WHERE abs(p.mass_u - 10033 - q.mass_u) <= 2500) = 0""",
 }
 
 

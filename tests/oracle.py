@@ -15,6 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import duckdb  # noqa: E402
 
+TIMES: dict[str, list[float]] = {}
 TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
 
 
@@ -40,14 +41,20 @@ def compare(spark, con, key: str, query, sf_dir: str) -> tuple[str, int]:
     """Returns a problem text (empty when equal) and the row count."""
     from peakloom.plans.registry import spark_callable
 
+    t0 = time.time()
     df = spark_callable(key)(spark, sf_dir)
-    got = [tuple(r) for r in df.collect()]
+    table = df.toArrow()
+    t1 = time.time()
+    TIMES[key] = [t1 - t0, 0.0]
+    got = list(zip(*[c.to_pylist() for c in table.columns])) if table.num_rows else []
     if query.sql is None:
         return "", len(got)
     res = con.execute(query.sql)
     names = [d[0] for d in res.description]
     types = [TYPES.get(str(d[1]), str(d[1])) for d in res.description]
+    t2 = time.time()
     want = res.fetchall()
+    TIMES[key][1] = time.time() - t2
     s_types = dict(df.dtypes)
     if sorted(df.columns) != sorted(names):
         return f"columns {sorted(df.columns)} vs {sorted(names)}", len(got)
@@ -91,7 +98,7 @@ def main() -> int:
             problem, n = f"{type(e).__name__}: {str(e)[:700]} {where}", -1
         failed += bool(problem)
         kind = "sql" if REGISTRY[key].sql else "rows"
-        print(f"{'FAIL' if problem else 'ok  '} {key:7s} {kind} rows={n} {time.time() - t:.1f}s {problem}", flush=True)
+        print(f"{'FAIL' if problem else 'ok  '} {key:7s} {kind} rows={n} all={time.time() - t:.1f}s spark={TIMES.get(key, [0])[0]:.1f}s {problem}", flush=True)
     print("failed:", failed, "of", len(keys))
     return failed
 
