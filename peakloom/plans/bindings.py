@@ -60,9 +60,9 @@ class Tables:
 
     def hits(self) -> DataFrame:
         return self.raw("events").select(
-            F.col("user_id").alias("protein_id"),
+            (F.col("user_id") * 2 + (F.col("event_type") == "error").cast("bigint")).alias("protein_id"),
             F.col("props").alias("peptide"),
-            F.floor("value").cast("bigint").alias("score"),
+            F.floor(F.col("value") / F.when(F.col("event_type") == "error", 2).otherwise(1)).cast("bigint").alias("score"),
             (F.col("event_type") == "error").alias("is_decoy"),
         )
 
@@ -127,7 +127,16 @@ def _values(rows: list[tuple]) -> str:
 
 # Tolerances of the test bindings; wide, because the given tables are no real spectra.
 ION_TOL = 30_000
-EDGE_TOL = 10_000
+EDGE_TOL = 5_000
+
+
+TARGET_FDR = 0.05
+
+
+def levels_sql(source: str, score: str) -> str:
+    return f"""SELECT score, n_target, n_decoy, max(d/a) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS fdr FROM (
+        SELECT *, sum(n_decoy) OVER (ORDER BY score DESC) AS d, sum(n_target + n_decoy) OVER (ORDER BY score DESC) AS a FROM (
+        SELECT {score} AS score, count(*) FILTER (WHERE NOT is_decoy) AS n_target, count(*) FILTER (WHERE is_decoy) AS n_decoy FROM {source} GROUP BY 1))"""
 
 
 def edges_sql(doubles: bool, nodes: str = "peaks", score: str = "intensity") -> str:
@@ -171,8 +180,8 @@ VIEWS = {
         CAST(l_quantity AS BIGINT) AS intensity, CAST(l_orderkey*10+l_linenumber AS BIGINT) AS pos FROM lineitem""",
     "scans": """SELECT event_id AS row_id, event_type AS generation, user_id AS file_idx,
         CAST(floor(value) AS BIGINT) AS scan, ts FROM events""",
-    "hits": """SELECT user_id AS protein_id, props AS peptide, CAST(floor(value) AS BIGINT) AS score,
-        event_type = 'error' AS is_decoy FROM events""",
+    "hits": """SELECT user_id*2 + CAST(event_type = 'error' AS BIGINT) AS protein_id, props AS peptide,
+        CAST(floor(value / CASE WHEN event_type = 'error' THEN 2 ELSE 1 END) AS BIGINT) AS score, event_type = 'error' AS is_decoy FROM events""",
     "proteins": """SELECT doc_id AS protein_id, source AS name,
         upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM documents""",
     "conversation_words": """SELECT conv_id AS set_id, length(text) AS base_score,
@@ -181,6 +190,12 @@ VIEWS = {
         FROM conversation_words WHERE length(seq) >= 8""",
     "benchmark_words": """SELECT item_id AS set_id,
         unnest(string_split(upper(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' ')) AS seq FROM benchmark""",
+    "document_words": """SELECT doc_id AS set_id,
+        unnest(string_split(upper(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' ')) AS seq FROM documents""",
+    "hit_levels": levels_sql("hits", "score"),
+    "passed": f"SELECT * FROM hits WHERE score IN (SELECT score FROM hit_levels WHERE fdr <= {TARGET_FDR})",
+    "protein_scores": """SELECT *, total - (n_peptides - 1)*35 - greatest(n_peptides - 5, 0)*3 AS adj_score FROM (SELECT protein_id, is_decoy,
+        CAST(sum(score) AS BIGINT) AS total, count(*) AS n_peptides, max(score) AS best_score FROM passed GROUP BY 1, 2)""",
     "labelled": "SELECT labels.*, n_chars, lang, source FROM labels JOIN documents USING (doc_id)",
     "quality": """SELECT l_partkey AS spectrum_id, CAST(1 + l_linenumber % 3 AS INTEGER) AS charge,
         max(CAST(round((l_tax + l_discount)*100) AS BIGINT)) AS prob FROM lineitem GROUP BY 1, 2""",

@@ -1,4 +1,4 @@
 """Imports every plan module so that the registry is complete."""
 
-from peakloom.plans import basics, peak_plans  # noqa: F401
+from peakloom.plans import basics, hit_plans, peak_plans  # noqa: F401
 from peakloom.plans.registry import REGISTRY, spark_callable  # noqa: F401
