@@ -44,7 +44,7 @@ def band_join(
 
 def with_neighbours(
     points: DataFrame,
-    key: str,
+    key: str | Sequence[str],
     at: str,
     lo: int,
     hi: int,
@@ -65,6 +65,7 @@ def with_neighbours(
     first = bucket_of(F.col(at) - max(hi, 0), size)
     last = bucket_of(F.col(at) - min(lo, 0), size)
     laid = points.select("*", F.explode(F.sequence(first, last)).alias("_chunk"))
-    frame = W.partitionBy(key, "_chunk").orderBy(at).rangeBetween(lo, hi)
+    keys = [key] if isinstance(key, str) else list(key)
+    frame = W.partitionBy(*keys, "_chunk").orderBy(at).rangeBetween(lo, hi)
     seen = laid.withColumn(name, F.collect_list(item).over(frame)).filter(F.col("_chunk") == home)
     return seen if keep_chunk else seen.drop("_chunk")

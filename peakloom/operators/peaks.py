@@ -373,9 +373,10 @@ def sessionize(df: DataFrame, keys: Sequence[str], at: str, gap: int, chunk: int
     """Adds ``run``: a new run starts where the step from the previous point exceeds ``gap``."""
     prev = previous_row(df, keys, F.floor(F.col(at) / chunk), F.col(at), {"_prev_at": F.col(at)})
     start = F.when(F.col("_prev_at").isNull() | (F.col(at) - F.col("_prev_at") > gap), 1).otherwise(0).cast("bigint")
-    return running_sums(prev.withColumn("_start", start), keys, F.floor(F.col(at) / chunk), [F.col(at)], {"run": F.col("_start")}).drop(
-        "_prev_at", "_start"
-    )
+    # the starting row goes first among equal positions
+    order = [F.col(at), F.col("_start").desc()]
+    flagged = prev.withColumn("_start", start)
+    return running_sums(flagged, keys, F.floor(F.col(at) / chunk), order, {"run": F.col("_start")}).drop("_prev_at", "_start")
 
 
 def join_adjacent(peaks: DataFrame, tol: int) -> DataFrame:

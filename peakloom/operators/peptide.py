@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from peakloom.functions import mass
+from peakloom.functions import mass, text
 
 
 def cut_masses(peptides: DataFrame, cols: Sequence[str], peptide: str = "peptide") -> DataFrame:
@@ -38,3 +38,414 @@ def expected_ions(cuts: DataFrame, ions: list[str] | None = None) -> DataFrame:
         F.col("i.strong").alias("strong"),
         F.floor((part + F.col("i.offset_u")) / F.col("i.ion_charge")).cast("bigint").alias("expected_u"),
     )
+
+
+# --- tokens, masses and modifications -----------------------------------------
+
+TOKEN = r"[A-Z](?:[+-][0-9]+)?"
+
+
+def tokenize_peptide(df: DataFrame, col: str = "peptide") -> DataFrame:
+    """Residue tokens with position; a leading ``[mass]`` is the N-terminal gap.
+
+    ``valid`` is false when anything else remains in the text.
+    """
+    body = F.regexp_replace(col, r"^\[[0-9]+\]", "")
+    return df.select(
+        "*",
+        F.regexp_extract(col, r"^\[([0-9]+)\]", 1).alias("gap_text"),
+        (F.regexp_replace(body, TOKEN, "") == "").alias("valid"),
+        F.posexplode_outer(F.regexp_extract_all(body, F.lit(f"({TOKEN})"), 1)).alias("pos", "token"),
+    )
+
+
+def parse_modifications(spec: str) -> dict[str, tuple[str, int, bool]]:
+    """``C+57:M+16`` -> symbol -> (residue, shift in Da, fixed). ``C=57`` style marks a fixed change."""
+    out = {}
+    for part in filter(None, spec.split(":")):
+        fixed = "=" in part
+        residue, shift = part[0], int(part[1:].replace("=", ""))
+        out[residue + f"{shift:+d}"] = (residue, shift, fixed)
+    return out
+
+
+def token_mass(token: Column, spec: str) -> Column:
+    """Mass of a residue token under a modification list; NULL when the token is not allowed.
+
+    A fixed modification changes its base residue; an optional one adds a symbol.
+    """
+    masses = dict(mass.RESIDUE_MASS)
+    mods = parse_modifications(spec)
+    for residue, shift, fixed in mods.values():
+        if fixed:
+            masses[residue] += shift * mass.UNIT
+    for symbol, (residue, shift, fixed) in mods.items():
+        if not fixed:
+            masses[symbol] = masses[residue] + shift * mass.UNIT
+    return mass.residue_map(masses)[token]
+
+
+def modified_masses(df: DataFrame, spec: str, col: str = "peptide") -> DataFrame:
+    tokens = F.regexp_extract_all(F.regexp_replace(col, r"^\[[0-9]+\]", ""), F.lit(f"({TOKEN})"), 1)
+    return df.withColumn(
+        "mass_u", F.aggregate(tokens, F.lit(0).cast("bigint"), lambda acc, t: acc + token_mass(t, spec))
+    )
+
+
+def strip_modifications(col: Column) -> Column:
+    return F.regexp_replace(col, r"[+-][0-9]+", "")
+
+
+def count_letters(seq: Column, chars: str) -> Column:
+    return F.length(seq) - F.length(F.regexp_replace(seq, f"[{chars}]", ""))
+
+
+def proton_mobility(seq: Column, charge: Column) -> Column:
+    """mobile when fewer basic residues than protons; fixed when arginines hold them all; else partial."""
+    return (
+        F.when(count_letters(seq, "RHK") < charge, "mobile")
+        .when(count_letters(seq, "R") >= charge, "non_mobile")
+        .otherwise("partial")
+    )
+
+
+def prefix_mass_array(seq: Column) -> Column:
+    """Masses after each residue of a peptide-sized sequence."""
+    table = mass.residue_map()
+    return F.aggregate(
+        F.split(seq, ""),
+        F.array().cast("array<bigint>"),
+        lambda acc, r: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + table[r])),
+    )
+
+
+def is_correct(path: Column, n_mass: Column, peptide: Column, tol: int = 6 * mass.UNIT) -> Column:
+    """The path occurs in the peptide up to I/L and K/Q, and its start mass fits a cut."""
+    same = lambda c: F.translate(c, "IK", "LQ")
+    at = F.instr(same(peptide), same(path))
+    near = F.exists(prefix_mass_array(peptide), lambda m: F.abs(m - n_mass) < tol)
+    return (at > 0) & (((n_mass == 0) & (at == 1)) | near)
+
+
+def correct_residues(path: Column, n_mass: Column, peptide: Column, tol: int = mass.UNIT) -> Column:
+    """Residues of the path found in the peptide at the same mass position, up to I/L."""
+    same = lambda c: F.translate(c, "I", "L")
+
+    def placed(seq: Column, start: Column) -> Column:
+        ends = prefix_mass_array(seq)
+        return F.transform(
+            ends, lambda m, i: F.struct((m + start).alias("m"), F.substring(same(seq), i + 1, F.lit(1)).alias("r"))
+        )
+
+    truth = placed(peptide, F.lit(0))
+    return F.size(
+        F.filter(
+            placed(path, n_mass),
+            lambda x: F.exists(truth, lambda y: (y["r"] == x["r"]) & (F.abs(y["m"] - x["m"]) < tol)),
+        )
+    )
+
+
+def _char(seq: Column, i: Column) -> Column:
+    return F.substring(seq, i, F.lit(1))
+
+
+def weighted_edit_distance(a: Column, b: Column) -> Column:
+    """Edit distance with cheap swaps: I/L, K/Q and F/m cost nothing, N/D one half.
+
+    ``m`` stands for oxidised methionine. One row of the table is carried per letter of ``a``.
+    """
+    norm = lambda c: F.translate(c, "IKm", "LQF")
+    x, y = norm(a), norm(b)
+    half = lambda p, q: ((p == "N") & (q == "D")) | ((p == "D") & (q == "N"))
+    first = F.transform(F.sequence(F.lit(0), F.length(y)), lambda j: j.cast("double"))
+
+    def next_row(row: Column, i: Column) -> Column:
+        p = _char(x, i)
+
+        def cell(acc: Column, j: Column) -> Column:
+            q = _char(y, j)
+            swap = F.when(p == q, 0.0).when(half(p, q), 0.5).otherwise(1.0)
+            best = F.least(F.element_at(acc, -1) + 1.0, F.element_at(row, j + 1) + 1.0, F.element_at(row, j) + swap)
+            return F.concat(acc, F.array(best))
+
+        return F.aggregate(F.sequence(F.lit(1), F.length(y)), F.array(F.element_at(row, 1) + 1.0), cell)
+
+    table = F.aggregate(F.sequence(F.lit(1), F.length(x)), first, next_row)
+    return F.when((F.length(x) > 0) & (F.length(y) > 0), F.element_at(table, -1)).otherwise(
+        F.greatest(F.length(x), F.length(y)).cast("double")
+    )
+
+
+def edit_distance_pairs(queries: DataFrame, database: DataFrame, max_len_diff: int = 4, gram: int = 4) -> DataFrame:
+    """Distances of (query, database) sequences that share a normalised gram and are close in length.
+
+    ``queries``: query; ``database``: target. Pairs meet on a shared gram, never on length alone.
+    """
+    norm = lambda c: F.translate(c, "IK", "LQ")
+    grams = lambda c: F.array_distinct(F.regexp_extract_all(norm(c), F.lit(f"(?=(.{{{gram}}}))"), 1))
+    q = queries.select("query").distinct().select("query", F.explode(grams(F.col("query"))).alias("gram"))
+    d = database.select("target").distinct().select("target", F.explode(grams(F.col("target"))).alias("gram"))
+    pairs = (
+        q.join(d, "gram")
+        .filter(F.abs(F.length("query") - F.length("target")) <= max_len_diff)
+        .select("query", "target")
+        .distinct()
+    )
+    return pairs.withColumn("distance", weighted_edit_distance(F.col("query"), F.col("target")))
+
+
+# Residue groups by side chain; a composition category is the group text of a short run.
+RESIDUE_GROUPS = ("AVLIMC", "FWY", "STNQ", "KRH", "DE", "GP")
+
+
+def residue_group(seq: Column) -> Column:
+    out = seq
+    src = "".join(RESIDUE_GROUPS)
+    dst = "".join(str(i) * len(g) for i, g in enumerate(RESIDUE_GROUPS))
+    return F.translate(out, src, dst)
+
+
+def composition_categories(df: DataFrame, col: str = "peptide", max_len: int = 3) -> DataFrame:
+    """Counts of 1..max_len runs by residue group at the start, in the middle and at the end."""
+    groups = residue_group(F.col(col))
+    n = F.length(col)
+    rows = []
+    for k in range(1, max_len + 1):
+        runs = F.regexp_extract_all(groups, F.lit(f"(?=(.{{{k}}}))"), 1)
+        rows.append(_placed_runs(runs, n, k))
+    return (
+        df.filter(n >= max_len)
+        .select(F.inline(F.concat(*rows)))
+        .groupBy("place", "n_res", "category")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def _placed_runs(runs: Column, n: Column, k: int) -> Column:
+    def row(run: Column, i: Column) -> Column:
+        place = F.when(i == 0, "start").when(i == n - k, "end").otherwise("middle")
+        return F.struct(place.alias("place"), F.lit(k).alias("n_res"), run.alias("category"))
+
+    return F.transform(runs, row)
+
+
+def match_score(query: Column, peptide: Column) -> Column:
+    """Best ungapped overlap: +1 equal (I = L), Z against Q/K +0.5, else -0.5; X is free when
+    the query leads."""
+
+    def pair(m: Column, p: Column, lead: bool) -> Column:
+        il = m.isin("I", "L") & p.isin("I", "L")
+        expr = F.when((m == p) | il, 1.0).when((m == "Z") & p.isin("Q", "K"), 0.5)
+        if lead:
+            expr = F.when(m == p, 1.0).when(m == "X", 0.0).when(il, 1.0).when((m == "Z") & p.isin("Q", "K"), 0.5)
+        return expr.otherwise(-0.5)
+
+    def offset(outer: Column, inner: Column, lead: bool) -> Column:
+        def total(i: Column) -> Column:
+            steps = F.least(F.length(outer) - i, F.length(inner))
+            return F.aggregate(
+                F.sequence(F.lit(1), steps),
+                F.lit(0.0),
+                lambda acc, j: acc
+                + (
+                    pair(_char(outer, i + j), _char(inner, j), True)
+                    if lead
+                    else pair(_char(inner, j), _char(outer, i + j), False)
+                ),
+            )
+
+        return F.array_max(F.transform(F.sequence(F.lit(0), F.length(outer) - 1), total))
+
+    return F.greatest(offset(query, peptide, True), offset(peptide, query, False))
+
+
+# --- k-mers and database lookups ------------------------------------------------
+
+
+def kmer_array(seq: Column, k: int) -> Column:
+    """All windows of k letters in one pass over the text."""
+    return F.regexp_extract_all(seq, F.lit(f"(?=(.{{{k}}}))"), 1)
+
+
+def kmers(proteins: DataFrame, k: int) -> DataFrame:
+    return proteins.select("protein_id", F.posexplode(kmer_array(F.col("seq"), k)).alias("pos", "kmer"))
+
+
+def tag_lookup(tags: DataFrame, proteins: DataFrame, lengths: Sequence[int]) -> DataFrame:
+    """Positions of distinct tags in the proteins: one equality join per tag length.
+
+    A position meets at most one tag of a length, so the result grows with the database.
+    """
+    parts = []
+    for k in lengths:
+        wanted = tags.filter(F.length("tag") == k).select(F.col("tag")).distinct()
+        parts.append(kmers(proteins, k).withColumnRenamed("kmer", "tag").join(wanted, "tag"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def candidates_with_mass(proteins: DataFrame, target: int, tol: int) -> DataFrame:
+    """Protein substrings whose residues weigh ``target`` +- ``tol``; one test per start.
+
+    A substring of that mass has a bounded length, so each start only needs its next few
+    letters and no state crosses rows.
+    """
+    longest = (target + tol) // min(mass.RESIDUE_MASS.values()) + 1
+    table = mass.residue_map()
+    heavy = F.lit(10**12).cast("bigint")
+    windows = F.regexp_extract_all("seq", F.lit(f"(?=(.{{1,{longest}}}))"), 1)
+    first = F.aggregate(
+        F.split("window", ""),
+        F.struct(F.lit(0).cast("bigint").alias("m"), F.lit(0).alias("n")),
+        lambda acc, r: F.when(acc["m"] >= target - tol, acc).otherwise(
+            F.struct((acc["m"] + F.coalesce(table[r], heavy)).alias("m"), (acc["n"] + 1).alias("n"))
+        ),
+    )
+    return (
+        proteins.select("protein_id", F.posexplode(windows).alias("start", "window"))
+        .select("protein_id", "start", "window", first.alias("hit"))
+        .filter(F.col("hit.m").between(target - tol, target + tol))
+        .select(
+            "protein_id",
+            "start",
+            F.substring("window", F.lit(1), F.col("hit.n")).alias("peptide"),
+            F.col("hit.m").alias("mass_u"),
+        )
+    )
+
+
+def decoy_shuffle(proteins: DataFrame, seed: int) -> DataFrame:
+    """Each protein and its shuffled decoy ``XXX_<id>``; the permutation orders letters by a seeded hash."""
+    shuffled = F.array_join(
+        F.transform(
+            F.array_sort(
+                F.transform(
+                    F.split("seq", ""),
+                    lambda c, i: F.struct(text.hash_hex(F.lit(seed), F.col("protein_id"), i).alias("h"), c.alias("c")),
+                )
+            ),
+            lambda s: s["c"],
+        ),
+        "",
+    )
+    decoys = proteins.select(
+        "protein_id", F.concat(F.lit("XXX_"), F.col("protein_id").cast("string")).alias("name"), shuffled.alias("seq")
+    )
+    return proteins.select("protein_id", "name", "seq").unionByName(decoys)
+
+
+def runs_of(seqs: DataFrame, col: str, lo: int, hi: int, name: str) -> DataFrame:
+    """All distinct substrings of ``lo``..``hi`` letters of a short sequence."""
+    arrays = [F.regexp_extract_all(col, F.lit(f"(?=(.{{{k}}}))"), 1) for k in range(lo, hi + 1)]
+    return seqs.withColumn(name, F.explode(F.array_distinct(F.flatten(F.array(*arrays)))))
+
+
+def contained_tags(tags: DataFrame, ranked: DataFrame, lo: int = 3, hi: int = 6) -> DataFrame:
+    """Per set and tag: best rank of a path that holds the tag, and the share of the top 5,
+    top 20 and all paths that do. ``ranked``: set_id, seq, rank."""
+    totals = ranked.groupBy("set_id").agg(F.count(F.lit(1)).alias("n"))
+    held = runs_of(ranked, "seq", lo, hi, "tag").join(tags.select("tag").distinct(), "tag")
+    agg = held.groupBy("set_id", "tag").agg(
+        F.min("rank").alias("first_rank"),
+        F.count_if(F.col("rank") <= 5).alias("n5"),
+        F.count_if(F.col("rank") <= 20).alias("n20"),
+        F.count(F.lit(1)).alias("n_all"),
+    )
+    return agg.join(totals, "set_id").select(
+        "set_id",
+        "tag",
+        "first_rank",
+        (F.col("n5") / F.least(F.col("n"), F.lit(5))).alias("share5"),
+        (F.col("n20") / F.least(F.col("n"), F.lit(20))).alias("share20"),
+        (F.col("n_all") / F.col("n")).alias("share_all"),
+    )
+
+
+def drop_covered(tags: DataFrame, key: str, min_len: int = 3, max_len: int = 12) -> DataFrame:
+    """Drop a tag that contains a shorter tag of its set.
+
+    A dropped shorter tag itself contains an accepted one, so the test needs no order.
+    """
+    distinct = tags.select(key, "tag").distinct()
+    inner = runs_of(distinct.withColumnRenamed("tag", "longer"), "longer", min_len, max_len, "tag").filter(
+        F.length("tag") < F.length("longer")
+    )
+    covered = inner.join(distinct, [key, "tag"], "left_semi").select(key, F.col("longer").alias("tag")).distinct()
+    return distinct.join(covered, [key, "tag"], "left_anti")
+
+
+# --- query sequence scores --------------------------------------------------------
+
+# Probabilities that a residue call is right, used in the expected score.
+SINGLE_RISK = {"R": 0.80, "N": 0.96, "Q": 0.96, "W": 0.70}
+DOUBLE_RISK = {"GV": 0.85, "VS": 0.95, "SV": 0.95, "DA": 0.90, "AD": 0.95, "AG": 0.96}
+OXIDISED_FOR_F = 0.9
+K_FIRST, K_MIDDLE, K_LAST = 0.45, 0.25, 1.0
+MIN_RESIDUE_PROB = 0.275
+
+
+def expected_query_score(seq: Column, probs: Column, min_len: int = 6) -> Column:
+    """Expected match score of a query sequence from its residue probabilities.
+
+    ``m`` is oxidised methionine, ``X`` any residue, ``Z`` Q or K, ``B`` the boundary. The
+    plain sum is discounted at ambiguous residues; then the worst risky position counts.
+    """
+    n = F.length(seq)
+    chars = F.split(seq, "")
+    scale = 1.0 / (1.0 - MIN_RESIDUE_PROB)
+    half = lambda c, v: F.when(c == "X", 0.0).when(c == "Z", v * 0.5).otherwise(v)
+    mods = F.zip_with(chars, probs, lambda c, p: half(c, (p - MIN_RESIDUE_PROB) * scale))
+    head = half(F.element_at(chars, 1), F.element_at(probs, 1))
+    add = lambda a, x: a + x
+    zero = F.lit(0.0)
+    prefix = lambda i: F.when(i > 0, head + F.aggregate(F.slice(mods, F.lit(2), F.greatest(i - 1, F.lit(0))), zero, add)).otherwise(0.0)
+    suffix = lambda i: F.aggregate(F.slice(mods, i, F.greatest(n - i + 1, F.lit(0))), zero, add)
+    boundary = F.element_at(chars, 1) == "B"
+
+    def discount(c: Column, p: Column, i: Column) -> Column:
+        """0-based position i."""
+        loss = p + 1
+        k_first = boundary & (i == 1)
+        middle = (i >= F.when(boundary, 2).otherwise(0)) & (i < n - 1)
+        last = i == n - 1
+        lys = F.when(c == "K", F.when(k_first, (1 - K_FIRST) * loss).otherwise(0.0) + F.when(middle, (1 - K_MIDDLE) * loss).otherwise(0.0) + F.when(last, (1 - K_LAST) * loss).otherwise(0.0)).otherwise(0.0)
+        gln = F.when(c == "Q", F.when(k_first, K_FIRST * loss).otherwise(0.0) + F.when(middle, K_MIDDLE * loss).otherwise(0.0) + F.when(last, K_LAST * loss).otherwise(0.0)).otherwise(0.0)
+        ox = F.when(c == "m", OXIDISED_FOR_F * loss).when(c == "F", (1 - OXIDISED_FOR_F) * loss).otherwise(0.0)
+        return lys + gln + ox
+
+    places = F.transform(F.arrays_zip(chars.alias("c"), probs.alias("p")), lambda x, i: discount(x["c"], x["p"], i))
+    simple = prefix(n) - F.aggregate(places, zero, add)
+    single = F.create_map(*[F.lit(v) for kv in SINGLE_RISK.items() for v in kv])
+    double = F.create_map(*[F.lit(v) for kv in DOUBLE_RISK.items() for v in kv])
+
+    def risky(i: Column, p: Column) -> Column:
+        before, after = prefix(i) - n + i, suffix(i + 2) - i - 1
+        return p * simple + (1 - p) * F.greatest(before, after)
+
+    at1 = F.transform(F.sequence(F.lit(1), n - 2), lambda i: risky(i, single[_char(seq, i + 1)]))
+    at2 = F.transform(F.sequence(F.lit(1), n - 3), lambda i: risky(i, double[F.substring(seq, i + 1, F.lit(2))]))
+    worst = F.array_min(F.filter(F.concat(F.array(simple), at1, at2), lambda v: v.isNotNull()))
+    return F.when(n < min_len, F.lit(float("-inf"))).otherwise(worst)
+
+
+def gap_variants(df: DataFrame, seq: str, n_gap: str, max_run: int = 7, tol: int = 5_000) -> DataFrame:
+    """Boundary forms of a sequence: ``B`` plus every run of X whose residues can fill the gap."""
+    lo, hi = min(mass.RESIDUE_MASS.values()), max(mass.RESIDUE_MASS.values())
+    runs = F.filter(
+        F.sequence(F.lit(1), F.lit(max_run)), lambda g: (g * lo - tol <= F.col(n_gap)) & (F.col(n_gap) <= g * hi + tol)
+    )
+    forms = F.when(F.col(n_gap) < mass.UNIT, F.array(F.lit(0))).otherwise(runs)
+    return df.withColumn("n_x", F.explode_outer(forms)).withColumn(
+        "variant",
+        F.when(F.col("n_x").isNull(), F.col(seq)).otherwise(
+            F.concat(F.lit("B"), F.repeat(F.lit("X"), F.col("n_x")), F.col(seq))
+        ),
+    )
+
+
+def mask_weak_runs(seq: Column, probs: Column, floor: float) -> Column:
+    """Residues below a probability become X."""
+    return F.array_join(F.zip_with(F.split(seq, ""), probs, lambda c, p: F.when(p < floor, "X").otherwise(c)), "")

@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from peakloom.functions import mass, text
-from peakloom.operators import peaks, peptide as pep
+from peakloom.operators import graph, peaks, peptide as pep
 
 RESIDUE_CLASS = "ACDEFGHIKLMNPQRSTVWY"
 
@@ -101,6 +101,21 @@ class Tables:
     def cuts(self) -> DataFrame:
         return pep.cut_masses(self.annotated().select("spectrum_id", "peptide"), ["spectrum_id", "peptide"])
 
+    def solutions(self) -> DataFrame:
+        """Scored sequence solutions per spectrum."""
+        rows = (
+            self.raw("lineitem")
+            .join(self.raw("orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+            .join(self.raw("customer"), F.col("c_custkey") == F.col("o_custkey"))
+        )
+        return rows.select(
+            F.col("l_partkey").alias("spectrum_id"),
+            F.regexp_replace(F.upper(F.concat("c_mktsegment", "o_orderpriority")), f"[^{RESIDUE_CLASS}]", "").alias("seq"),
+            (F.round(F.col("l_discount") * 100) * 3000).cast("bigint").alias("n_mass_u"),
+            (F.lit(1) + F.col("l_linenumber") % 3).cast("int").alias("charge"),
+            (F.col("l_quantity") * 100 + F.round(F.col("l_tax") * 100)).cast("bigint").alias("score"),
+        )
+
     def sums(self) -> DataFrame:
         return self.spectra().select("spectrum_id", "charge", (F.col("pm_u") + mass.PROTON).alias("sum_u"))
 
@@ -110,6 +125,12 @@ class Tables:
     def ion_matches(self) -> DataFrame:
         return peaks.match_ions(self.expected(), self.peak_list(), ION_TOL)
 
+    def graph(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(nodes, members, edges) of the spectrum graph."""
+        merged, members = graph.merge_close_nodes(graph.fragment_nodes(self.strong(), self.spectra()), EDGE_TOL)
+        nodes = graph.with_terminals(merged, self.spectra())
+        return nodes, members, graph.node_edges(nodes, EDGE_TOL)
+
     def expected(self, ions: list[str] | None = None) -> DataFrame:
         return pep.expected_ions(self.cuts(), ions)
 
@@ -209,6 +230,9 @@ VIEWS = {
     "expected": """SELECT cuts.*, ion, orientation, ion_charge, parent, strong,
         ((CASE WHEN orientation = 'prefix' THEN cut_u ELSE total_u - cut_u END) + offset_u) // ion_charge AS expected_u
         FROM cuts CROSS JOIN ions""",
+    "solutions": f"""SELECT l_partkey AS spectrum_id, regexp_replace(upper(c_mktsegment || o_orderpriority), '[^{RESIDUE_CLASS}]', '', 'g') AS seq,
+        CAST(round(l_discount*100)*3000 AS BIGINT) AS n_mass_u, CAST(1 + l_linenumber % 3 AS INTEGER) AS charge, CAST(l_quantity*100 + round(l_tax*100) AS BIGINT) AS score
+        FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey""",
     "sums": "SELECT spectrum_id, charge, pm_u + 10073 AS sum_u FROM spectra",
     "peak_range": "SELECT spectrum_id, min(mass_u) AS lo_u, max(mass_u) AS hi_u, count(*) AS n_peaks FROM peaks GROUP BY 1",
     "ion_base": f"""SELECT * FROM (SELECT e.spectrum_id, e.cut, e.ion, e.orientation, e.ion_charge, e.expected_u, p.mass_u, p.intensity,
@@ -226,6 +250,17 @@ VIEWS = {
         WHEN e.expected_u BETWEEN lo_u AND hi_u THEN 'missing' ELSE 'not_visible' END AS status
         FROM expected e JOIN peak_range USING (spectrum_id) LEFT JOIN ion_won w ON w.spectrum_id = e.spectrum_id AND w.cut = e.cut AND w.ion = e.ion""",
     "single_edges": edges_sql(False),
+    "fragments": f"""SELECT s.spectrum_id, pm_u, s.mass_u AS peak_u, s.intensity, r.ion, r.factor, CASE WHEN r.ion = 'b' THEN s.mass_u - {mass.PROTON} ELSE pm_u - s.mass_u END AS node_u
+        FROM strong_set s JOIN spectra USING (spectrum_id) CROSS JOIN (VALUES ('b', 2), ('y', 1)) AS r(ion, factor)
+        WHERE (CASE WHEN r.ion = 'b' THEN s.mass_u - {mass.PROTON} ELSE pm_u - s.mass_u END) BETWEEN 30000 AND pm_u - 550000""",
+    "fragment_runs": f"""SELECT *, sum(start) OVER (PARTITION BY spectrum_id ORDER BY node_u) AS run FROM (SELECT *, CASE WHEN node_u - lag(node_u) OVER (PARTITION BY spectrum_id ORDER BY node_u) <= {EDGE_TOL}
+        THEN 0 ELSE 1 END AS start FROM fragments)""",
+    "merged_nodes": """SELECT spectrum_id, run, CAST(sum(intensity*factor*node_u)//sum(intensity*factor) AS BIGINT) AS mass_u, CAST(sum(intensity) - 25 AS BIGINT) AS score, count(*) AS n_frags
+        FROM fragment_runs GROUP BY 1, 2""",
+    "terminals": """SELECT spectrum_id, unnest([0, pm_u - 190184]) AS node_u, unnest(['n_term', 'c_term']) AS kind FROM spectra""",
+    "graph_nodes": """SELECT spectrum_id, mass_u, score, n_frags FROM merged_nodes UNION ALL SELECT spectrum_id, CAST(node_u AS BIGINT) AS mass_u, CAST(0 AS BIGINT) AS score, CAST(0 AS BIGINT) AS n_frags FROM terminals""",
+    "graph_edges": edges_sql(False, "graph_nodes", "score"),
+    "hops": f"SELECT spectrum_id, from_u, to_u, label, to_score - (abs(err_u)*10//{EDGE_TOL}) AS gain FROM graph_edges",
     "strong_set": """SELECT p.spectrum_id, p.mass_u, p.intensity FROM peaks p JOIN peaks q ON q.spectrum_id = p.spectrum_id AND q.mass_u BETWEEN p.mass_u - 1000000 AND p.mass_u + 1000000
         GROUP BY ALL HAVING count(*) FILTER (WHERE q.intensity > p.intensity) + 1 <= 3
         AND count(*) FILTER (WHERE abs(p.mass_u - 10033 - q.mass_u) <= 2500) = 0""",
