@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and use it several times in ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
 def letters(text: Column) -> Column:
     """Upper-case ASCII letters of a text, everything else removed."""
     return F.upper(F.regexp_replace(text, "[^A-Za-z]", ""))

@@ -185,7 +185,7 @@ def tags(nodes: DataFrame, edges: DataFrame, k: int, n: int, tol: int) -> DataFr
 def tag_table(nodes: DataFrame, edges: DataFrame, wanted: dict[int, int], tol: int) -> DataFrame:
     """Tags of several lengths; a longer tag that contains a listed shorter one is dropped."""
     parts = [tags(nodes, edges, k, n, tol).select(KEY, "tag", "score", "start_u", "end_u") for k, n in sorted(wanted.items())]
-    every = reduce(DataFrame.unionByName, parts)
+    every = cut_lineage(reduce(DataFrame.unionByName, parts))
     kept = drop_covered(every, KEY, min(wanted), max(wanted))
     return every.join(kept, [KEY, "tag"], "left_semi")
 

@@ -123,7 +123,7 @@ def is_correct(path: Column, n_mass: Column, peptide: Column, tol: int = 6 * mas
     """The path occurs in the peptide up to I/L and K/Q, and its start mass fits a cut."""
     same = lambda c: F.translate(c, "IK", "LQ")
     at = F.instr(same(peptide), same(path))
-    near = F.exists(prefix_mass_array(peptide), lambda m: F.abs(m - n_mass) < tol)
+    near = text.let(prefix_mass_array(peptide), lambda ms: F.exists(ms, lambda m: F.abs(m - n_mass) < tol))
     return (at > 0) & (((n_mass == 0) & (at == 1)) | near)
 
 
@@ -137,13 +137,11 @@ def correct_residues(path: Column, n_mass: Column, peptide: Column, tol: int = m
             ends, lambda m, i: F.struct((m + start).alias("m"), F.substring(same(seq), i + 1, F.lit(1)).alias("r"))
         )
 
-    truth = placed(peptide, F.lit(0))
-    return F.size(
-        F.filter(
-            placed(path, n_mass),
-            lambda x: F.exists(truth, lambda y: (y["r"] == x["r"]) & (F.abs(y["m"] - x["m"]) < tol)),
-        )
-    )
+    def count(truth: Column) -> Column:
+        hit = lambda x: F.exists(truth, lambda y: (y["r"] == x["r"]) & (F.abs(y["m"] - x["m"]) < tol))
+        return F.size(F.filter(placed(path, n_mass), hit))
+
+    return text.let(placed(peptide, F.lit(0)), count)
 
 
 def _char(seq: Column, i: Column) -> Column:

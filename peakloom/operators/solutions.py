@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from peakloom.functions.band import with_neighbours
 from peakloom.functions.ordered import row_numbers
+from peakloom.functions.text import let
 from peakloom.operators.peptide import prefix_mass_array
 
 KEY = "spectrum_id"
@@ -46,9 +47,12 @@ def single_charge_solutions(solutions: DataFrame) -> DataFrame:
 
 def shared_cut_share(seq: Column, other: Column, tol: int) -> Column:
     """Share of the cuts of ``seq`` that ``other`` also has."""
-    mine, theirs = prefix_mass_array(seq), prefix_mass_array(other)
-    common = F.filter(mine, lambda a: F.exists(theirs, lambda b: F.abs(a - b) <= tol))
-    return F.size(common) / F.size(mine)
+
+    def share(x: Column) -> Column:
+        common = F.filter(x["mine"], lambda a: F.exists(x["theirs"], lambda b: F.abs(a - b) <= tol))
+        return F.size(common) / F.size(x["mine"])
+
+    return let(F.struct(prefix_mass_array(seq).alias("mine"), prefix_mass_array(other).alias("theirs")), share)
 
 
 def recalibrate_hits(hits: DataFrame, tol: int, same_share: float = 0.8) -> DataFrame:
@@ -59,11 +63,11 @@ def recalibrate_hits(hits: DataFrame, tol: int, same_share: float = 0.8) -> Data
     ranked = row_numbers(best, [KEY], bucket, [F.col("score").desc(), F.col("seq")], "rank")
     top = ranked.filter("rank = 1").select(KEY, F.col("seq").alias("top_seq"), F.col("score").alias("top_score"))
     joined = ranked.join(top, KEY)
-    differs = shared_cut_share(F.col("seq"), F.col("top_seq"), tol) < same_share
     others = (
         joined.filter("rank > 1")
+        .withColumn("share", shared_cut_share(F.col("seq"), F.col("top_seq"), tol))
         .groupBy(KEY)
-        .agg(F.max("score").alias("second"), F.max(F.when(differs, F.col("score"))).alias("other"))
+        .agg(F.max("score").alias("second"), F.max(F.when(F.col("share") < same_share, F.col("score"))).alias("other"))
     )
     first = F.col("rank") == 1
     return joined.join(others, KEY, "left").select(

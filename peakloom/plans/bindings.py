@@ -11,6 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from peakloom.functions import mass, text
+from peakloom.session import cut_lineage
 from peakloom.operators import graph, peaks, peptide as pep
 
 RESIDUE_CLASS = "ACDEFGHIKLMNPQRSTVWY"
@@ -131,6 +132,12 @@ class Tables:
         nodes = graph.with_terminals(merged, self.spectra())
         return nodes, members, graph.node_edges(nodes, EDGE_TOL)
 
+    def stored_graph(self) -> tuple[DataFrame, DataFrame]:
+        """Nodes and edges written once to the shared folder, for jobs that hop over them repeatedly."""
+        nodes, _, _ = self.graph()
+        nodes = cut_lineage(nodes)
+        return nodes, cut_lineage(graph.node_edges(nodes, EDGE_TOL))
+
     def expected(self, ions: list[str] | None = None) -> DataFrame:
         return pep.expected_ions(self.cuts(), ions)
 

@@ -107,13 +107,14 @@ def tags_sql(k: int, n: int) -> str:
 
 @query("GR7", f"SELECT spectrum_id, tag, start_u, end_u, score, rank FROM ({tags_sql(3, 20)})")
 def gr7(t):
-    nodes, _, edges = t.graph()
+    nodes, edges = t.stored_graph()
     return gr.tags(nodes, edges, 3, 20, EDGE_TOL).select(ID, "tag", "start_u", "end_u", "score", "rank")
 
 
 @query("GR8")
 def gr8(t):
-    nodes, members, edges = t.graph()
+    _, members, _ = t.graph()
+    nodes, edges = t.stored_graph()
     paths = gr.extend_paths(nodes, edges, gr.forbidden_pairs(members, EDGE_TOL), EDGE_TOL, 6, 3)
     return paths.select(ID, "tag", F.element_at("nodes", 1).alias("start_u"), "end_u", "score", "n_res")
 
@@ -122,7 +123,7 @@ def gr8(t):
     ok AS (SELECT spectrum_id, path_id, tag, nodes, i, min(n) AS n FROM sp SEMI JOIN (SELECT spectrum_id, mass_u FROM graph_nodes WHERE n_frags >= 1 OR mass_u = 0) r ON r.spectrum_id = sp.spectrum_id AND r.mass_u = sp.nodes[sp.e + 1] GROUP BY ALL)
     SELECT spectrum_id, path_id, CAST(i AS INTEGER) AS start_pos, CAST(n AS INTEGER) AS n_res, substr(tag, i + 1, n) AS sub_tag, nodes[i + 1] AS start_u, nodes[i + n + 1] AS end_u FROM ok""")
 def gr9(t):
-    nodes, _, edges = t.graph()
+    nodes, edges = t.stored_graph()
     paths = gr.tags(nodes, edges, 4, 30, EDGE_TOL).select(ID, F.col("rank").alias("path_id"), "tag", "nodes")
     return gr.split_paths(paths, nodes.filter("n_frags >= 1 or mass_u = 0"), 2, 3)
 
@@ -130,7 +131,7 @@ def gr9(t):
 @query("GR10", f"""WITH t AS (SELECT spectrum_id, tag, score, start_u, end_u FROM ({tags_sql(3, 10)}) UNION ALL SELECT spectrum_id, tag, score, start_u, end_u FROM ({tags_sql(4, 15)})),
     c AS (SELECT DISTINCT a.spectrum_id, a.tag FROM t a JOIN t b ON a.spectrum_id = b.spectrum_id AND length(b.tag) < length(a.tag) AND contains(a.tag, b.tag)) SELECT * FROM t ANTI JOIN c USING (spectrum_id, tag)""")
 def gr10(t):
-    nodes, _, edges = t.graph()
+    nodes, edges = t.stored_graph()
     return gr.tag_table(nodes, edges, {3: 10, 4: 15}, EDGE_TOL)
 
 
@@ -145,7 +146,7 @@ def gr11(t):
     position(translate(tag, 'IK', 'LQ') IN translate(peptide, 'IK', 'LQ')) > 0 AND ((start_u = 0 AND position(translate(tag, 'IK', 'LQ') IN translate(peptide, 'IK', 'LQ')) = 1) OR len(list_filter(pms, lambda x: abs(x - start_u) < 60000)) > 0) AS correct
     FROM t JOIN spectra USING (spectrum_id) JOIN m USING (spectrum_id)""")
 def gr12(t):
-    nodes, _, edges = t.graph()
+    nodes, edges = t.stored_graph()
     return gr.solutions_report(gr.tags(nodes, edges, 3, 10, EDGE_TOL), t.spectra(), pep.is_correct)
 
 
