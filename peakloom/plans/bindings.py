@@ -117,6 +117,26 @@ class Tables:
             (F.col("l_quantity") * 100 + F.round(F.col("l_tax") * 100)).cast("bigint").alias("score"),
         )
 
+    def samples(self) -> DataFrame:
+        return self.raw("events").select(
+            F.col("event_id").alias("sample_id"),
+            F.col("user_id").alias("grp"),
+            (F.col("event_type") == "error").cast("int").alias("label"),
+            "event_type",
+            F.floor("value").cast("bigint").alias("v"),
+            F.regexp_extract("props", "([0-9]+)", 1).cast("bigint").alias("k"),
+        )
+
+    def features(self) -> DataFrame:
+        one = lambda name, value: F.struct(F.lit(name).alias("feature"), value.cast("bigint").alias("value"))
+        rows = F.array(
+            one("value", F.col("v")), one("k", F.col("k")), one("high", F.col("k") >= 90), one("click", F.col("event_type") == "click")
+        )
+        return self.samples().select("sample_id", "label", F.inline(rows))
+
+    def weighted(self) -> DataFrame:
+        return self.samples().select("sample_id", "label", (F.lit(1) + F.col("v") % 5).cast("double").alias("weight"))
+
     def sums(self) -> DataFrame:
         return self.spectra().select("spectrum_id", "charge", (F.col("pm_u") + mass.PROTON).alias("sum_u"))
 
@@ -240,6 +260,11 @@ VIEWS = {
     "solutions": f"""SELECT l_partkey AS spectrum_id, regexp_replace(upper(c_mktsegment || o_orderpriority), '[^{RESIDUE_CLASS}]', '', 'g') AS seq,
         CAST(round(l_discount*100)*3000 AS BIGINT) AS n_mass_u, CAST(1 + l_linenumber % 3 AS INTEGER) AS charge, CAST(l_quantity*100 + round(l_tax*100) AS BIGINT) AS score
         FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey""",
+    "samples": """SELECT event_id AS sample_id, user_id AS grp, CAST(event_type = 'error' AS INTEGER) AS label, event_type, CAST(floor(value) AS BIGINT) AS v,
+        CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events""",
+    "features": """SELECT sample_id, label, 'value' AS feature, v AS value FROM samples UNION ALL SELECT sample_id, label, 'k' AS feature, k AS value FROM samples
+        UNION ALL SELECT sample_id, label, 'high' AS feature, CAST(k >= 90 AS BIGINT) AS value FROM samples UNION ALL SELECT sample_id, label, 'click' AS feature, CAST(event_type = 'click' AS BIGINT) AS value FROM samples""",
+    "weighted": "SELECT sample_id, label, CAST(1 + v % 5 AS DOUBLE) AS weight FROM samples",
     "sums": "SELECT spectrum_id, charge, pm_u + 10073 AS sum_u FROM spectra",
     "peak_range": "SELECT spectrum_id, min(mass_u) AS lo_u, max(mass_u) AS hi_u, count(*) AS n_peaks FROM peaks GROUP BY 1",
     "ion_base": f"""SELECT * FROM (SELECT e.spectrum_id, e.cut, e.ion, e.orientation, e.ion_charge, e.expected_u, p.mass_u, p.intensity,

@@ -10,12 +10,17 @@ from peakloom.operators.keyed import mz_bucket
 MASS_DA = lambda c: F.format_string("%.4f", c / 10_000)
 
 
-def mgf_blocks(spectra: DataFrame) -> DataFrame:
-    """One text block per spectrum. ``peaks`` is an array of (mass_u, intensity) per row."""
-    lines = F.transform(
-        F.array_sort("peaks"),
-        lambda p: F.concat(MASS_DA(p["mass_u"]), F.lit(" "), F.format_string("%.3f", p["intensity"].cast("double"))),
-    )
+def _write_blocks(lines: DataFrame, key: str, path: str) -> None:
+    """Write lines grouped by key and ordered inside it.
+
+    Rows stay rows: a block is a sorted stretch of one partition, so no block is ever held
+    in memory. ``lines``: key, part, at, value.
+    """
+    lines.repartition(key).sortWithinPartitions(key, "part", "at").select("value").write.text(path)
+
+
+def write_mgf(spectra: DataFrame, peaks: DataFrame, path: str) -> None:
+    """Block text. ``spectra``: spectrum_id, title, scan, charge, mz_u and maybe peptide."""
     head = [
         F.lit("BEGIN IONS"),
         F.concat(F.lit("TITLE="), F.col("title")),
@@ -25,11 +30,14 @@ def mgf_blocks(spectra: DataFrame) -> DataFrame:
     ]
     if "peptide" in spectra.columns:
         head.insert(2, F.concat(F.lit("SEQ="), F.col("peptide")))
-    return spectra.select(F.concat_ws("\n", *head, lines, F.lit("END IONS\n")).alias("value"))
-
-
-def write_mgf(spectra: DataFrame, path: str) -> None:
-    mgf_blocks(spectra).write.text(path)
+    zero = F.lit(0).cast("bigint").alias("at")
+    first = spectra.select("spectrum_id", F.lit(0).alias("part"), zero, F.concat_ws("\n", *head).alias("value"))
+    last = spectra.select("spectrum_id", F.lit(2).alias("part"), zero, F.lit("END IONS\n").alias("value"))
+    value = F.concat(MASS_DA(F.col("mass_u")), F.lit(" "), F.format_string("%.3f", F.col("intensity").cast("double")))
+    body = peaks.join(spectra.select("spectrum_id"), "spectrum_id", "left_semi").select(
+        "spectrum_id", F.lit(1).alias("part"), F.col("mass_u").alias("at"), value.alias("value")
+    )
+    _write_blocks(first.unionByName(body).unionByName(last), "spectrum_id", path)
 
 
 def write_mz_buckets(spectra: DataFrame, path: str, width: int, max_mz: int, min_peaks: int = 5) -> None:
