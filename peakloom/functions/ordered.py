@@ -16,6 +16,15 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 BUCKET = "_bucket"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Even out a file scan that has fewer splits than cores before work that is heavy per byte.
+
+    A large table has many splits and passes through without a shuffle. Only for plain scans.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def running_sums(
     df: DataFrame,
     keys: Sequence[str],

@@ -78,16 +78,18 @@ def decoy_ratio(hits: DataFrame, min_ratio: float = 0.125) -> DataFrame:
     )
 
 
-def protein_groups(proteins: DataFrame, peptides: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def protein_groups(proteins: DataFrame, peptides: DataFrame, max_rounds: int = 10_000, hot: int = 256) -> DataFrame:
     """Group proteins around founders, best adjusted score first.
 
     A protein joins when a better founder holds at least half of its peptides, else it
-    founds a group; only founders register peptides. Two facts make this a data-parallel
-    loop. A protein surely founds when more than half of its peptides have no better open
-    protein (so no open one can hold half). A protein surely joins once one founder holds
-    half. The best open protein always settles, so the loop ends; each round settles all
-    sure cases at once. Joiners go to the founder sharing most peptides, the best one on
-    ties.
+    founds a group; only founders register peptides. This runs as a data-parallel loop that
+    settles all sure cases at once. A protein surely founds when no better open protein can
+    hold half of its peptides: either it is itself the best open holder of more than half,
+    or its largest overlap on peptides with at most ``hot`` holders plus the number of its
+    hotter peptides stays under half. Overlaps are thus counted only on bounded peptide
+    groups, and hot peptides enter as a bound. A protein surely joins once a founder holds
+    half. The best open protein always settles, so the loop ends. Joiners go to the founder
+    sharing most peptides, the best one on ties.
 
     ``proteins``: protein_id, adj_score. ``peptides``: protein_id, peptide.
     """
@@ -95,46 +97,59 @@ def protein_groups(proteins: DataFrame, peptides: DataFrame, max_rounds: int = 1
     sizes = links.groupBy("protein_id").agg(F.count(F.lit(1)).alias("n"))
     rank = F.struct((-F.col("adj_score")).alias("neg"), F.col("protein_id").alias("id"))
     ranked = proteins.join(sizes, "protein_id").select("protein_id", "adj_score", "n", rank.alias("rank"))
-    open_links = cut_lineage(links.join(ranked, "protein_id"))
-    founders: DataFrame | None = None
-    shared: DataFrame | None = None
+    all_links = cut_lineage(links.join(ranked, "protein_id"))
+    open_links = all_links
+    founders = None
     for _ in range(max_rounds):
-        if open_links.isEmpty():
-            break
-        first = open_links.groupBy("peptide").agg(F.min("rank").alias("first"))
-        settled = (
-            open_links.join(first, "peptide")
-            .groupBy("protein_id", "adj_score", "n", "rank")
-            .agg(F.count_if(F.col("rank") == F.col("first")).alias("own"))
-            .filter(F.col("own") * 2 > F.col("n"))
+        held = open_links.groupBy("peptide").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("holders"))
+        marked = open_links.join(held, "peptide")
+        own = marked.groupBy("protein_id", "n", "rank").agg(
+            F.count_if(F.col("rank") == F.col("first")).alias("own"), F.count_if(F.col("holders") > hot).alias("n_hot")
+        )
+        cold = marked.filter(F.col("holders") <= hot)
+        better = cold.select("peptide", F.col("rank").alias("better_rank"))
+        most = (
+            cold.select("peptide", "protein_id", "rank")
+            .join(better, "peptide")
+            .filter(F.col("better_rank") < F.col("rank"))
+            .groupBy("protein_id", "better_rank")
+            .agg(F.count(F.lit(1)).alias("c"))
+            .groupBy("protein_id")
+            .agg(F.max("c").alias("most"))
         )
-        new_links = cut_lineage(
-            open_links.join(settled.select("protein_id"), "protein_id", "left_semi").select(
-                F.col("protein_id").alias("founder"), F.col("rank").alias("founder_rank"), "peptide"
-            )
+        sure = (F.col("own") * 2 > F.col("n")) | ((F.coalesce("most", F.lit(0)) + F.col("n_hot")) * 2 < F.col("n"))
+        settled = cut_lineage(
+            own.join(most, "protein_id", "left").filter(sure).select("protein_id", F.col("rank").alias("founder_rank"))
         )
-        rest = open_links.join(new_links.select(F.col("founder").alias("protein_id")).distinct(), "protein_id", "left_anti")
-        overlap = cut_lineage(
+        if settled.isEmpty():
+            break
+        founders = settled if founders is None else founders.unionByName(settled)
+        new_links = open_links.join(settled, "protein_id").select("founder_rank", "peptide")
+        rest = open_links.join(settled.select("protein_id"), "protein_id", "left_anti")
+        joined = (
             rest.join(new_links, "peptide")
             .filter(F.col("founder_rank") < F.col("rank"))
-            .groupBy("protein_id", "adj_score", "n", "founder", "founder_rank")
+            .groupBy("protein_id", "n", "founder_rank")
             .agg(F.count(F.lit(1)).alias("shared"))
+            .filter(F.col("shared") * 2 >= F.col("n"))
+            .select("protein_id")
         )
-        joined = overlap.filter(F.col("shared") * 2 >= F.col("n")).select("protein_id").distinct()
         open_links = cut_lineage(rest.join(joined, "protein_id", "left_anti"))
-        founders = new_links if founders is None else founders.unionByName(new_links)
-        shared = overlap if shared is None else shared.unionByName(overlap)
     if founders is None:
         return ranked.select("protein_id", F.col("protein_id").alias("group_id"), F.lit(True).alias("is_founder")).limit(0)
-    heads = founders.select("founder").distinct()
-    best = F.max(F.struct("shared", (-F.col("founder_rank.neg")).alias("s"), (-F.col("founder")).alias("f"))).alias("b")
+    own = founders.select("protein_id", F.col("protein_id").alias("group_id"), F.lit(True).alias("is_founder"))
+    registered = all_links.join(founders, "protein_id").select("founder_rank", "peptide")
+    best = F.max(F.struct("shared", (-F.col("founder_rank.neg")).alias("s"), (-F.col("founder_rank.id")).alias("f"))).alias("b")
     members = (
-        shared.join(heads.select(F.col("founder").alias("protein_id")), "protein_id", "left_anti")
+        all_links.join(founders.select("protein_id"), "protein_id", "left_anti")
+        .join(registered, "peptide")
+        .filter(F.col("founder_rank") < F.col("rank"))
+        .groupBy("protein_id", "founder_rank")
+        .agg(F.count(F.lit(1)).alias("shared"))
         .groupBy("protein_id")
         .agg(best)
         .select("protein_id", (-F.col("b.f")).alias("group_id"), F.lit(False).alias("is_founder"))
     )
-    own = heads.select(F.col("founder").alias("protein_id"), F.col("founder").alias("group_id"), F.lit(True).alias("is_founder"))
     return own.unionByName(members)
 
 

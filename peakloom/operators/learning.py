@@ -169,7 +169,7 @@ def additive_score(features: DataFrame, limits: DataFrame, weights: Mapping[str,
     slot = F.size(F.filter(F.coalesce("limits", F.array().cast("array<bigint>")), lambda x: F.col("value") > x))
     part = F.when(F.col("value") != 0, base).otherwise(0.0) + slot * step
     return (
-        features.join(F.broadcast(table), "feature", "left")
+        features.join(table, "feature", "left")
         .groupBy("sample_id")
         .agg((F.sum(part) - default).alias("score"))
     )
@@ -206,9 +206,8 @@ def negative_weights(rows: DataFrame, source: str, correct_share: Column, shares
     sums = w.groupBy(source).agg(F.sum("w").alias("sw"), F.count(F.lit(1)).alias("n"))
     whole = sums.agg(F.sum("n").alias("total"))
     want = F.coalesce(*[F.when(F.col(source) == s, F.lit(v)) for s, v in shares.items()], F.lit(0.0))
-    # one row per source
     factor = sums.crossJoin(F.broadcast(whole)).select(source, (want * F.col("total") / F.col("sw")).alias("factor"))
-    return w.join(F.broadcast(factor), source).withColumn("weight", F.col("w") * F.col("factor")).drop("w", "factor")
+    return w.join(factor, source).withColumn("weight", F.col("w") * F.col("factor")).drop("w", "factor")
 
 
 def path_probability_features(probs: Column) -> list[Column]:

@@ -151,10 +151,17 @@ def _char(seq: Column, i: Column) -> Column:
 def weighted_edit_distance(a: Column, b: Column) -> Column:
     """Edit distance with cheap swaps: I/L, K/Q and F/m cost nothing, N/D one half.
 
-    ``m`` stands for oxidised methionine. One row of the table is carried per letter of ``a``.
+    ``m`` stands for oxidised methionine. The plain distance with N/D at full cost and the
+    one with N/D free enclose the result; only where they differ is the weighted table
+    filled, one row per letter of ``a``.
     """
-    norm = lambda c: F.translate(c, "IKm", "LQF")
-    x, y = norm(a), norm(b)
+    x, y = F.translate(a, "IKm", "LQF"), F.translate(b, "IKm", "LQF")
+    full = F.levenshtein(x, y)
+    free = F.levenshtein(F.translate(x, "D", "N"), F.translate(y, "D", "N"))
+    return F.when(full == free, full.cast("double")).otherwise(_weighted_table(x, y))
+
+
+def _weighted_table(x: Column, y: Column) -> Column:
     half = lambda p, q: ((p == "N") & (q == "D")) | ((p == "D") & (q == "N"))
     first = F.transform(F.sequence(F.lit(0), F.length(y)), lambda j: j.cast("double"))
 
@@ -169,10 +176,7 @@ def weighted_edit_distance(a: Column, b: Column) -> Column:
 
         return F.aggregate(F.sequence(F.lit(1), F.length(y)), F.array(F.element_at(row, 1) + 1.0), cell)
 
-    table = F.aggregate(F.sequence(F.lit(1), F.length(x)), first, next_row)
-    return F.when((F.length(x) > 0) & (F.length(y) > 0), F.element_at(table, -1)).otherwise(
-        F.greatest(F.length(x), F.length(y)).cast("double")
-    )
+    return F.element_at(F.aggregate(F.sequence(F.lit(1), F.length(x)), first, next_row), -1)
 
 
 def edit_distance_pairs(queries: DataFrame, database: DataFrame, max_len_diff: int = 4, gram: int = 4) -> DataFrame:

@@ -11,6 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from peakloom.functions import mass, text
+from peakloom.functions.ordered import spread
 from peakloom.session import cut_lineage
 from peakloom.operators import graph, peaks, peptide as pep
 
@@ -68,7 +69,8 @@ class Tables:
         )
 
     def proteins(self) -> DataFrame:
-        return self.raw("documents").select(
+        docs = spread(self.raw("documents").select("doc_id", "source", "text"), "doc_id")
+        return docs.select(
             F.col("doc_id").alias("protein_id"), F.col("source").alias("name"), text.letters(F.col("text")).alias("seq")
         )
 

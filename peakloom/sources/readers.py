@@ -211,7 +211,7 @@ def read_path_list(spark: SparkSession, list_path: str, reader) -> DataFrame:
     index = spark.createDataFrame([(p.rsplit("/", 1)[-1], i) for i, p in enumerate(paths)], "file_name string, file_idx int")
     rows = reader(spark, paths)
     named = rows.withColumn("file_name", F.element_at(F.split("path", "/"), -1))
-    return named.join(F.broadcast(index), "file_name").drop("path")
+    return named.join(index, "file_name").drop("path")
 
 
 HIT_FIELDS = [
