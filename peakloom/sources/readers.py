@@ -102,7 +102,7 @@ def parse_dta(files: DataFrame, text: str = "value") -> DataFrame:
 
 
 def read_dta(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return parse_dta(files.select("value", F.col("_metadata.file_path").alias("path")))
 
 
@@ -182,7 +182,7 @@ def join_pkl(index: DataFrame, files: DataFrame, min_mz: float, max_mz: float) -
 
 def read_pkl(spark: SparkSession, index_path: str, peak_dir: str, min_mz: float = 0.0, max_mz: float = 1e9) -> DataFrame:
     index = spark.read.csv(index_path, sep="\t", header=True, schema=PKL_INDEX, enforceSchema=True)
-    files = spark.read.option("wholetext", True).text(peak_dir).select(F.col("_metadata.file_name").alias("name"), "value")
+    files = spark.read.text(peak_dir, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value")
     return join_pkl(index, files, min_mz, max_mz)
 
 
