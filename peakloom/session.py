@@ -30,14 +30,13 @@ def build_session(master: str = "local[8]", app: str = "peakloom", **conf: str)
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by the session; a local one only where none is set (tests)."""
+    context = spark.sparkContext._jsc.sc()
+    active = context.getCheckpointDir()
     configured = spark.conf.get(CHECKPOINT_KEY, None)
-    if not configured:
-        active = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if active.isDefined():
-            return active.get()
-        configured = tempfile.mkdtemp(prefix="peakloom-")
-    spark.sparkContext.setCheckpointDir(configured)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    if active.isDefined() and (not configured or configured.rstrip("/") in active.get()):
+        return active.get()
+    spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="peakloom-"))
+    return context.getCheckpointDir().get()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
