@@ -202,7 +202,7 @@ READERS = {"mgf": read_mgf, "dta": read_dta, "mzxml": read_mzxml, "fasta": read_
 def list_paths(spark: SparkSession, list_path: str) -> list[str]:
     """The paths of a list file in order; a list names files, so it is small by nature."""
     rows = spark.read.text(list_path).filter((F.trim("value") != "") & ~F.col("value").startswith("#")).select(F.trim("value").alias("p"))
-    return sorted(r["p"] for r in rows.toLocalIterator())
+    return [r["p"] for r in rows.toLocalIterator()]
 
 
 def read_path_list(spark: SparkSession, list_path: str, reader) -> DataFrame:
