@@ -2,10 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from peakloom.llm.common import table
 from peakloom.llm.exact_dedup import exact_dedup
+from peakloom.llm.line_dedup import line_dedup
+from peakloom.llm.sharding import shard_rows
+from peakloom.llm.url_filter import rules_table, url_filter
+
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"), rules_table(spark, URL_RULES))
+
+
+OP1_SQL = r"""
+WITH u AS (SELECT page_id, regexp_extract(url, '^((?s).*?)://([^/?#]*)([^?#]*)', ['a', 'host', 'path']) AS m FROM pages),
+h AS (SELECT page_id, translate(coalesce(m.host, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(m.path, '') AS path FROM u),
+r AS (SELECT *, '.' || host AS dotted FROM h),
+w AS (SELECT page_id, host, path, CASE
+  WHEN dotted LIKE '%.www.example.com' AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+  WHEN dotted LIKE '%.example.com' AND starts_with(path, '/en/') THEN 'example.com/en/'
+  WHEN dotted LIKE '%.net' AND starts_with(path, '/es/') THEN 'net/es/'
+  WHEN dotted LIKE '%.net' AND starts_with(path, '/fr/') THEN 'net/fr/'
+  WHEN dotted LIKE '%.com' AND starts_with(path, '/') THEN 'com/' END AS rule FROM r)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict FROM w
+"""
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,5 +42,26 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM t WINDOW g AS (PARTITION BY norm)
 """
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup,)}
-ORACLE_SQL = {"op2_exact_dedup": OP2_SQL}
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_rows(table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT *, CASE WHEN length(key) >= 10 THEN min(doc_id) OVER (PARTITION BY key) < doc_id ELSE false END AS gone FROM k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM f GROUP BY doc_id
+"""
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op5_sharding, op8_line_dedup)}
+ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op8_line_dedup": OP8_SQL}
