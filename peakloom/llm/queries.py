@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from peakloom.llm.bpe import encode_documents
 from peakloom.llm.common import table
 from peakloom.llm.exact_dedup import exact_dedup
 from peakloom.llm.line_dedup import line_dedup
 from peakloom.llm.sharding import shard_rows
+from peakloom.llm.simhash import simhash_groups
 from peakloom.llm.url_filter import rules_table, url_filter
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), rules_table(spark, URL_RULES))
@@ -43,10 +48,18 @@ FROM t WINDOW g AS (PARTITION BY norm)
 """
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents")).drop("row", "keep_row")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), VOCABULARY, ["n_tokens", "ids_sha256", "decoded_sha256"])
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -63,5 +76,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM f GROUP BY doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op5_sharding, op8_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op4_simhash, op5_sharding, op7_bpe, op8_line_dedup)}
 ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op8_line_dedup": OP8_SQL}
