@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from peakloom.llm.bpe import encode_documents
 from peakloom.llm.common import table
+from peakloom.llm.decontamination import contamination
 from peakloom.llm.exact_dedup import exact_dedup
 from peakloom.llm.line_dedup import line_dedup
+from peakloom.llm.pii import pseudonymise
+from peakloom.llm.quality import fit, score_documents
 from peakloom.llm.sharding import shard_rows
 from peakloom.llm.simhash import simhash_groups
 from peakloom.llm.url_filter import rules_table, url_filter
@@ -56,6 +59,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), VOCABULARY, ["n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -76,5 +84,31 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM f GROUP BY doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op4_simhash, op5_sharding, op7_bpe, op8_line_dedup)}
-ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op8_line_dedup": OP8_SQL}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(len(ws), 10) AS k, unnest(list_transform(range(1, greatest(len(ws) - 8, 2)), lambda i: array_to_string(ws[i:i + 9], ' '))) AS phrase FROM b WHERE len(ws) > 0),
+dw AS (SELECT r, k, unnest(range(1, len(ws) - k + 2)) AS p, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+       FROM d, (SELECT DISTINCT k FROM bw) WHERE len(ws) >= k),
+m AS (SELECT r, p, dw.k, item_id FROM dw JOIN bw ON dw.k = bw.k AND dw.phrase = bw.phrase),
+h AS (SELECT r, count(DISTINCT w) AS n_hit FROM (SELECT r, unnest(range(p, p + k)) AS w FROM m) GROUP BY r),
+i AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r)
+"""
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op4_simhash, op5_sharding, op6_quality, op7_bpe, op8_line_dedup, op9_decontamination, op10_pii)}
+ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op8_line_dedup": OP8_SQL, "op9_decontamination": OP9_SQL}
