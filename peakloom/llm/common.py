@@ -39,3 +39,15 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A frame whose rows keep their positions each time it is read.
+
+    A plain scan of files does; anything else is stored first, because a shuffle may deal rows otherwise
+    when other columns are asked for.
+    """
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.getClass().getSimpleName() in ("Project", "Filter"):
+        node = node.children().head()
+    return df if node.getClass().getSimpleName() == "LogicalRelation" else stored(df, "settled")

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from peakloom.llm.common import fresh, stored, text_bytes
+from peakloom.llm.common import fresh, settled, stored, text_bytes
 
 WINDOW = 10
 BLOCK_WORDS = 1 << 20
@@ -241,6 +241,7 @@ def contamination(
     proximity matches and a hit covers the whole span.
     """
     number = F.monotonically_increasing_id() if row is None else F.col(row)
+    docs = settled(docs) if row is None else docs
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), number.alias("row"), text_bytes(text_col).alias("t"))
     gap = window + slop
     found = None
@@ -271,6 +272,6 @@ def contamination(
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without any hit, with all their columns."""
     row = fresh(docs, "_row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    numbered = settled(docs).withColumn(row, F.monotonically_increasing_id())
     dirty = contamination(numbered, benchmark, row=row, **options).filter("n_hit > 0").select(F.col("row").alias(row))
     return numbered.join(dirty, row, "left_anti").drop(row)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from peakloom.llm.common import SPACE, fresh, stored
+from peakloom.llm.common import SPACE, fresh, settled, stored
 
 TABLE_BYTES = 32 << 20
 MAX_IDS = 50_000
@@ -218,6 +218,6 @@ def exact_dedup(
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns."""
     row = fresh(docs, "_row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    numbered = settled(docs).withColumn(row, F.monotonically_increasing_id())
     kept = exact_dedup(numbered, row=F.col(row)).filter("kept").select(F.col("row").alias(row))
     return numbered.join(kept, row, "left_semi").drop(row)

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from peakloom.llm.common import SPACE_CHARS, ascii_lower, fresh, stored
+from peakloom.llm.common import SPACE_CHARS, ascii_lower, fresh, settled, stored
 
 MIN_KEY = 10
 WORD = 63
@@ -80,7 +80,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table gives no rows; other columns are not read.
     """
     row = fresh(docs, "_row")
-    base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias(row))
+    base = settled(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias(row))
     lines = stored(line_hashes(base, row, "doc_id", "text", min_key), "lines")
     maps = drop_bitmaps(dropped_lines(lines)).withColumnRenamed("row", row)
     joined = base.join(maps, row, "left")

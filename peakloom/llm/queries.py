@@ -14,6 +14,7 @@ from peakloom.llm.pii import pseudonymise
 from peakloom.llm.quality import fit, score_documents
 from peakloom.llm.sharding import shard_rows
 from peakloom.llm.simhash import simhash_groups
+from peakloom.llm.suffix_dedup import suffix_dedup
 from peakloom.llm.url_filter import rules_table, url_filter
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -51,6 +52,12 @@ FROM t WINDOW g AS (PARTITION BY norm)
 """
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(table(spark, sf_dir, "documents"))
+    removed = F.aggregate(F.zip_with("first", "last", lambda a, b: b - a), F.lit(0).cast("bigint"), lambda n, x: n + x)
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("first").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents")).drop("row", "keep_row")
 
@@ -110,5 +117,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op4_simhash, op5_sharding, op6_quality, op7_bpe, op8_line_dedup, op9_decontamination, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op3_suffix_dedup, op4_simhash, op5_sharding, op6_quality, op7_bpe, op8_line_dedup, op9_decontamination, op10_pii)}
 ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op8_line_dedup": OP8_SQL, "op9_decontamination": OP9_SQL}

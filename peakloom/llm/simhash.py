@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from peakloom.llm.common import fresh, stored, text_bytes
+from peakloom.llm.common import fresh, settled, stored, text_bytes
 from peakloom.operators.components import connected_components
 
 SEED, WORDS, RADIUS = 42, 3, 3
@@ -209,6 +209,6 @@ def simhash_groups(
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with the smallest id of each near-duplicate component, with all columns."""
     row = fresh(docs, "_row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    numbered = settled(docs).withColumn(row, F.monotonically_increasing_id())
     kept = simhash_groups(numbered, row=row).filter("row = keep_row").select(F.col("row").alias(row))
     return numbered.join(kept, row, "left_semi").drop(row)
