@@ -33,8 +33,3 @@ def equate_residues(seq: Column, coarse: bool = True) -> Column:
 def hash_hex(*parts: Column) -> Column:
     """A seedable hash that every engine computes alike: hex digits of md5."""
     return F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
-
-
-def hash_fraction(*parts: Column) -> Column:
-    """Uniform integer in [0, 65536) from :func:`hash_hex`."""
-    return F.conv(F.substring(hash_hex(*parts), 1, 4), 16, 10).cast("bigint")

@@ -26,17 +26,15 @@ def fdr_levels(scored: DataFrame, score: str = "score") -> DataFrame:
 
 
 def score_to_fdr(levels: DataFrame) -> DataFrame:
-    """Every integer score from 0 to the maximum gets the FDR of the next known score below it."""
-    grid = levels.agg(F.max("score").alias("m")).select(F.explode(F.sequence(F.lit(0).cast("bigint"), "m")).alias("score"))
-    full = grid.join(levels.select("score", "fdr"), "score", "left")
-    up = W.orderBy("score").rowsBetween(W.unboundedPreceding, 0)
-    top = F.max("score").over(W.partitionBy())
-    return full.select(
-        "score",
-        F.when((F.col("score") == top) & F.col("fdr").isNotNull(), F.col("fdr"))
-        .otherwise(F.coalesce(F.min("fdr").over(up), F.lit(1.0)))
-        .alias("fdr"),
-    )
+    """Every integer score from 0 to the maximum gets the FDR of the next known score below it, else 1.
+
+    The FDR never rises with the score, so each level fills the scores up to the next one by itself.
+    """
+    ordered = W.orderBy("score")
+    known = levels.filter("score >= 0").select("score", "fdr", F.lead("score").over(ordered).alias("next"), F.lag("score").over(ordered).alias("previous"))
+    filled = known.select(F.explode(F.sequence("score", F.coalesce(F.col("next") - 1, "score"))).alias("score"), "fdr")
+    below = known.filter("previous is null and score > 0").select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("score") - 1)).alias("score"), F.lit(1.0).alias("fdr"))
+    return below.unionByName(filled)
 
 
 def filter_at_fdr(hits: DataFrame, levels: DataFrame, target: float) -> DataFrame:
@@ -78,42 +76,44 @@ def decoy_ratio(hits: DataFrame, min_ratio: float = 0.125) -> DataFrame:
     )
 
 
-def protein_groups(proteins: DataFrame, peptides: DataFrame, max_rounds: int = 10_000, hot: int = 256) -> DataFrame:
+def protein_groups(proteins: DataFrame, peptides: DataFrame, hot: int = 256) -> DataFrame:
     """Group proteins around founders, best adjusted score first.
 
-    A protein joins when a better founder holds at least half of its peptides, else it
-    founds a group; only founders register peptides. This runs as a data-parallel loop that
+    A protein joins when a better founder holds at least half of its alignments, else it
+    founds a group; only founders register peptides. A peptide counts as often as the protein
+    is aligned with it. This runs as a data-parallel loop that
     settles all sure cases at once. A protein surely founds when no better open protein can
     hold half of its peptides: either it is itself the best open holder of more than half,
     or its largest overlap on peptides with at most ``hot`` holders plus the number of its
     hotter peptides stays under half. Overlaps are thus counted only on bounded peptide
     groups, and hot peptides enter as a bound. A protein surely joins once a founder holds
-    half. The best open protein always settles, so the loop ends. Joiners go to the founder
+    half. The best open protein always settles, so the rounds go on until none is open. Joiners go to the founder
     sharing most peptides, the best one on ties.
 
-    ``proteins``: protein_id, adj_score. ``peptides``: protein_id, peptide.
+    ``proteins``: protein_id, adj_score. ``peptides``: protein_id, peptide, a row for each alignment.
     """
-    links = peptides.select("protein_id", "peptide").distinct()
-    sizes = links.groupBy("protein_id").agg(F.count(F.lit(1)).alias("n"))
+    links = peptides.groupBy("protein_id", "peptide").agg(F.count(F.lit(1)).alias("times"))
+    sizes = links.groupBy("protein_id").agg(F.sum("times").alias("n"))
     rank = F.struct((-F.col("adj_score")).alias("neg"), F.col("protein_id").alias("id"))
     ranked = proteins.join(sizes, "protein_id").select("protein_id", "adj_score", "n", rank.alias("rank"))
     all_links = cut_lineage(links.join(ranked, "protein_id"))
     open_links = all_links
     founders = None
-    for _ in range(max_rounds):
+    while not open_links.isEmpty():
         held = open_links.groupBy("peptide").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("holders"))
         marked = open_links.join(held, "peptide")
         own = marked.groupBy("protein_id", "n", "rank").agg(
-            F.count_if(F.col("rank") == F.col("first")).alias("own"), F.count_if(F.col("holders") > hot).alias("n_hot")
+            F.sum(F.when(F.col("rank") == F.col("first"), F.col("times")).otherwise(0)).alias("own"),
+            F.sum(F.when(F.col("holders") > hot, F.col("times")).otherwise(0)).alias("n_hot"),
         )
         cold = marked.filter(F.col("holders") <= hot)
         better = cold.select("peptide", F.col("rank").alias("better_rank"))
         most = (
-            cold.select("peptide", "protein_id", "rank")
+            cold.select("peptide", "protein_id", "rank", "times")
             .join(better, "peptide")
             .filter(F.col("better_rank") < F.col("rank"))
             .groupBy("protein_id", "better_rank")
-            .agg(F.count(F.lit(1)).alias("c"))
+            .agg(F.sum("times").alias("c"))
             .groupBy("protein_id")
             .agg(F.max("c").alias("most"))
         )
@@ -122,7 +122,7 @@ def protein_groups(proteins: DataFrame, peptides: DataFrame, max_rounds: int = 1
             own.join(most, "protein_id", "left").filter(sure).select("protein_id", F.col("rank").alias("founder_rank"))
         )
         if settled.isEmpty():
-            break
+            raise RuntimeError("no open protein could be settled")
         founders = settled if founders is None else founders.unionByName(settled)
         new_links = open_links.join(settled, "protein_id").select("founder_rank", "peptide")
         rest = open_links.join(settled.select("protein_id"), "protein_id", "left_anti")
@@ -130,7 +130,7 @@ def protein_groups(proteins: DataFrame, peptides: DataFrame, max_rounds: int = 1
             rest.join(new_links, "peptide")
             .filter(F.col("founder_rank") < F.col("rank"))
             .groupBy("protein_id", "n", "founder_rank")
-            .agg(F.count(F.lit(1)).alias("shared"))
+            .agg(F.sum("times").alias("shared"))
             .filter(F.col("shared") * 2 >= F.col("n"))
             .select("protein_id")
         )
@@ -145,7 +145,7 @@ def protein_groups(proteins: DataFrame, peptides: DataFrame, max_rounds: int = 1
         .join(registered, "peptide")
         .filter(F.col("founder_rank") < F.col("rank"))
         .groupBy("protein_id", "founder_rank")
-        .agg(F.count(F.lit(1)).alias("shared"))
+        .agg(F.sum("times").alias("shared"))
         .groupBy("protein_id")
         .agg(best)
         .select("protein_id", (-F.col("b.f")).alias("group_id"), F.lit(False).alias("is_founder"))
@@ -153,13 +153,19 @@ def protein_groups(proteins: DataFrame, peptides: DataFrame, max_rounds: int = 1
     return own.unionByName(members)
 
 
-def group_report(groups: DataFrame, proteins: DataFrame, names: DataFrame) -> DataFrame:
-    """Per group its size, founder, scores and the accessions (text before the first bar), one row each.
+def group_report(groups: DataFrame, proteins: DataFrame, names: DataFrame, levels: DataFrame) -> DataFrame:
+    """Per group its size, founder, scores, FDR, the name of its top protein and the accessions (text before the first bar), one row each.
+
+    ``levels``: FDR of the adjusted scores.
 
     The accession list is a long table, (group_id, accession), because one group may hold
     a large share of all proteins.
     """
     sizes = groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_proteins"))
-    head = proteins.select(F.col("protein_id").alias("group_id"), "n_peptides", "adj_score", "total")
+    head = (
+        proteins.join(levels.select(F.col("score").alias("adj_score"), "fdr"), "adj_score")
+        .join(names, "protein_id")
+        .select(F.col("protein_id").alias("group_id"), "n_peptides", "adj_score", "total", "fdr", F.col("name").alias("top_name"))
+    )
     acc = groups.join(names, "protein_id").select("group_id", F.split_part("name", F.lit("|"), F.lit(1)).alias("accession"))
     return sizes.join(head, "group_id").join(acc, "group_id")

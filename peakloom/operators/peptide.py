@@ -274,11 +274,15 @@ def kmers(proteins: DataFrame, k: int) -> DataFrame:
     return proteins.select("protein_id", F.posexplode(kmer_array(F.col("seq"), k)).alias("pos", "kmer"))
 
 
-def tag_lookup(tags: DataFrame, proteins: DataFrame, lengths: Sequence[int]) -> DataFrame:
+def tag_lookup(tags: DataFrame, proteins: DataFrame, lengths: Sequence[int] = (3, 4, 5, 6)) -> DataFrame:
     """Positions of distinct tags in the proteins: one equality join per tag length.
 
-    A position meets at most one tag of a length, so the result grows with the database.
+    A position meets at most one tag of a length, so the result grows with the database. A tag of
+    another length is an error.
     """
+    known = F.length("tag").isin(*lengths)
+    message = F.concat(F.lit("no index for tags of this length: "), F.col("tag"))
+    tags = tags.select(F.when(known, F.col("tag")).otherwise(F.raise_error(message)).alias("tag"))
     parts = []
     for k in lengths:
         wanted = tags.filter(F.length("tag") == k).select(F.col("tag")).distinct()
@@ -366,15 +370,21 @@ def contained_tags(tags: DataFrame, ranked: DataFrame, lo: int = 3, hi: int = 6)
     )
 
 
-def drop_covered(tags: DataFrame, key: str, min_len: int = 3, max_len: int = 12) -> DataFrame:
-    """Drop a tag that contains a shorter tag of its set.
+def drop_covered(tags: DataFrame, key: str) -> DataFrame:
+    """Drop a tag that contains a shorter tag of its set, whatever the lengths.
 
-    A dropped shorter tag itself contains an accepted one, so the test needs no order.
+    A dropped shorter tag itself contains an accepted one, so the test needs no order. A tag is laid
+    out into its substrings of those lengths that its set has.
     """
     distinct = tags.select(key, "tag").distinct()
-    inner = runs_of(distinct.withColumnRenamed("tag", "longer"), "longer", min_len, max_len, "tag").filter(
-        F.length("tag") < F.length("longer")
+    lengths = distinct.groupBy(key).agg(F.collect_set(F.length("tag")).alias("lengths"))  # few: one per length
+    parts = F.flatten(
+        F.transform(
+            F.filter("lengths", lambda k: k < F.length("longer")),
+            lambda k: F.transform(F.sequence(F.lit(1), F.length("longer") - k + 1), lambda i: F.substring("longer", i, k)),
+        )
     )
+    inner = distinct.withColumnRenamed("tag", "longer").join(lengths, key).select(key, "longer", F.explode(F.array_distinct(parts)).alias("tag"))
     covered = inner.join(distinct, [key, "tag"], "left_semi").select(key, F.col("longer").alias("tag")).distinct()
     return distinct.join(covered, [key, "tag"], "left_anti")
 
@@ -389,7 +399,7 @@ K_FIRST, K_MIDDLE, K_LAST = 0.45, 0.25, 1.0
 MIN_RESIDUE_PROB = 0.275
 
 
-def expected_query_score(seq: Column, probs: Column, min_len: int = 6) -> Column:
+def expected_query_score(seq: Column, probs: Column, min_len: int = 7) -> Column:
     """Expected match score of a query sequence from its residue probabilities.
 
     ``m`` is oxidised methionine, ``X`` any residue, ``Z`` Q or K, ``B`` the boundary. The

@@ -17,6 +17,7 @@ from peakloom.functions.ordered import order_statistics
 from peakloom.operators.peaks import KEY, complement_pairs
 from peakloom.session import cut_lineage
 
+# Fixed values.
 KERNEL = (10, 9, 6, 4, 2)
 
 
@@ -272,6 +273,7 @@ def scan_pm_grid(peaks: DataFrame, sums: DataFrame, tol: int, step: int, half: i
     )
 
 
+# Fixed values.
 TOP_CUTOFFS = (1, 3, 5, 10, 25, 50, 100, 250, 500)
 
 
@@ -398,6 +400,7 @@ def log_odds(table: DataFrame, random: DataFrame, first: str) -> DataFrame:
     return table.join(r, first).withColumn("log_odds", F.log(F.col("p") / F.col("random_p")))
 
 
+# Fixed values.
 RANK_LEVELS = (1, 2, 3, 5, 7, 10, 15, 20, 30, 55)
 
 

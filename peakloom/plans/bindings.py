@@ -15,6 +15,8 @@ from peakloom.functions.ordered import spread
 from peakloom.session import cut_lineage
 from peakloom.operators import graph, peaks, peptide as pep
 
+#: Shortest candidate sequence of a homology query.
+MIN_CANDIDATE = 7
 RESIDUE_CLASS = "ACDEFGHIKLMNPQRSTVWY"
 
 
@@ -80,11 +82,11 @@ class Tables:
         )
 
     def candidates(self) -> DataFrame:
-        """Every word of at least 8 letters of a conversation is a candidate sequence."""
+        """Every word of at least MIN_CANDIDATE letters of a conversation is a candidate sequence."""
         return self.raw("conversations").select(
             F.col("conv_id").alias("set_id"),
             F.length("text").cast("bigint").alias("base_score"),
-            F.explode(text.words(F.col("text"), 8)).alias("seq"),
+            F.explode(text.words(F.col("text"), MIN_CANDIDATE)).alias("seq"),
         ).select("set_id", "seq", (F.col("base_score") % 97 + F.length("seq")).cast("bigint").alias("score"))
 
     def labelled(self) -> DataFrame:
@@ -236,8 +238,8 @@ VIEWS = {
         upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM documents""",
     "conversation_words": """SELECT conv_id AS set_id, length(text) AS base_score,
         unnest(string_split(upper(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' ')) AS seq FROM conversations""",
-    "candidates": """SELECT set_id, seq, CAST(base_score % 97 + length(seq) AS BIGINT) AS score
-        FROM conversation_words WHERE length(seq) >= 8""",
+    "candidates": f"""SELECT set_id, seq, CAST(base_score % 97 + length(seq) AS BIGINT) AS score
+        FROM conversation_words WHERE length(seq) >= {MIN_CANDIDATE}""",
     "benchmark_words": """SELECT item_id AS set_id,
         unnest(string_split(upper(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' ')) AS seq FROM benchmark""",
     "document_words": """SELECT doc_id AS set_id,

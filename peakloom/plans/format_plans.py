@@ -63,8 +63,10 @@ def snk1(t):
 @query("SRC2", SUMMARY.format(mz="(pm_u/10000 + (charge - 1)*1.00728)/charge"))
 def src2(t):
     head = F.concat(wr.MASS_DA(F.col("pm_u")), F.lit(" "), F.col("charge").cast("string"), F.lit("\tscan="), F.col(ID).cast("string"))
-    files = listed(t).select(F.concat_ws("\n", head, peak_text(" ")).alias("value"))
-    return summary(rd.parse_dta(files))
+    files = listed(t).select(F.col(ID).alias("of"), F.concat_ws("\n", head, peak_text(" ")).alias("value"))
+    path = scratch_path(t.spark, "dta")
+    files.repartition("of").write.partitionBy("of").text(path)  # one spectrum per file
+    return summary(rd.read_dta(t.spark, f"{path}/*"))
 
 
 def pack_floats(col):
@@ -120,13 +122,27 @@ def src5(t):
     return rd.read_fasta(t.spark, fasta_file(t)).select("name", "seq")
 
 
-@query("SRC6", f"SELECT name, length(seq) AS n_res, TRUE AS indexed FROM ({FASTA_SQL})")
+@query("SRC6", f"""SELECT 'fasta' AS kind, name, length(seq) AS n_items, TRUE AS right_file FROM ({FASTA_SQL})
+    UNION ALL SELECT 'mgf' AS kind, CAST(spectrum_id AS VARCHAR) AS name, count(*) AS n_items, TRUE AS right_file FROM spectra JOIN peaks USING (spectrum_id) GROUP BY 2""")
 def src6(t):
-    names = t.spark.read.text(fasta_file(t)).select(F.col("_metadata.file_path").alias("value")).distinct()
-    listing = scratch_path(t.spark, "paths")
-    names.coalesce(1).write.text(listing)
-    rows = rd.read_path_list(t.spark, listing, rd.read_fasta)
-    return rows.select("name", F.length("seq").cast("bigint").alias("n_res"), (F.col("file_idx") >= 0).alias("indexed"))
+    # two folders with files of equal base names, which only the full address tells apart
+    folder, listing = scratch_path(t.spark, "named"), scratch_path(t.spark, "paths")
+    for half in (0, 1):
+        mine = F.pmod(F.xxhash64("id"), F.lit(2)) == half
+        proteins = t.proteins().withColumn("id", F.col("protein_id")).filter(mine)
+        wr.write_fasta(proteins.select(F.col("id").cast("string").alias("name"), "seq"), f"{folder}/{half}/part.fasta", "name", "seq")
+        spectra = titled(t).withColumn("id", F.col(ID)).filter(mine).drop("id")
+        wr.write_mgf(spectra, t.peak_list().join(spectra.select(ID), ID), f"{folder}/{half}/part.mgf")
+    lines = [(i, f"{folder}/{half}/part.{kind}") for i, (kind, half) in enumerate([("fasta", 0), ("mgf", 1), ("fasta", 1), ("mgf", 0)])]
+    t.spark.createDataFrame(lines, "i int, value string").coalesce(1).sort("i").select("value").write.text(listing)
+    rows = rd.read_path_list(t.spark, listing)
+    kind = F.when(F.col("name").isNotNull(), "fasta").otherwise("mgf")
+    half = F.regexp_extract("path", r"/([01])/part[.]", 1)
+    expected = F.when(kind == "fasta", F.when(half == "0", 0).otherwise(2)).otherwise(F.when(half == "1", 1).otherwise(3))
+    return rows.select(
+        kind.alias("kind"), F.coalesce("name", F.col("scan").cast("string")).alias("name"),
+        F.coalesce(F.length("seq"), F.size("peaks")).cast("bigint").alias("n_items"), (F.col("file_idx") == expected).alias("right_file"),
+    )
 
 
 @query("SRC7", """SELECT spectrum_id AS scan, seq AS annotation, charge, CAST(score AS DOUBLE) AS mq_score, score % 5 <= 3 AND n_mass_u <= 20000 AS valid FROM solutions""")
@@ -160,21 +176,31 @@ def snk3(t):
     return files.agg(F.sum("n").alias("n_rows"), (F.max("n") <= 100).alias("within_limit"))
 
 
-def event_stream(t):
-    schema = t.raw("events").schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.dir)
+def in_two_runs(t, shape, run):
+    """Half of the events arrive, a run ends, the rest arrives and a second run goes on with the same folders."""
+    arrived, out, saved = (scratch_path(t.spark, n) for n in ("arrived", "stream-out", "stream-state"))
+    events = t.raw("events")
+    done = None
+    for half in (0, 1):
+        events.filter(F.pmod(F.xxhash64("event_id"), F.lit(2)) == half).write.mode("append").parquet(arrived)
+        done = run(shape(t.spark.readStream.schema(events.schema).parquet(arrived)), out, saved)
+    return done
 
 
 @query("STR1", "SELECT DISTINCT generation, file_idx, scan FROM scans")
 def str1(t):
-    scans = event_stream(t).select(
-        F.col("event_type").alias("generation"), F.col("user_id").alias("file_idx"), F.floor("value").cast("bigint").alias("scan"), F.col("ts").cast("timestamp").alias("ts")
-    )
-    seen = state.run_append(state.stream_new_scans(scans, "400 days"), t.spark, "new-scans")
+    def scans(events):
+        return events.select(
+            F.col("event_type").alias("generation"), F.col("user_id").alias("file_idx"), F.floor("value").cast("bigint").alias("scan"), F.col("ts").cast("timestamp").alias("ts")
+        )
+
+    seen = in_two_runs(t, scans, lambda s, out, saved: state.run_append(state.stream_new_scans(s, "400 days"), t.spark, out, saved))
     return seen.select("generation", "file_idx", "scan")
 
 
 @query("STR2", "SELECT props AS peptide, count(*) AS uses FROM events GROUP BY 1")
 def str2(t):
-    uses = event_stream(t).select(F.col("props").alias("peptide"))
-    return state.run_update(state.stream_peptide_history(uses), t.spark, "history", ["peptide"], "uses")
+    def uses(events):
+        return events.select(F.col("props").alias("peptide"))
+
+    return in_two_runs(t, uses, lambda s, out, saved: state.run_update(state.stream_peptide_history(s), t.spark, out, saved, ["peptide"], "uses"))

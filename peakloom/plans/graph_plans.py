@@ -216,4 +216,4 @@ def sim7(t):
     SELECT cluster_id, spectrum_id AS representative, sim_sum FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY sim_sum DESC, spectrum_id) AS rn FROM members JOIN s USING (spectrum_id)) WHERE rn = 1""")
 def sim8(t):
     pairs = similar(t)
-    return sim.representatives(sim.clusters(pairs), pairs)
+    return sim.representatives(sim.clusters(pairs), pairs, sim.fold_copies(t.spectra(), t.peak_list()))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from peakloom.operators import candidates as cand, fdr
 from peakloom.operators.components import connected_components
-from peakloom.plans.bindings import TARGET_FDR, levels_sql
+from peakloom.plans.bindings import MIN_CANDIDATE, TARGET_FDR, levels_sql
 from peakloom.plans.registry import query
 
 
@@ -72,7 +72,7 @@ def fdr8(t):
 def fdr9(t):
     s = scores(t)
     names = s.select("protein_id", F.concat(F.lit("P"), F.col("protein_id").cast("string"), F.lit("|protein")).alias("name"))
-    return fdr.group_report(fdr.protein_groups(s, passed(t)), s, names)
+    return fdr.group_report(fdr.protein_groups(s, passed(t)), s, names, fdr.fdr_levels(s, "adj_score"))
 
 
 @query("FDR10", "SELECT n_decoy, n_hits, round(n_decoy/n_hits, 6) AS ratio, n_decoy/n_hits < 0.25 AS warn FROM (SELECT count(*) FILTER (WHERE is_decoy) AS n_decoy, count(*) AS n_hits FROM hits)")
@@ -126,22 +126,22 @@ def qry4(t):
     SELECT set_id, seq, score, set_id IN (SELECT set_id FROM kept) AS keep FROM candidates WHERE set_id IN (SELECT set_id FROM kept) OR set_id NOT IN (SELECT set_id FROM banned)""")
 def qry5(t):
     toxic = t.raw("labels").filter("toxic = 1").select(F.col("doc_id").alias("set_id"))
-    banned = t.words("documents", "doc_id", 8).join(toxic, "set_id", "left_semi").select("seq")
-    return cand.mark_keep_exclude(t.candidates(), t.words("benchmark", "item_id", 8).select("seq"), banned).select("set_id", "seq", "score", "keep")
+    banned = t.words("documents", "doc_id", MIN_CANDIDATE).join(toxic, "set_id", "left_semi").select("seq")
+    return cand.mark_keep_exclude(t.candidates(), t.words("benchmark", "item_id", MIN_CANDIDATE).select("seq"), banned).select("set_id", "seq", "score", "keep")
 
 
 def history_parts(t):
     best = t.candidates().groupBy("set_id", "seq").agg(F.max("score").alias("score"))
-    keep = t.candidates().join(t.words("benchmark", "item_id", 8).select("seq").distinct(), "seq", "left_semi").select("set_id").distinct()
+    keep = t.candidates().join(t.words("benchmark", "item_id", MIN_CANDIDATE).select("seq").distinct(), "seq", "left_semi").select("set_id").distinct()
     cands = best.join(keep.withColumn("keep", F.lit(True)), "set_id", "left").withColumn("keep", F.coalesce("keep", F.lit(False)))
-    words = t.words("documents", "doc_id", 8)
+    words = t.words("documents", "doc_id", MIN_CANDIDATE)
     history = words.groupBy("seq").agg(F.count(F.lit(1)).alias("uses"))
     mapped = words.filter(F.length("seq") >= 12).select("seq")
     return cands, history, mapped
 
 
-QRY6 = """WITH c AS (SELECT set_id, seq, max(score) AS score FROM candidates GROUP BY 1, 2), kept AS (SELECT DISTINCT set_id FROM candidates SEMI JOIN benchmark_words USING (seq)),
-    h AS (SELECT seq, count(*) AS uses FROM document_words WHERE length(seq) >= 8 GROUP BY 1),
+QRY6 = f"""WITH c AS (SELECT set_id, seq, max(score) AS score FROM candidates GROUP BY 1, 2), kept AS (SELECT DISTINCT set_id FROM candidates SEMI JOIN benchmark_words USING (seq)),
+    h AS (SELECT seq, count(*) AS uses FROM document_words WHERE length(seq) >= {MIN_CANDIDATE} GROUP BY 1),
     m AS (SELECT c.*, coalesce(uses, 0) AS uses, coalesce(length(c.seq) >= 12 AND uses > 0, FALSE) AS mapped, k.set_id IS NOT NULL AS keep, max(score) OVER (PARTITION BY c.set_id) AS best
       FROM c LEFT JOIN h USING (seq) LEFT JOIN kept k USING (set_id)),
     r AS (SELECT *, count(*) FILTER (WHERE mapped) OVER w AS n_mapped, count(*) FILTER (WHERE NOT mapped AND uses = 0) OVER w AS n_unused,
@@ -187,9 +187,9 @@ def qry7(t):
     return classified(t)
 
 
-@query("QRY8", "SELECT DISTINCT seq FROM (SELECT seq FROM candidates UNION ALL SELECT seq FROM benchmark_words WHERE length(seq) >= 8)")
+@query("QRY8", f"SELECT DISTINCT seq FROM (SELECT seq FROM candidates UNION ALL SELECT seq FROM benchmark_words WHERE length(seq) >= {MIN_CANDIDATE})")
 def qry8(t):
-    return cand.final_query(t.candidates().select("seq").unionByName(t.words("benchmark", "item_id", 8).select("seq")))
+    return cand.final_query(t.candidates().select("seq").unionByName(t.words("benchmark", "item_id", MIN_CANDIDATE).select("seq")))
 
 
 @query("QRY9", "SELECT DISTINCT peptide, protein_id FROM hits")

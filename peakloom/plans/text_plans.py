@@ -147,10 +147,19 @@ def seq15(t):
     return pep.gap_variants(p, "path", "n_mass").select(ID, "n_mass", "n_x", "variant")
 
 
-@query("JN12", """WITH tags AS (SELECT DISTINCT seq AS tag FROM benchmark_words WHERE length(seq) BETWEEN 5 AND 6), k AS (SELECT protein_id, unnest(range(1, length(seq) - 3)) AS i, seq FROM proteins)
-    SELECT protein_id, CAST(i - 1 AS INTEGER) AS pos, tag FROM k JOIN tags ON tag = substr(seq, i, 5) AND length(tag) = 5 UNION ALL SELECT protein_id, CAST(i - 1 AS INTEGER) AS pos, tag FROM k JOIN tags ON tag = substr(seq, i, 6) AND length(tag) = 6""")
+# every letter window of n letters, as the n ways to cut a text into pieces of n
+_TAGS_AT = " UNION ALL ".join(
+    f"SELECT protein_id, s - 1 + {n}*unnest(range(0, len(w))) AS pos, unnest(w) AS tag FROM (SELECT protein_id, s, regexp_extract_all(substr(seq, s), '[A-Z]{{{n}}}') AS w FROM proteins, range(1, {n + 1}) AS x(s))"
+    for n in (3, 4, 5, 6)
+)
+
+
+@query("JN12", f"""WITH tags AS (SELECT DISTINCT seq AS tag FROM benchmark_words WHERE length(seq) BETWEEN 3 AND 6), k AS ({_TAGS_AT})
+    SELECT protein_id, CAST(pos AS INTEGER) AS pos, tag FROM k SEMI JOIN tags USING (tag)""")
 def jn12(t):
-    return pep.tag_lookup(t.words("benchmark", "item_id", 5).select(F.col("seq").alias("tag")), t.proteins(), [5, 6])
+    # tags are words of 3 to 6 letters; that is the feature, as in JN16
+    tags = t.words("benchmark", "item_id", 3).filter(F.length("seq") <= 6)
+    return pep.tag_lookup(tags.select(F.col("seq").alias("tag")), t.proteins())
 
 
 def _mass_sql(target: int, tol: int) -> str:
@@ -188,11 +197,11 @@ def jn16(t):
     return out.select("set_id", "tag", "first_rank", *[F.round(c, 6).alias(c) for c in ("share5", "share20", "share_all")])
 
 
-@query("JN17", """WITH t AS (SELECT DISTINCT set_id, seq AS tag FROM conversation_words WHERE length(seq) BETWEEN 3 AND 12), g AS (SELECT DISTINCT set_id, tag AS longer, substr(tag, i, k) AS tag FROM
-    (SELECT *, unnest(range(1, length(tag) - k + 2)) AS i FROM t, range(3, 12) AS x(k) WHERE k < length(tag)))
+@query("JN17", """WITH t AS (SELECT DISTINCT set_id, seq AS tag FROM conversation_words WHERE length(seq) >= 3), g AS (SELECT DISTINCT set_id, tag AS longer, substr(tag, i, k) AS tag FROM
+    (SELECT *, unnest(range(1, length(tag) - k + 2)) AS i FROM t, range(3, 64) AS x(k) WHERE k < length(tag)))
     SELECT set_id, tag FROM t ANTI JOIN (SELECT g.set_id, longer AS tag FROM g SEMI JOIN t USING (set_id, tag)) USING (set_id, tag)""")
 def jn17(t):
-    tags = t.words("conversations", "conv_id", 3).filter(F.length("seq") <= 12).select("set_id", F.col("seq").alias("tag"))
+    tags = t.words("conversations", "conv_id", 3).select("set_id", F.col("seq").alias("tag"))
     return pep.drop_covered(tags, "set_id")
 
 

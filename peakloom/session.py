@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,12 +30,15 @@ def build_session(master: str = "local[8]", app: str = "peakloom", **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a local one only where none is set (tests)."""
+    """The folder named by spark.checkpoint.dir; a local one only where none is set and the session is local."""
     context = spark.sparkContext._jsc.sc()
     active = context.getCheckpointDir()
     configured = spark.conf.get(CHECKPOINT_KEY, None)
     if active.isDefined() and (not configured or configured.rstrip("/") in active.get()):
         return active.get()
+    local = re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master)
+    if not configured and not local:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="peakloom-"))
     return context.getCheckpointDir().get()
 

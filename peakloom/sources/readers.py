@@ -80,7 +80,8 @@ def parse_mgf(blocks: DataFrame, text: str = "value") -> DataFrame:
 
 def read_mgf(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Blocks between BEGIN IONS and END IONS; the files stay splittable."""
-    return parse_mgf(spark.read.option("lineSep", "END IONS").text(path))
+    blocks = spark.read.option("lineSep", "END IONS").text(path)
+    return parse_mgf(blocks.select("value", F.col("_metadata.file_path").alias("path")))
 
 
 def parse_dta(files: DataFrame, text: str = "value") -> DataFrame:
@@ -106,10 +107,10 @@ def read_dta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return parse_dta(files.select("value", F.col("_metadata.file_path").alias("path")))
 
 
-def _unpacker(big_endian: bool):
+def _unpacker(big_endian: bool, bits: int):
     import numpy as np
 
-    kind = np.dtype(">f4" if big_endian else "<f4")
+    kind = np.dtype(f"{'>' if big_endian else '<'}f{bits // 8}")
 
     @F.pandas_udf(PEAKS)
     def unpack(raw: pd.Series) -> pd.Series:
@@ -129,29 +130,50 @@ SCAN_FIELDS = """_num BIGINT, _msLevel INT, _peaksCount INT, _retentionTime STRI
     peaks STRUCT<_VALUE: STRING, _byteOrder: STRING, _precision: INT>"""
 
 
-def read_mzxml(spark: SparkSession, path: str | list[str], min_peaks: int = 7, depth: int = 2) -> DataFrame:
-    """Fragment scans (level above 1, scan number not negative, enough peaks) of an XML file.
+SCAN_COLUMNS = ["_num", "_msLevel", "_peaksCount", "_retentionTime", "precursorMz", "peaks"]
 
-    A nested scan arrives inside its parent and is lifted out, down to ``depth`` levels.
-    Peak lists are base64 float pairs in either byte order.
+
+def _scan_levels(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """All scans at any depth, one row each.
+
+    A nested scan arrives inside its parent and is lifted out. The innermost level of the schema
+    holds its own nested scans as text; while there is any, the schema is made one level deeper.
+    """
+    depth = 2
+    while True:
+        schema = f"{SCAN_FIELDS}, scan ARRAY<STRING>"
+        for _ in range(depth - 1):
+            schema = f"{SCAN_FIELDS}, scan ARRAY<STRUCT<{schema}>>"
+        level = spark.read.format("xml").option("rowTag", "scan").schema(schema).load(path).select("*", F.col("_metadata.file_path").alias("path"))
+        out = level.select("path", *SCAN_COLUMNS)
+        for _ in range(depth - 1):
+            level = level.select("path", F.inline("scan"))
+            out = out.unionByName(level.select("path", *SCAN_COLUMNS))
+        if level.filter(F.size("scan") > 0).isEmpty():
+            return out
+        depth += 1
+
+
+def read_mzxml(spark: SparkSession, path: str | list[str], min_peaks: int = 7) -> DataFrame:
+    """Fragment scans (level above 1, scan number not negative, enough peaks) of an XML file, at any depth.
+
+    Peak lists are base64 float pairs of 32 or 64 bits in either byte order; any other precision is an error.
     """
-    schema = SCAN_FIELDS
-    for _ in range(depth - 1):
-        schema = f"{SCAN_FIELDS}, scan ARRAY<STRUCT<{schema}>>"
-    level = spark.read.format("xml").option("rowTag", "scan").schema(schema).load(path)
-    flat = ["_num", "_msLevel", "_peaksCount", "_retentionTime", "precursorMz", "peaks"]
-    out = level.select(*flat)
-    for _ in range(depth - 1):
-        level = level.select(F.inline("scan"))
-        out = out.unionByName(level.select(*flat))
+    out = _scan_levels(spark, path)
     kept = out.filter((F.col("_msLevel") > 1) & (F.col("_num") >= 0) & (F.col("_peaksCount") >= min_peaks))
     raw = F.unbase64(F.regexp_replace("peaks._VALUE", r"\s", ""))
-    little = F.col("peaks._byteOrder") == "little"
-    # each decoder sees only the rows of its byte order
+    big = F.coalesce(F.col("peaks._byteOrder") != "little", F.lit(True))
+    bits = F.coalesce(F.col("peaks._precision"), F.lit(32))
     decoded = kept.withColumn("_raw", raw)
-    peaks = F.when(little, _unpacker(False)(F.when(little, F.col("_raw")))).otherwise(_unpacker(True)(F.when(~F.coalesce(little, F.lit(False)), F.col("_raw"))))
+    peaks = F.raise_error(F.concat(F.lit("mzXML peaks of precision "), bits.cast("string")))
+    for width in (32, 64):
+        for order in (True, False):
+            mine = (bits == width) & (big == order)
+            # each decoder sees only the rows of its kind
+            peaks = F.when(mine, _unpacker(order, width)(F.when(mine, F.col("_raw")))).otherwise(peaks)
     mz, charge = F.col("precursorMz._VALUE"), F.col("precursorMz._precursorCharge")
     return decoded.select(
+        "path",
         F.col("_num").alias("scan"),
         F.regexp_extract("_retentionTime", r"PT([0-9.]+)S", 1).try_cast("double").alias("rt_s"),
         mz.alias("mz"),
@@ -199,19 +221,52 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
 READERS = {"mgf": read_mgf, "dta": read_dta, "mzxml": read_mzxml, "fasta": read_fasta}
 
 
+def reader_for(path: str):
+    """The reader of a file by its ending, in any letter case."""
+    ending = path.rsplit(".", 1)[-1].lower()
+    if ending not in READERS:
+        raise ValueError(f"no reader for {path}")
+    return READERS[ending]
+
+
 def list_paths(spark: SparkSession, list_path: str) -> list[str]:
     """The paths of a list file in order; a list names files, so it is small by nature."""
     rows = spark.read.text(list_path).filter((F.trim("value") != "") & ~F.col("value").startswith("#")).select(F.trim("value").alias("p"))
     return [r["p"] for r in rows.toLocalIterator()]
 
 
-def read_path_list(spark: SparkSession, list_path: str, reader) -> DataFrame:
-    """All listed files as one table with the index of each file in the list."""
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The full address of a file as Spark reports it for its rows."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.makeQualified(hadoop).toUri().toString()
+
+
+def _address(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
+def read_path_list(spark: SparkSession, list_path: str, reader=None) -> DataFrame:
+    """All listed files as one table with the index of each file in the list.
+
+    Without ``reader`` it is chosen for every file by its ending; columns that a kind of file does not
+    have are null. Files are told apart by their full address, so equal base names are fine; a file that
+    is listed twice gives its rows for each place. A listed folder stands for the files that Spark wrote in it.
+    """
     paths = list_paths(spark, list_path)
-    index = spark.createDataFrame([(p.rsplit("/", 1)[-1], i) for i, p in enumerate(paths)], "file_name string, file_idx int")
-    rows = reader(spark, paths)
-    named = rows.withColumn("file_name", F.element_at(F.split("path", "/"), -1))
-    return named.join(index, "file_name").drop("path")
+    groups: dict = {}
+    for p in paths:
+        groups.setdefault(reader or reader_for(p), []).append(p)
+    rows = None
+    for read, own in groups.items():
+        part = read(spark, list(dict.fromkeys(own)))
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    if rows is None:
+        raise ValueError(f"{list_path} lists no file")
+    index = spark.createDataFrame([(_qualified(spark, p), i) for i, p in enumerate(paths)], "_address string, file_idx int")
+    own = _address(F.col("path"))
+    keyed = rows.withColumn("_address", F.explode(F.array(own, F.regexp_replace(own, "/[^/]*$", ""))))
+    return keyed.join(index.withColumn("_address", _address(F.col("_address"))), "_address").drop("_address")
 
 
 HIT_FIELDS = [

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from peakloom.session import scratch_path
-
 SCAN_KEY = ["generation", "file_idx", "scan"]
 
 
@@ -19,9 +17,12 @@ def stream_peptide_history(uses: DataFrame) -> DataFrame:
     return uses.groupBy("peptide").agg(F.count(F.lit(1)).alias("uses"))
 
 
-def run_append(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
-    """Process what is available now into parquet and return what was written."""
-    out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+def run_append(stream: DataFrame, spark: SparkSession, out: str, state: str) -> DataFrame:
+    """Process what is available now into the table ``out`` and return all that it holds.
+
+    ``state`` is the folder of the job's state; with the same two folders a later run goes on where
+    the last one ended.
+    """
     job = (
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
     )
@@ -29,13 +30,12 @@ def run_append(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_update(stream: DataFrame, spark: SparkSession, name: str, keys: list[str], newest: str) -> DataFrame:
+def run_update(stream: DataFrame, spark: SparkSession, out: str, state: str, keys: list[str], newest: str) -> DataFrame:
     """Process what is available now in update mode; the latest row per key is the final state.
 
     Each batch writes its changed rows to a folder of its own, so a repeated batch
-    overwrites itself and nothing passes through the driver.
+    overwrites itself and nothing passes through the driver. Folders as in ``run_append``.
     """
-    out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")

@@ -45,6 +45,30 @@ def test_mzxml_with_nested_scan(spark, tmp_path):
         assert (r["mz"], r["charge"]) == (500.25, 2)
 
 
+def test_mzxml_deeper_and_wider(spark, tmp_path):
+    def scan(num, inner="", bits=32):
+        vals = [v for i in range(8) for v in (100.0 + i, 1.0 + i)]
+        b64 = base64.b64encode(struct.pack(f">16{'f' if bits == 32 else 'd'}", *vals)).decode()
+        return f'<scan num="{num}" msLevel="2" peaksCount="8"><precursorMz precursorCharge="2">500.25</precursorMz><peaks precision="{bits}" byteOrder="network">{b64}</peaks>{inner}</scan>'
+
+    for i in range(2):
+        (tmp_path / f"{i}.mzxml").write_text(f"<mzXML><msRun>{scan(1 + 10 * i, scan(2 + 10 * i, scan(3 + 10 * i, scan(4 + 10 * i, bits=64))))}</msRun></mzXML>")
+    got = rd.read_mzxml(spark, str(tmp_path)).collect()
+    assert sorted(r["scan"] for r in got) == [1, 2, 3, 4, 11, 12, 13, 14]
+    assert all([(p["mass"], p["intensity"]) for p in r["peaks"]] == [(100.0 + i, 1.0 + i) for i in range(8)] for r in got)
+
+
+def test_mixed_path_list_with_equal_names(spark, tmp_path):
+    for d in "xy":
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "a.fasta").write_text(f">{d}1\nKK\n>{d}2\nGG\n")
+        (tmp_path / d / "a b.mgf").write_text(f"BEGIN IONS\nTITLE={d}\nSCANS=3\nPEPMASS=400.25\n150.0 1\nEND IONS\n")
+    names = ["y/a.fasta", "x/a b.mgf", "x/a.fasta", "y/a b.mgf"]
+    (tmp_path / "list").write_text("\n".join(f"{tmp_path}/{n}" for n in names))
+    got = sorted((r["file_idx"], r["name"] or r["title"]) for r in rd.read_path_list(spark, str(tmp_path / "list")).collect())
+    assert got == [(0, "y1"), (0, "y2"), (1, "x"), (2, "x1"), (2, "x2"), (3, "y")]
+
+
 def test_fasta_and_path_list(spark, tmp_path):
     (tmp_path / "a.fasta").write_text(">one\nPEPT\nIDEZ\n>two\nacGH\n>empty\n")
     (tmp_path / "b.fasta").write_text(">three\nKKK\n")

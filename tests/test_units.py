@@ -62,7 +62,7 @@ def test_band_join_and_neighbours(spark):
 def brute_groups(proteins, peptides):
     held = {}
     for p, q in peptides:
-        held.setdefault(p, set()).add(q)
+        held.setdefault(p, []).append(q)
     founders, out = [], {}
     for p, adj in sorted(proteins, key=lambda x: (-x[1], x[0])):
         mine = held.get(p)
@@ -70,7 +70,7 @@ def brute_groups(proteins, peptides):
             continue
         best, count = None, 0
         for f in founders:
-            c = len(mine & held[f])
+            c = sum(q in held[f] for q in mine)
             if c > count:
                 best, count = f, c
         if 2 * count >= len(mine):
@@ -92,6 +92,40 @@ def test_protein_groups_match_the_sequential_rule(spark):
         assert rows(got.select("protein_id", "group_id", "is_founder")) == brute_groups(proteins, peptides)
 
 
+def test_protein_groups_count_every_alignment(spark):
+    proteins = spark.createDataFrame([(1, 20), (2, 10)], "protein_id long, adj_score long")
+    peptides = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "c"), (2, "c"), (2, "c")], "protein_id long, peptide string")
+    # 1 of 4 alignments is shared, although 1 of 2 peptides is
+    assert rows(fdr.protein_groups(proteins, peptides).select("protein_id", "group_id", "is_founder")) == [(1, 1, True), (2, 2, True)]
+
+
+def test_representative_counts_all_copies(spark):
+    peaks = [(s, m, i) for s in (1, 2, 3) for m, i in ((1_000_000, 10), (2_000_000, 20))] + [(9, 1_000_100, 10), (9, 2_000_100, 20)]
+    spectra = spark.createDataFrame([(s, 9_000_000, 2) for s in (1, 2, 3, 9)], "spectrum_id long, mz_u long, charge int")
+    pk = spark.createDataFrame(peaks, "spectrum_id long, mass_u long, intensity long")
+    pairs = sim.similar_pairs(spectra, pk, 1_000, 6_500, 5_000, 0.5)
+    # each of the four has three partners of similarity 1
+    got = rows(sim.representatives(sim.clusters(pairs), pairs, sim.fold_copies(spectra, pk)))
+    assert got == [(1, 1, 3_000_000)]
+
+
+def test_tags_of_any_length(spark):
+    import pytest
+
+    tags = spark.createDataFrame([(1, t) for t in ("A" * 13, "B" + "A" * 13 + "C", "DEF", "XDEFX", "GH")], "set_id long, tag string")
+    assert [t for _, t in rows(pep.drop_covered(tags, "set_id"))] == ["A" * 13, "DEF", "GH"]
+    proteins = spark.createDataFrame([(7, "XXABCXX")], "protein_id long, seq string")
+    found = pep.tag_lookup(spark.createDataFrame([("ABC",), ("ABCX",)], "tag string"), proteins)
+    assert rows(found.select("tag", "pos")) == [("ABC", 2), ("ABCX", 2)]
+    with pytest.raises(Exception, match="no index for tags of this length"):
+        pep.tag_lookup(spark.createDataFrame([("AB",)], "tag string"), proteins).collect()
+
+
+def test_score_grid(spark):
+    levels = spark.createDataFrame([(-2, 0.9), (2, 0.5), (5, 0.1)], "score long, fdr double")
+    assert rows(fdr.score_to_fdr(levels)) == [(0, 1.0), (1, 1.0), (2, 0.5), (3, 0.5), (4, 0.5), (5, 0.1)]
+
+
 def test_components_with_a_hub(spark):
     edges = [(0, i) for i in range(1, 40)] + [(100 + i, 101 + i) for i in range(30)] + [(500, 501)]
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
@@ -134,66 +168,49 @@ def test_weighted_edit_distance(spark):
     assert all(r["d"] == edit(r["a"], r["b"]) for r in df.collect())
 
 
-def expected_score(seq, probs):
-    n = len(seq)
-    mod = [(p - 0.275) / (1 - 0.275) for p in probs]
-    weigh = lambda c, v: 0.0 if c == "X" else v / 2 if c == "Z" else v
-    pre = [weigh(seq[0], probs[0])]
-    for i in range(1, n):
-        pre.append(pre[-1] + weigh(seq[i], mod[i]))
-    suf = [0.0] * (n + 1)
-    for i in range(n - 1, -1, -1):
-        suf[i] = suf[i + 1] + weigh(seq[i], mod[i])
-    s = pre[-1]
-    loss = lambda i: probs[i] + 1
-    if seq[0] == "B" and seq[1] == "K":
-        s -= 0.55 * loss(1)
-    elif seq[0] == "B" and seq[1] == "Q":
-        s -= 0.45 * loss(1)
-    for i in range(2 if seq[0] == "B" else 0, n - 1):
-        s -= {"K": 0.75, "Q": 0.25}.get(seq[i], 0) * loss(i)
-    s -= {"K": 0.0, "Q": 1.0}.get(seq[-1], 0) * loss(n - 1)
-    for i in range(n):
-        s -= {"m": 0.9, "F": 0.1}.get(seq[i], 0) * loss(i)
-    worst = s
-    for i in range(1, n - 1):
-        for table, k in ((pep.SINGLE_RISK, 1), (pep.DOUBLE_RISK, 2)):
-            p = table.get(seq[i : i + k])
-            if p is None or (k == 2 and i >= n - 2):
-                continue
-            miss = max(pre[i - 1] - n + i, suf[i + 1] - i - 1)
-            worst = min(worst, p * s + (1 - p) * miss)
-    return worst
-
-
 def test_expected_query_score(spark):
-    rnd = random.Random(8)
-    data = []
-    for _ in range(80):
-        seq = rnd.choice(["B", ""]) + "".join(rnd.choice("AGVSDKQFmRNWXZL") for _ in range(rnd.randrange(6, 12)))
-        data.append((seq, [rnd.randrange(30, 100) / 100 for _ in seq]))
-    df = spark.createDataFrame(data, "seq string, probs array<double>").select("seq", "probs", pep.expected_query_score(F.col("seq"), F.col("probs")).alias("s"))
-    for r in df.collect():
-        assert abs(r["s"] - expected_score(r["seq"], r["probs"])) < 1e-9, r["seq"]
+    """Hand-computed from the rule: a residue counts (p - 0.275) / 0.725, the first one p; then the discounts."""
+    w = lambda p: (p - 0.275) / 0.725
+    plain = 0.9 + 6 * w(0.9)
+    cases = {
+        "ASLDTLE": plain,  # nothing risky
+        "AXLDTLE": plain - w(0.9),  # X counts nothing
+        "AZLDTLE": plain - w(0.9) / 2,  # Z counts half
+        "ASLFTLE": plain - 0.1 * 1.9,  # F may be oxidised M
+        "ASLDTLQ": plain - 1.0 * 1.9,  # Q at the end is taken for K
+        "ASLDTLK": plain,  # K at the end is sure
+        "ASKDTLE": plain - 0.75 * 1.9,  # K in the middle is hardly ever K
+        "BKLDTLE": plain - 0.55 * 1.9,  # after the boundary it is
+        "ASLDTL": float("-inf"),  # too short
+    }
+    # a residue call that is wrong with probability 0.3 leaves the better side of it
+    before, after = 0.9 + w(0.9) - 7 + 3, 3 * w(0.9) - 3 - 1
+    cases["ASLWTLE"] = 0.7 * plain + 0.3 * max(before + w(0.9), after)
+    df = spark.createDataFrame([(s, [0.9] * len(s)) for s in cases], "seq string, probs array<double>")
+    for r in df.select("seq", pep.expected_query_score(F.col("seq"), F.col("probs")).alias("s")).collect():
+        assert r["s"] == cases[r["seq"]] or abs(r["s"] - cases[r["seq"]]) < 1e-9, (r["seq"], r["s"], cases[r["seq"]])
+
+
+def size_thresholds(spark, vals, per=60, most=5, gap=2_000_000, grid=100_000):
+    df = spark.createDataFrame([(2, v) for v in vals], "charge int, pm_u long")
+    return [r["threshold"] for r in keyed.size_thresholds(df, 10, 20, 100, per, most, gap, grid).orderBy("idx").collect()]
 
 
 def test_size_thresholds_large_rule(spark):
     rnd = random.Random(9)
-    vals = sorted(rnd.randrange(5_000_000, 40_000_000) for _ in range(400))
     per, most, gap, grid = 60, 5, 2_000_000, 100_000
-    classes = min(most, len(vals) // per)
-    nxt, last, want, i = len(vals) // classes, 0, [], 0
-    while i < len(vals):
-        if vals[i] - last > gap and i >= nxt:
-            want.append(vals[i] // grid * grid)
-            last = vals[i]
-            if len(want) == classes - 1 or len(vals) - i < 1.5 * per:
-                break
-            i = nxt = i + (len(vals) - i) // (classes - len(want))
-        i += 1
-    df = spark.createDataFrame([(2, v) for v in vals], "charge int, pm_u long")
-    got = keyed.size_thresholds(df, 10, 20, 100, per, most, gap, grid).orderBy("idx").collect()
-    assert [r["threshold"] for r in got] == want
+    vals = sorted(rnd.randrange(5_000_000, 40_000_000) for _ in range(400))
+    got = size_thresholds(spark, vals)
+    assert 1 <= len(got) <= most - 1 and all(t % grid == 0 for t in got)
+    assert all(b - a > gap - grid for a, b in zip([0, *got], got))
+    cut = [sum(v < t for v in vals) for t in got]
+    assert all(b - a >= len(vals) // most - per for a, b in zip([0, *cut], cut))
+    # worked: 300 values well apart make five classes; each of the first four takes its share of 60 and a value or two more
+    even = [10_000_000 + 3_000_000 * i for i in range(300)]
+    cut = [0, *(even.index(t) for t in size_thresholds(spark, even))]
+    assert len(cut) == 5 and all(60 <= b - a <= 62 for a, b in zip(cut, cut[1:]))
+    # worked: too close together for the gap, so no class can end
+    assert size_thresholds(spark, [1_000_000 + i for i in range(300)]) == []
 
 
 def test_wide_beam_finds_every_path(spark):
