@@ -101,13 +101,16 @@ def mark_keep_exclude(candidates: DataFrame, keep: DataFrame, exclude: DataFrame
 
 
 def query_with_history(
-    candidates: DataFrame, history: DataFrame, mapped: DataFrame, caps: Sequence[tuple[int, int]], base_cap: int = 3
-) -> DataFrame:
+    candidates: DataFrame, history: DataFrame, mapped: DataFrame, caps: Sequence[tuple[int, int]], base_cap: int = 3,
+    max_size: int = 1_000_000, min_score: int = 0, reserve: int = 256, chunk: int = 65_536,
+) -> DataFrame:
     """Choose the sequences of each set for the next query.
 
     Kept sets go whole. Otherwise mapped sequences always go, unused ones fill up to a cap
     that depends on the best score, and a set left empty takes its best sequence used once.
-    ``candidates`` carries ``keep``; ``history`` is seq, uses; ``caps`` is (score above, cap).
+    Sets go by best score, down to ``min_score``, until the letters of what was chosen come within
+    ``reserve`` of ``max_size``. The history counts are those before this query (``update_history``
+    adds the new ones). ``candidates`` carries ``keep``; ``history`` is seq, uses; ``caps`` is (score above, cap).
     """
     marked = (
         candidates.join(history.select("seq", "uses"), "seq", "left")
@@ -145,7 +148,11 @@ def query_with_history(
         .join(open_sets, "set_id", "left_semi")
         .select("set_id", F.col("once.seq").alias("seq"), (-F.col("once.neg")).alias("score"), F.lit("used_once").alias("reason"))
     )
-    return whole.unionByName(always).unionByName(fresh).unionByName(again)
+    chosen = whole.unionByName(always).unionByName(fresh).unionByName(again)
+    letters = chosen.groupBy("set_id").agg(F.sum(F.length("seq")).alias("letters"))
+    sized = letters.join(sets.filter(F.col("best") >= min_score).select("set_id", "best"), "set_id")
+    fits = _in_score_order(sized, chunk).filter(F.col("cum") - F.col("letters") + reserve < max_size)
+    return chosen.join(fits.select("set_id"), "set_id", "left_semi")
 
 
 def update_history(history: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -92,25 +92,36 @@ def best_charge(quality: DataFrame) -> DataFrame:
 
 
 def preference_pairs(items: DataFrame, group: str, item: Sequence[str]) -> DataFrame:
-    """Ordered pairs of a group's items weighted by the difference of max-normalised intensity.
+    """Ordered pairs of a group's items, weighted by their difference and the stronger one.
 
-    A group is the matched fragments of one peptide, bounded by its cuts times the ion
+    With intensities relative to the strongest item, a pair weighs 0.6 x difference + 0.4 x stronger, at
+    most 1. Pairs closer than 0.85 in ratio are left out, and so are weights below 0.1, or below 0.25 when
+    the weaker item has no intensity. ``points`` is the weight in tenths of the strongest intensity. A group is the matched fragments of one peptide, bounded by its cuts times the ion
     table, so its pairs are formed inside one row. ``items``: group, item columns,
     intensity, score.
     """
     one = F.struct(*item, "intensity", "score")
     lists = items.groupBy(group).agg(F.sort_array(F.collect_list(one)).alias("items"), F.max("intensity").alias("top"))
     side = lambda x, s: [x[c].alias(f"{c}_{s}") for c in item]
+
+    def points(a: Column, b: Column) -> Column:
+        return 6 * (a["intensity"] - b["intensity"]) + 4 * a["intensity"]
+
+    def worth(a: Column, b: Column) -> Column:
+        apart = (b["intensity"] < a["intensity"]) & (b["intensity"] * 100 <= a["intensity"] * 85)
+        floor = F.when(b["intensity"] == 0, 5).otherwise(2) * F.col("top")
+        return apart & (2 * points(a, b) >= floor)
+
     pairs = F.flatten(
         F.transform(
             "items",
             lambda a: F.transform(
-                F.filter("items", lambda b: b["intensity"] < a["intensity"]),
+                F.filter("items", lambda b: worth(a, b)),
                 lambda b: F.struct(
                     *side(a, "hi"),
                     *side(b, "lo"),
-                    (a["intensity"] - b["intensity"]).alias("diff"),
-                    ((a["intensity"] - b["intensity"]) / F.col("top")).alias("weight"),
+                    points(a, b).alias("points"),
+                    F.least(F.lit(1.0), points(a, b) / (10 * F.col("top"))).alias("weight"),
                     (a["score"] <= b["score"]).alias("wrong"),
                 ),
             ),
@@ -122,10 +133,10 @@ def preference_pairs(items: DataFrame, group: str, item: Sequence[str]) -> DataF
 def pairwise_rank_error(pairs: DataFrame, group: str) -> DataFrame:
     """Share of pair weight that is ordered wrongly; equal scores count as wrong.
 
-    The normaliser of a group cancels, so the whole intensity differences are summed.
+    The normaliser of a group cancels, so the whole points are summed.
     """
     return pairs.groupBy(group).agg(
-        (F.sum(F.when(F.col("wrong"), F.col("diff")).otherwise(0)) / F.sum("diff")).alias("error")
+        (F.sum(F.when(F.col("wrong"), F.col("points")).otherwise(0)) / F.sum("points")).alias("error")
     )
 
 
@@ -283,20 +294,25 @@ def feature_statistics(features: DataFrame, weighted: DataFrame) -> DataFrame:
 
 # Grid steps from the positive row at which negatives are taken.
 NEGATIVE_STEPS = (4, 5, 7, 9, 10, 15, 19, 20)
+RANDOM_NEGATIVES, RANDOM_DISTANCE = 5, 6
 
 
 def grid_negatives(grid: DataFrame, truth: DataFrame, step: int) -> DataFrame:
     """The grid row nearest to the truth is positive; rows at fixed steps from it are negative.
 
+    Of five rows drawn by a hash those at least six steps away are negative, too. A grid is bounded.
+
     ``grid``: spectrum_id, grid. ``truth``: spectrum_id, truth_u.
     """
     dist = F.abs(F.col("grid") * step - F.col("truth_u"))
     best = (
         grid.join(truth, KEY).groupBy(KEY).agg(F.min(F.struct(dist.alias("d"), "grid")).alias("b")).select(KEY, F.col("b.grid").alias("positive"))
     )
-    joined = grid.select(KEY, "grid").join(best, KEY)
+    lot = F.md5(F.concat_ws(":", KEY, "grid").cast("binary"))
+    drawn = F.row_number().over(W.partitionBy(KEY).orderBy(lot, "grid")) <= RANDOM_NEGATIVES
+    joined = grid.select(KEY, "grid").join(best, KEY).withColumn("drawn", drawn)
     away = F.abs(F.col("grid") - F.col("positive"))
-    return joined.filter((away == 0) | away.isin(*NEGATIVE_STEPS)).select(KEY, "grid", (away == 0).cast("int").alias("label"))
+    return joined.filter((away == 0) | away.isin(*NEGATIVE_STEPS) | (F.col("drawn") & (away >= RANDOM_DISTANCE))).select(KEY, "grid", (away == 0).cast("int").alias("label"))
 
 
 def candidate_sets(positives: DataFrame, candidates: DataFrame) -> DataFrame:

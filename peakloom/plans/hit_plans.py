@@ -145,15 +145,24 @@ QRY6 = f"""WITH c AS (SELECT set_id, seq, max(score) AS score FROM candidates GR
     m AS (SELECT c.*, coalesce(uses, 0) AS uses, coalesce(length(c.seq) >= 12 AND uses > 0, FALSE) AS mapped, k.set_id IS NOT NULL AS keep, max(score) OVER (PARTITION BY c.set_id) AS best
       FROM c LEFT JOIN h USING (seq) LEFT JOIN kept k USING (set_id)),
     r AS (SELECT *, count(*) FILTER (WHERE mapped) OVER w AS n_mapped, count(*) FILTER (WHERE NOT mapped AND uses = 0) OVER w AS n_unused,
-      row_number() OVER (PARTITION BY set_id, mapped, uses ORDER BY score DESC, seq) AS rn, CASE WHEN best > 90 THEN 20 WHEN best > 80 THEN 5 WHEN best > 70 THEN 4 ELSE 3 END AS cap FROM m WINDOW w AS (PARTITION BY set_id))
-    SELECT set_id, seq, score, reason FROM (SELECT *, CASE WHEN keep THEN 'keep' WHEN mapped THEN 'mapped' WHEN uses = 0 AND n_mapped + rn <= cap THEN 'unused'
-      WHEN n_mapped = 0 AND n_unused = 0 AND uses = 1 AND rn = 1 THEN 'used_once' END AS reason FROM r) WHERE reason IS NOT NULL"""
+      row_number() OVER (PARTITION BY set_id, mapped, uses ORDER BY score DESC, seq) AS rn, CASE WHEN best > 90 THEN 20 WHEN best > 80 THEN 5 WHEN best > 70 THEN 4 ELSE 3 END AS cap FROM m WINDOW w AS (PARTITION BY set_id)),
+    q AS (SELECT set_id, seq, score, best, reason FROM (SELECT *, CASE WHEN keep THEN 'keep' WHEN mapped THEN 'mapped' WHEN uses = 0 AND n_mapped + rn <= cap THEN 'unused'
+      WHEN n_mapped = 0 AND n_unused = 0 AND uses = 1 AND rn = 1 THEN 'used_once' END AS reason FROM r) WHERE reason IS NOT NULL AND best >= 50),
+    o AS (SELECT set_id, letters, sum(letters) OVER (ORDER BY best DESC, set_id) AS cum FROM (SELECT set_id, best, sum(length(seq)) AS letters FROM q GROUP BY 1, 2))
+    SELECT set_id, seq, score, reason FROM q SEMI JOIN (SELECT set_id FROM o WHERE cum - letters + 256 < 30000) USING (set_id)"""
 
 
 @query("QRY6", QRY6)
 def qry6(t):
     cands, history, mapped = history_parts(t)
-    return cand.query_with_history(cands, history, mapped, [(70, 4), (80, 5), (90, 20)])
+    return cand.query_with_history(cands, history, mapped, [(70, 4), (80, 5), (90, 20)], max_size=30_000, min_score=50, chunk=16)
+
+
+@query("QRY6H", f"""WITH q AS ({QRY6}), h AS (SELECT seq, count(*) AS uses FROM document_words WHERE length(seq) >= {MIN_CANDIDATE} GROUP BY 1 UNION ALL SELECT seq, count(*) AS uses FROM q GROUP BY 1)
+    SELECT seq, CAST(sum(uses) AS BIGINT) AS uses FROM h GROUP BY 1""")
+def qry6h(t):
+    """The history after the query of QRY6."""
+    return cand.update_history(history_parts(t)[1], qry6(t))
 
 
 NAME_ID = r"/([0-9]+)"

@@ -59,8 +59,9 @@ def items(t):
 
 
 ITEMS = f"SELECT spectrum_id, ion, cut, intensity, -abs(err_u) AS score FROM ion_matches WHERE {OBSERVED}"
-PREF = f"""SELECT a.spectrum_id, a.ion AS ion_hi, a.cut AS cut_hi, b.ion AS ion_lo, b.cut AS cut_lo, (a.intensity - b.intensity)/top AS weight, a.intensity - b.intensity AS diff, a.score <= b.score AS wrong
-    FROM ({ITEMS}) a JOIN ({ITEMS}) b USING (spectrum_id) JOIN (SELECT spectrum_id, max(intensity) AS top FROM ({ITEMS}) GROUP BY 1) USING (spectrum_id) WHERE a.intensity > b.intensity"""
+PREF = f"""SELECT a.spectrum_id, a.ion AS ion_hi, a.cut AS cut_hi, b.ion AS ion_lo, b.cut AS cut_lo, least(1.0, (6*(a.intensity - b.intensity) + 4*a.intensity)/(10*top)) AS weight, 6*(a.intensity - b.intensity) + 4*a.intensity AS points, a.score <= b.score AS wrong
+    FROM ({ITEMS}) a JOIN ({ITEMS}) b USING (spectrum_id) JOIN (SELECT spectrum_id, max(intensity) AS top FROM ({ITEMS}) GROUP BY 1) USING (spectrum_id) WHERE a.intensity > b.intensity AND b.intensity*100 <= a.intensity*85
+    AND 6*(a.intensity - b.intensity) + 4*a.intensity >= (CASE WHEN b.intensity = 0 THEN 2.5 ELSE 1 END)*top"""
 
 
 def pairs(t):
@@ -69,10 +70,10 @@ def pairs(t):
 
 @query("ML5", f"SELECT spectrum_id, ion_hi, cut_hi, ion_lo, cut_lo, round(weight, 6) AS weight, wrong FROM ({PREF})")
 def ml5(t):
-    return rounded(pairs(t).drop("diff"), "weight")
+    return rounded(pairs(t).drop("points"), "weight")
 
 
-@query("ML6", f"SELECT spectrum_id, round(sum(CASE WHEN wrong THEN diff ELSE 0 END)/sum(diff), 6) AS error FROM ({PREF}) GROUP BY 1")
+@query("ML6", f"SELECT spectrum_id, round(sum(CASE WHEN wrong THEN points ELSE 0 END)/sum(points), 6) AS error FROM ({PREF}) GROUP BY 1")
 def ml6(t):
     return rounded(ml.pairwise_rank_error(pairs(t), ID), "error")
 
@@ -166,7 +167,7 @@ def ml19(t):
 @query("ML20", f"SELECT spectrum_id, ion_hi, cut_hi, ion_lo, cut_lo, round(weight, 6) AS weight FROM ({PREF}) WHERE wrong ORDER BY round(weight, 9) DESC, spectrum_id, ion_hi, cut_hi, ion_lo, cut_lo LIMIT 200")
 def ml20(t):
     order = [F.col(c) for c in (ID, "ion_hi", "cut_hi", "ion_lo", "cut_lo")]
-    return rounded(ml.misordered_pairs(pairs(t), 200, order).drop("wrong", "diff"), "weight")
+    return rounded(ml.misordered_pairs(pairs(t), 200, order).drop("wrong", "points"), "weight")
 
 
 @query("ML21", f"""SELECT CAST(k AS INTEGER) AS k, count(*) AS n, round(avg(p), 6) AS mean_rank, round(stddev_pop(p), 6) AS sd_rank FROM (SELECT row_number() OVER (PARTITION BY spectrum_id ORDER BY intensity DESC, ion, cut) AS k,
@@ -179,7 +180,8 @@ def ml21(t):
       WHERE a.mass_u < b.mass_u AND abs(a.mass_u + b.mass_u - s.sum_u) <= 50000),
     x AS (SELECT spectrum_id, err_u, unnest(range(-20, 21)) AS grid FROM p), g AS (SELECT DISTINCT spectrum_id, grid FROM x WHERE abs(err_u - grid*1000) <= 30000),
     b AS (SELECT spectrum_id, grid AS positive FROM (SELECT g.*, row_number() OVER (PARTITION BY g.spectrum_id ORDER BY abs(grid*1000 - (coalesce(sqs, 0) - 500)*20), grid) AS rn FROM g JOIN spectra USING (spectrum_id)) WHERE rn = 1)
-    SELECT spectrum_id, grid, CAST(grid = positive AS INTEGER) AS label FROM g JOIN b USING (spectrum_id) WHERE abs(grid - positive) IN (0, 4, 5, 7, 9, 10, 15, 19, 20)""")
+    SELECT spectrum_id, grid, CAST(grid = positive AS INTEGER) AS label FROM (SELECT *, row_number() OVER (PARTITION BY spectrum_id ORDER BY md5(spectrum_id || ':' || grid), grid) AS lot FROM g) JOIN b USING (spectrum_id)
+    WHERE abs(grid - positive) IN (0, 4, 5, 7, 9, 10, 15, 19, 20) OR (lot <= 5 AND abs(grid - positive) >= 6)""")
 def ml22(t):
     from peakloom.operators.stats import scan_pm_grid
 
