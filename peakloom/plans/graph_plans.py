@@ -64,9 +64,10 @@ def gr2(t):
     return gr.merge_close_nodes(gr.fragment_nodes(t.strong(), t.spectra()), EDGE_TOL)[0]
 
 
-@query("GR3", """WITH w AS (SELECT spectrum_id, residue, pm_u - 190184 - mass AS want_u FROM spectra CROSS JOIN residues WHERE residue IN ('K', 'R')),
-    b AS (SELECT spectrum_id, residue, mass_u FROM (SELECT w.*, n.mass_u, row_number() OVER (PARTITION BY w.spectrum_id, w.residue ORDER BY abs(n.mass_u - want_u), n.mass_u) AS rn FROM w JOIN graph_nodes n ON n.spectrum_id = w.spectrum_id AND abs(n.mass_u - want_u) <= 7500) WHERE rn = 1)
-    SELECT spectrum_id, mass_u, score, n_frags, (spectrum_id, mass_u) IN (SELECT (spectrum_id, mass_u) FROM b) AS is_digest FROM graph_nodes
+@query("GR3", """WITH g AS MATERIALIZED (SELECT * FROM graph_nodes), w AS (SELECT spectrum_id, residue, pm_u - 190184 - mass AS want_u FROM spectra CROSS JOIN residues WHERE residue IN ('K', 'R')),
+    b AS MATERIALIZED (SELECT spectrum_id, residue, mass_u FROM (SELECT w.*, n.mass_u, row_number() OVER (PARTITION BY w.spectrum_id, w.residue ORDER BY abs(n.mass_u - want_u), n.mass_u) AS rn FROM w JOIN g n ON n.spectrum_id = w.spectrum_id AND abs(n.mass_u - want_u) <= 7500) WHERE rn = 1),
+    f AS (SELECT DISTINCT spectrum_id, mass_u, TRUE AS flag FROM b)
+    SELECT spectrum_id, mass_u, score, n_frags, coalesce(flag, FALSE) AS is_digest FROM g LEFT JOIN f USING (spectrum_id, mass_u)
     UNION ALL SELECT spectrum_id, want_u, 0, 0, TRUE FROM w ANTI JOIN b USING (spectrum_id, residue)""")
 def gr3(t):
     nodes, _, _ = t.graph()

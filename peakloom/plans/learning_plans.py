@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
 from peakloom.operators import learning as ml
@@ -25,22 +27,29 @@ def documents_for_model(t):
     )
 
 
-@query("ML1")
+MODEL_ROWS = """SELECT doc_id, quality, ln(n_chars) AS log_chars, CAST(lang = 'en' AS DOUBLE) AS is_en, CAST(toxic AS DOUBLE) AS toxic,
+    CASE WHEN n_chars < 1500 THEN 'short' ELSE 'long' END AS size, 1.0 + toxic AS weight FROM labelled"""
+
+
+@query("ML1", f"SELECT size, count(*) AS n_rows, round(sum(weight*quality)/sum(weight), 3) AS mean_label, round(sum(weight*quality)/sum(weight), 3) AS mean_fitted FROM ({MODEL_ROWS}) GROUP BY 1")
 def ml1(t):
+    """With a free intercept the fitted probabilities of a class have the mean of its labels."""
     rows = documents_for_model(t)
     models = ml.fit_probability(rows, INPUTS, "quality", "weight", ["size"])
-    # the fitted models are a handful of numbers on the driver
-    flat = [(k[0], n, float(w)) for k, m in models.items() for n, w in [*zip(INPUTS, m.coefficients), ("intercept", m.intercept)]]
-    coefficients = t.spark.createDataFrame(flat, "size string, term string, weight double")
-    counts = rows.groupBy("size").agg(F.count(F.lit(1)).alias("n_rows"))
-    return coefficients.join(counts, "size")
+    scored = ml.predict_probability(rows, models, INPUTS, ["size"], 0.0, 1.0)
+    mean = lambda c: F.round(F.sum(F.col("weight") * F.col(c)) / F.sum("weight"), 3)
+    return scored.groupBy("size").agg(F.count(F.lit(1)).alias("n_rows"), mean("quality").alias("mean_label"), mean("prob").alias("mean_fitted"))
+
 
+#: Given models of both sizes: coefficients of INPUTS and the intercept.
+GIVEN = {("short",): SimpleNamespace(coefficients=(0.25, -0.5, -1.25), intercept=0.5), ("long",): SimpleNamespace(coefficients=(-0.125, 0.75, -0.5), intercept=1.5)}
+_LINEAR = "CASE size " + " ".join(f"WHEN '{k[0]}' THEN {m.intercept} + " + " + ".join(f"{n}*({w})" for n, w in zip(INPUTS, m.coefficients)) for k, m in GIVEN.items()) + " END"
 
-@query("ML2")
+
+@query("ML2", f"SELECT doc_id, size, round(p, 6) AS prob, round(greatest((p - 0.05)*1.1, 0.0), 6) AS corrected FROM (SELECT doc_id, size, 1/(1 + exp(-({_LINEAR}))) AS p FROM ({MODEL_ROWS}))")
 def ml2(t):
-    rows = documents_for_model(t)
-    models = ml.fit_probability(rows, INPUTS, "quality", "weight", ["size"])
-    return ml.predict_probability(rows, models, INPUTS, ["size"], -0.05, 1.1).select("doc_id", "size", "prob", "corrected")
+    out = ml.predict_probability(documents_for_model(t), GIVEN, INPUTS, ["size"], -0.05, 1.1)
+    return rounded(out.select("doc_id", "size", "prob", "corrected"), "prob", "corrected")
 
 
 @query("ML3", """SELECT spectrum_id, a.charge, round(min(CASE WHEN b.prob IS NULL THEN NULL WHEN a.prob + b.prob > 0 THEN a.prob/(a.prob + b.prob) ELSE 0.5 END), 6) AS min_prob FROM quality a LEFT JOIN quality b USING (spectrum_id) WHERE b.charge <> a.charge OR (SELECT count(*) FROM quality q WHERE q.spectrum_id = a.spectrum_id) = 1 GROUP BY 1, 2""")

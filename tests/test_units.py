@@ -99,6 +99,23 @@ def test_protein_groups_count_every_alignment(spark):
     assert rows(fdr.protein_groups(proteins, peptides).select("protein_id", "group_id", "is_founder")) == [(1, 1, True), (2, 2, True)]
 
 
+def test_group_report(spark):
+    proteins = spark.createDataFrame([(1, False, 30, 2, 20, 20), (2, True, 10, 1, 10, 10)], "protein_id long, is_decoy boolean, total long, n_peptides long, best_score long, adj_score long")
+    groups = spark.createDataFrame([(1, 1, True), (2, 1, False)], "protein_id long, group_id long, is_founder boolean")
+    names = spark.createDataFrame([(1, "P1|one"), (2, "P2|two")], "protein_id long, name string")
+    report = fdr.group_report(groups, proteins, names, fdr.fdr_levels(proteins, "adj_score"))
+    got = rows(report.select("group_id", "n_proteins", "n_peptides", "adj_score", "total", "fdr", "top_name", "accession"))
+    assert got == [(1, 2, 2, 20, 30, 0.0, "P1|one", "P1"), (1, 2, 2, 20, 30, 0.0, "P1|one", "P2")]
+
+
+def test_history_adds_up(spark):
+    from peakloom.operators import candidates as cand
+
+    old = spark.createDataFrame([("A", 2), ("B", 1)], "seq string, uses long")
+    new = spark.createDataFrame([("B",), ("C",), ("C",)], "seq string")
+    assert rows(cand.update_history(old, new)) == [("A", 2), ("B", 2), ("C", 2)]
+
+
 def test_representative_counts_all_copies(spark):
     peaks = [(s, m, i) for s in (1, 2, 3) for m, i in ((1_000_000, 10), (2_000_000, 20))] + [(9, 1_000_100, 10), (9, 2_000_100, 20)]
     spectra = spark.createDataFrame([(s, 9_000_000, 2) for s in (1, 2, 3, 9)], "spectrum_id long, mz_u long, charge int")
