@@ -170,8 +170,8 @@ def near_links(fps: DataFrame, n: int, radius: int = RADIUS, shard_points: int =
     """Links (a, b) that connect all of the ``n`` distinct values ``fp`` within ``radius`` of each other."""
     depth = max(0, math.ceil(math.log2(max(1, n / shard_points))))
     # The sample only decides where the shards lie: SAMPLE_PER_SHARD points for each.
-    rows = fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE_PER_SHARD * 2**depth).collect() if depth else []
-    tree = Tree(np.array([r["fp"] for r in rows], np.int64).view(np.uint64), depth)
+    sample = fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE_PER_SHARD * 2**depth).toArrow()
+    tree = Tree(sample.column("fp").to_numpy().view(np.uint64), depth)
     routed = fps.select("fp").mapInArrow(_routed(tree, radius), "shard bigint, fp bigint, home boolean")
     return routed.groupBy("shard").applyInArrow(_stars(radius), "a bigint, b bigint")
 
