@@ -186,7 +186,7 @@ def tag_table(nodes: DataFrame, edges: DataFrame, wanted: dict[int, int], tol: i
     """Tags of several lengths; a longer tag that contains a listed shorter one is dropped."""
     parts = [tags(nodes, edges, k, n, tol).select(KEY, "tag", "score", "start_u", "end_u") for k, n in sorted(wanted.items())]
     every = cut_lineage(reduce(DataFrame.unionByName, parts))
-    kept = drop_covered(every, KEY, min(wanted), max(wanted))
+    kept = drop_covered(every, KEY)
     return every.join(kept, [KEY, "tag"], "left_semi")
 
 
