@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from peakloom.session import cut_lineage
 from peakloom.functions.ordered import row_numbers, running_sums
 from peakloom.operators.components import connected_components
 
@@ -148,7 +149,8 @@ def query_with_history(
         .join(open_sets, "set_id", "left_semi")
         .select("set_id", F.col("once.seq").alias("seq"), (-F.col("once.neg")).alias("score"), F.lit("used_once").alias("reason"))
     )
-    chosen = whole.unionByName(always).unionByName(fresh).unionByName(again)
+    # read twice below, and small against the candidates
+    chosen = cut_lineage(whole.unionByName(always).unionByName(fresh).unionByName(again))
     letters = chosen.groupBy("set_id").agg(F.sum(F.length("seq")).alias("letters"))
     sized = letters.join(sets.filter(F.col("best") >= min_score).select("set_id", "best"), "set_id")
     fits = _in_score_order(sized, chunk).filter(F.col("cum") - F.col("letters") + reserve < max_size)
