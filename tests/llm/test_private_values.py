@@ -1,0 +1,18 @@
+"""Private values that once stayed in clear text."""
+
+import re
+
+from peakloom.llm import pii
+from peakloom.llm.common import table
+from test_corpus import luhn, texts_of
+
+
+def test_no_planted_value_is_left_at_any_area(spark):
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    out = {r.doc_id: r for r in pii.pseudonymise(docs).collect()}
+    phones = 0
+    for i, text in texts_of(docs):
+        private = re.findall(r"[a-z]+\.\d\d@mail\d\.example\.com|\+1 \(\d{3}\) 555-\d{4}|\b\d{16}\b", text)
+        assert not any(p in out[i].text for p in private if not p.isdigit() or luhn(p))
+        phones += sum(p.startswith("+1 (0") for p in private)
+    assert phones == 19
