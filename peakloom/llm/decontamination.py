@@ -84,8 +84,8 @@ class Block:
     def number_within(self, terms: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.keys, terms << 40 | np.maximum(last, 0)) - np.searchsorted(self.keys, terms << 40 | np.maximum(first, 0))
 
-    def search(self, phrases: Phrases, slop: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(window, start) of all matches."""
+    def search(self, phrases: Phrases, slop: int, begin: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window, start) of all matches; ``begin`` has the first place of every document."""
         big = np.iinfo(np.int64).max
         counts = np.where(phrases.terms >= 0, self.count[phrases.terms], big)
         possible = np.flatnonzero(counts.min(axis=1, initial=big) > 0) if len(counts) else np.zeros(0, np.int64)
@@ -102,7 +102,7 @@ class Block:
                 which = np.repeat(group, take)
                 nth = np.arange(len(which)) - np.repeat(np.cumsum(take) - take, take) + skip
                 place = self.places[self.begin[rarest[which]] + nth]
-                yield from self._near(phrases, possible, order, which, place, slop) if slop else self._exact(phrases, possible, order, which, place)
+                yield from self._near(phrases, possible, order, which, place, slop, begin) if slop else self._exact(phrases, possible, order, which, place)
 
     def _exact(self, phrases, possible, order, which, place):
         start = place - order[which, 0]
@@ -114,11 +114,15 @@ class Block:
         ok = start >= 0
         yield possible[which[ok]], start[ok]
 
-    def _near(self, phrases, possible, order, which, place, slop):
-        """Starts of spans of length plus slop words that hold all terms, each as often as the window has it."""
+    def _near(self, phrases, possible, order, which, place, slop, begin):
+        """Starts of spans of length plus slop words that hold all terms, each as often as the window has it.
+
+        A span begins in its document: one from the gap before it holds no more than the one from its first word.
+        """
+        least = begin[np.searchsorted(begin, place, "right") - 1]
         for back in range(phrases.terms.shape[1] + slop):
             span = phrases.lengths[possible[which]] + slop
-            ok = (back < span) & (place >= back)
+            ok = (back < span) & (place - back >= least)
             w, start = which[ok], place[ok] - back
             for k in range(phrases.terms.shape[1]):
                 row = phrases.terms[possible[w]]
@@ -189,7 +193,7 @@ def _search(shared, gap: int, slop: int):
                 begin = np.cumsum([0, *(n + gap for n in sizes)])
                 depth = np.zeros(begin[-1] + 1, np.int64)
                 pairs = [np.zeros((0, 2), np.int64)]
-                for window, start in block.search(phrases, slop):
+                for window, start in block.search(phrases, slop, begin):
                     end = start + phrases.lengths[window] + slop
                     np.add.at(depth, start, 1)
                     np.add.at(depth, np.minimum(end, begin[-1]), -1)
