@@ -439,6 +439,11 @@ def _with_wanted(base: DataFrame, values: DataFrame, column: str, rows: DataFram
     return base.join(lists, "row", "left").select("row", "t", "wanted"), None
 
 
+def dealt(contents: DataFrame) -> DataFrame:
+    """The contexts of an anchor that are merged in one task, those of a hot one, which need no common task, over all."""
+    return contents.repartition("h", F.when(F.col("hot"), F.col("c")))
+
+
 def repeated_runs(
     base: DataFrame, length: int = LENGTH, gram: int = GRAM, filter_max: int = FILTER_MAX, hot_spots: int = HOT_SPOTS, large: int = LARGE, most_bytes: int = MOST_BYTES
 ) -> DataFrame:
@@ -462,7 +467,7 @@ def repeated_runs(
     # which anchors are hot is kept as a bitmap of fixed size, too: one more that it holds only takes the other exact way
     single = base.sparkSession.sparkContext.broadcast(Bitmap(hot, "h")) if hot.head(1) else None
     contents = scan.mapInArrow(_contents(length, gram, bitmap, single), "h bigint, c bigint, off bigint, hot boolean, ctx binary")
-    merged = stored(contents.repartition("h").sortWithinPartitions("h").mapInArrow(_merge(length, large, most_bytes), _RUNS_SQL), "runs")
+    merged = stored(dealt(contents).sortWithinPartitions("h").mapInArrow(_merge(length, large, most_bytes), _RUNS_SQL), "runs")
     # windows that were counted one by one; a context may be delivered more than once, a window counts once a place
     single = merged.filter("w1 is not null").select("h", "c", "w1", "w2", "at").distinct()
     twice = single.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("w1", "w2")
