@@ -10,12 +10,15 @@ from peakloom.llm.common import table
 from peakloom.llm.decontamination import contamination
 from peakloom.llm.exact_dedup import exact_dedup
 from peakloom.llm.line_dedup import line_dedup
+from peakloom.llm.mixing import mix_documents
 from peakloom.llm.pii import pseudonymise
 from peakloom.llm.quality import fit, score_documents
 from peakloom.llm.sharding import shard_rows
 from peakloom.llm.simhash import simhash_groups
+from peakloom.llm.spelling import spelling_forms
 from peakloom.llm.suffix_dedup import suffix_dedup
 from peakloom.llm.url_filter import rules_table, url_filter
+from peakloom.llm.whitening import whiten
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
@@ -117,5 +120,43 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op3_suffix_dedup, op4_simhash, op5_sharding, op6_quality, op7_bpe, op8_line_dedup, op9_decontamination, op10_pii)}
-ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op8_line_dedup": OP8_SQL, "op9_decontamination": OP9_SQL}
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = F.col("mixes")[0]
+    return mix_documents(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", mix["target"].alias("target"), mix["taken"].alias("taken"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, source, row_number() OVER () AS r, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+       CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS k FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+c AS (SELECT *, sum(3 * n) OVER o AS cc, sum(w) OVER o AS cw, sum(n) OVER () AS total, sum(w) OVER () AS tw FROM s WINDOW o AS (ORDER BY 3 * n / w, source ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT *, cc * w + 3 * n * (tw - cw) <= total * w AS capped FROM c),
+t AS (SELECT source, n, CASE WHEN capped THEN CAST(3 * n AS DOUBLE) ELSE CAST(w * (total - coalesce(sum(3 * n) FILTER (capped) OVER (), 0)) AS DOUBLE) / sum(w) FILTER (NOT capped) OVER () END AS target FROM f),
+b AS (SELECT source, n, target, CASE WHEN n > 0 THEN CAST(round(target) AS BIGINT) // n ELSE 0 END AS whole, CASE WHEN n > 0 THEN CAST(round(target) AS BIGINT) % n ELSE 0 END AS rest FROM t),
+o AS (SELECT d.doc_id, d.size, b.*, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.r ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, n AS source_size, target,
+       CAST(size * (whole + CASE WHEN upto <= rest OR (upto - size <= rest AND 2 * (rest - upto + size) > size) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM o
+"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, model = whiten(table(spark, sf_dir, "embeddings"))
+    share = F.element_at(F.array(*[F.lit(float(e)) for e in model["explained"]]).cast("array<double>"), F.col("component"))
+    rows = out.select(F.col("id").alias("vec_id"), "n", "deviation", F.posexplode("whitened").alias("at", "whitened")).withColumn("component", F.col("at") + 1)
+    # beyond the range of a long the exact value is in deviation_exact only
+    long = F.col("deviation").try_cast("bigint")
+    return rows.select("vec_id", "component", "n", long.alias("deviation"), "whitened", share.alias("explained"), F.lit(model["identity_error"]).alias("identity_error"), F.col("deviation").alias("deviation_exact"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_forms(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filter, op2_exact_dedup, op3_suffix_dedup, op4_simhash, op5_sharding, op6_quality, op7_bpe, op8_line_dedup, op9_decontamination, op10_pii,
+        op11_mixing, op12_whitening, op13_spelling,
+    )
+}
+ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op8_line_dedup": OP8_SQL, "op9_decontamination": OP9_SQL, "op11_mixing": OP11_SQL}
