@@ -458,7 +458,7 @@ def repeated_runs(
         scan, bitmap = _with_wanted(base, repeated, "h", places, -1)
     spots = stored(scan.mapInArrow(_spots(length, gram, bitmap), "row bigint, start bigint, n bigint, h bigint, c bigint"), "spots")
     # the different contexts: how often, and one spot where each is found
-    forms = spots.groupBy("h", "c").agg(F.count(F.lit(1)).alias("times"), F.max("n").alias("n"), F.min(F.xxhash64("row", "start")).alias("spot"))
+    forms = spots.groupBy("h", "c").agg(F.count(F.lit(1)).alias("times"), F.min(F.xxhash64("row", "start")).alias("spot"))
     by_anchor = stored(forms, "contexts")
     several = by_anchor.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("h")
     needed = stored(by_anchor.join(several, "h").select("spot"), "needed")
@@ -473,10 +473,11 @@ def repeated_runs(
     twice = single.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("w1", "w2")
     listed = single.join(twice, ["w1", "w2"]).select("h", "c", F.col("at").alias("first"), F.col("at").alias("last"))
     runs = merged.filter("w1 is null").dropDuplicates(["h", "c"]).select("h", "c", F.explode(F.arrays_zip("first", "last")).alias("r")).select("h", "c", "r.first", "r.last")
-    whole = by_anchor.filter("times > 1").select("h", "c", F.lit(0).alias("first"), (F.col("n") - 1).cast("int").alias("last"))
+    whole = by_anchor.filter("times > 1").select("h", "c", F.lit(0).alias("first"), F.lit(None).cast("int").alias("last"))
     once = by_anchor.filter("times = 1").select("h", "c")
     verdicts = whole.unionByName(runs.unionByName(listed).join(once, ["h", "c"], "left_semi"))
-    return spots.join(verdicts, ["h", "c"]).select("row", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))
+    # a context that is repeated as a whole takes its last window from the spot
+    return spots.join(verdicts, ["h", "c"]).select("row", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.coalesce("last", F.col("n") - 1)).alias("last"))
 
 
 def _places(length: int, gram: int):
@@ -487,6 +488,21 @@ def _places(length: int, gram: int):
     return run
 
 
+def row_hash(row: np.ndarray) -> np.ndarray:
+    """xxhash64(row) of a bigint column."""
+    return _xx_long(row.astype(np.int64).view(np.uint64), np.full(len(row), 42, np.uint64)).view(np.int64)
+
+
+def _texts(bitmap, inside: bool):
+    """(doc_id, row, t) of the rows that the bitmap has, or of the others."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(bitmap.value.has(row_hash(batch.column(1).to_numpy())) == inside))
+
+    return run
+
+
 def _removed(length: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -525,6 +541,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     base = settled(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_bytes(text_col).alias("t"))
     runs = repeated_runs(base.select("row", "t"), length, **options)
-    lists = runs.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("runs"))  # bounded by the document
-    joined = base.join(lists, "row", "left").select("doc_id", "t", "runs")
+    lists = stored(runs.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "run-lists")  # bounded by the document
+    # only texts that have runs are shuffled to them; the bitmap may send a few others along
+    bitmap = docs.sparkSession.sparkContext.broadcast(Bitmap(lists.select(F.xxhash64("row").alias("v")), "v"))
+    some, rest = (base.mapInArrow(_texts(bitmap, inside), "doc_id bigint, row bigint, t binary") for inside in (True, False))
+    none = F.lit(None).cast(lists.schema["runs"].dataType)
+    joined = some.join(lists, "row", "left").select("doc_id", "t", "runs").unionByName(rest.select("doc_id", "t", none.alias("runs")))
     return joined.mapInArrow(_removed(length), "doc_id bigint, n_bytes bigint, first array<bigint>, last array<bigint>, kept binary")
