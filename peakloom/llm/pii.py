@@ -28,7 +28,11 @@ ROUNDS = 8
 WALKS = 64
 
 # Candidates; the order decides where two could begin at the same place.
-_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+"
+# A mailbox is tried once a run of its characters, or where another candidate has ended; possessive and
+# bounded repeats keep the time linear and the stack flat, whatever the length of the text.
+_RUN_START = r"(?:(?<![A-Za-z0-9._%+-])|\G)"
+_LABEL = r"[A-Za-z0-9]++(?:-++[A-Za-z0-9]++){0,31}+"
+_EMAIL = _RUN_START + rf"[A-Za-z0-9._%+-]++@{_LABEL}(?:\.{_LABEL}){{1,126}}+"
 _SECRET = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|password=[^\x20\x09-\x0D]+)"
 _ISO = r"(?<![\d.-])\d{4}-\d{2}-\d{2}(?![\d-]|\.\d)"
 _DAY = r"(?<![\d./])\d{1,2}([./])\d{1,2}\1\d{4}(?![\d/]|\.\d)"
@@ -42,7 +46,7 @@ _FIRST_DAY, _DAYS = "1900-01-01", 73_049
 
 def _whole(m: Column, pattern: str) -> Column:
     """Was the candidate found by this pattern? (Its look-around was tested in place.)"""
-    bare = pattern.replace(r"(?<![\d.-])", "").replace(r"(?![\d-]|\.\d)", "").replace(r"(?<![\d./])", "").replace(r"(?![\d/]|\.\d)", "")
+    bare = pattern.replace(_RUN_START, "").replace(r"(?<![\d.-])", "").replace(r"(?![\d-]|\.\d)", "").replace(r"(?<![\d./])", "").replace(r"(?![\d/]|\.\d)", "")
     for look in (r"(?<![\d-])", r"(?![\d-])", r"(?!\d)", r"(?<![\d+])", r"(?<![\d.+-])", r"(?<![\d.])", r"(?!\d|\.\d)", r"(?<![\d])", r"(?![\d])", r"(?<![A-Za-z0-9])", r"(?![0-9A-Za-z])"):
         bare = bare.replace(look, "")
     return m.rlike(f"^(?:{bare})$")
@@ -193,7 +197,9 @@ def replacement(m: Column, key: str = KEY) -> Column:
 def pseudonymise(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, n_replaced, kinds) of every row; ``kinds`` is a comma-joined sorted list of the kinds replaced.
 
-    A null text stays null, an empty one empty; both, and texts without candidates, have no kinds.
+    A null text stays null, an empty one empty; both, and texts without candidates, have no kinds. Texts
+    and mailboxes may have any length; of a host name with over 127 labels the first 127 count, and a
+    label with over 32 parts between dashes (no host name has one) makes no mailbox.
     Candidates that are not valid stay as they are. Null and repeated ids pass through, an empty table
     gives no rows, other columns are not read.
     """
