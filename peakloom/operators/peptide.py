@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -179,22 +181,66 @@ def _weighted_table(x: Column, y: Column) -> Column:
     return F.element_at(F.aggregate(F.sequence(F.lit(1), F.length(x)), first, next_row), -1)
 
 
-def edit_distance_pairs(queries: DataFrame, database: DataFrame, max_len_diff: int = 4, gram: int = 4) -> DataFrame:
-    """Distances of (query, database) sequences that share a normalised gram and are close in length.
+def _free_letters(seq: Column) -> Column:
+    """Letters that cost nothing or half to swap become one: the plain distance is then never above the weighted one."""
+    return F.translate(seq, "IKmD", "LQFN")
 
-    ``queries``: query; ``database``: target. Pairs meet on a shared gram, never on length alone.
+
+def _probes(parts: int, chosen: int, within: int) -> list[tuple[int, int, tuple[int, ...], tuple[int, ...]]]:
+    """(combination, length difference, parts, their shifts) that ``within`` errors can leave unchanged.
+
+    Errors before, between and after the chosen parts make up the shifts; where no letter of the indexed
+    text lies in between, letters can only have been added.
     """
-    norm = lambda c: F.translate(c, "IK", "LQ")
-    grams = lambda c: F.array_distinct(F.regexp_extract_all(norm(c), F.lit(f"(?=(.{{{gram}}}))"), 1))
-    q = queries.select("query").distinct().select("query", F.explode(grams(F.col("query"))).alias("gram"))
-    d = database.select("target").distinct().select("target", F.explode(grams(F.col("target"))).alias("gram"))
-    pairs = (
-        q.join(d, "gram")
-        .filter(F.abs(F.length("query") - F.length("target")) <= max_len_diff)
-        .select("query", "target")
-        .distinct()
-    )
-    return pairs.withColumn("distance", weighted_edit_distance(F.col("query"), F.col("target")))
+    out = []
+    for number, combo in enumerate(itertools.combinations(range(parts), chosen)):
+        for delta in range(-within, within + 1):
+            for shifts in itertools.product(range(-within, within + 1), repeat=chosen):
+                steps = [b - a for a, b in zip((0, *shifts), (*shifts, delta))]
+                gaps = [b - a - 1 for a, b in zip((-1, *combo), (*combo, parts))]
+                if sum(map(abs, steps)) <= within and all(gap or step >= 0 for gap, step in zip(gaps, steps)):
+                    out.append((number, delta, combo, shifts))
+    return out
+
+
+def _segment_keys(text: Column, parts: int, chosen: int, within: int, indexed: bool) -> Column:
+    """Array of keys: indexed texts give one for each combination of parts, probing texts one for each shift, too."""
+    found = _probes(parts, chosen, within)
+    if indexed:
+        found = [f for f in found if f[1] == 0 and not any(f[3])]
+    places = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(d).alias("d"), F.array(*[F.struct(F.lit(p).alias("p"), F.lit(s).alias("s")) for p, s in zip(c, o)]).alias("at")) for n, d, c, o in found])
+
+    def key(place: Column) -> Column:
+        length = F.length(text) - place["d"]
+        begin = lambda x: F.floor(x["p"] * length / parts).cast("int")
+        end = lambda x: F.floor((x["p"] + 1) * length / parts).cast("int")
+        inside = F.forall(place["at"], lambda x: (begin(x) + x["s"] >= 0) & (end(x) + x["s"] <= F.length(text)))
+        pieces = F.transform(place["at"], lambda x: F.substring(text, begin(x) + x["s"] + 1, end(x) - begin(x)))
+        return F.when(inside & (length > 0), F.concat_ws("|", length.cast("string"), place["n"].cast("string"), pieces))
+
+    return F.array_distinct(F.filter(F.transform(places, key), lambda k: k.isNotNull()))
+
+
+def edit_distance_pairs(queries: DataFrame, database: DataFrame, within: float = 2.0, spare: int = 1, index: str = "target") -> DataFrame:
+    """All (query, target, distance) of different texts whose weighted distance is at most ``within``.
+
+    A text is cut into ``within`` + 1 + ``spare`` parts. So many errors leave ``spare`` + 1 of them unchanged,
+    shifted by no more than the errors before them; pairs meet by equality on these parts, their number and
+    the length, so no pair is lost and none meets on a single short part. More ``spare`` parts make keys
+    longer and more of them. The ``index`` side (query or target), better the larger, has few keys a text.
+    The plain distance with a bound sheds pairs before the weighted one is computed, once a pair.
+    ``queries``: query; ``database``: target. Repeated texts count once; null and empty texts have no pairs.
+    """
+    errors = math.floor(within)
+    parts, chosen = errors + 1 + spare, spare + 1
+
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        texts = df.select(name).filter(F.length(name) > 0).distinct().withColumn(f"{name}_free", _free_letters(F.col(name)))
+        return texts.withColumn("key", F.explode(_segment_keys(F.col(f"{name}_free"), parts, chosen, errors, name == index)))
+
+    met = keyed(queries, "query").join(keyed(database, "target"), "key")
+    close = met.filter(F.levenshtein("query_free", "target_free", errors) >= 0).select("query", "target").distinct()
+    return close.withColumn("distance", weighted_edit_distance(F.col("query"), F.col("target"))).filter(F.col("distance") <= within)
 
 
 # Residue groups by side chain; a composition category is the group text of a short run.

@@ -83,11 +83,21 @@ def seq8(t):
     return paths(t).select(ID, pep.correct_residues(F.col("path"), F.col("n_mass"), F.col("peptide")).alias("n_correct"))
 
 
-@query("SEQ9")
+# all pairs whose distance with free I/L, K/Q and N/D is at most 2, then the table of the weighted distance
+_EDIT = """list_reduce(list_transform(range(1, length(x) + 1), lambda i: [CAST(i AS DOUBLE)]), lambda row, e:
+    list_reduce(list_transform(range(1, length(y) + 1), lambda j: [CAST(j AS DOUBLE)]), lambda acc, f: list_append(acc, least(acc[-1] + 1, row[CAST(f[1] AS INTEGER) + 1] + 1,
+      row[CAST(f[1] AS INTEGER)] + CASE WHEN substr(x, CAST(e[1] AS INTEGER), 1) = substr(y, CAST(f[1] AS INTEGER), 1) THEN 0
+        WHEN substr(x, CAST(e[1] AS INTEGER), 1) || substr(y, CAST(f[1] AS INTEGER), 1) IN ('ND', 'DN') THEN 0.5 ELSE 1 END)), [row[1] + 1]),
+    list_transform(range(0, length(y) + 1), lambda j: CAST(j AS DOUBLE)))[-1]"""
+
+
+@query("SEQ9", f"""WITH q AS (SELECT DISTINCT seq AS query, translate(seq, 'IK', 'LQ') AS x FROM candidates), d AS (SELECT DISTINCT seq AS target, translate(seq, 'IK', 'LQ') AS y FROM benchmark_words WHERE seq <> ''),
+    p AS (SELECT * FROM q JOIN d ON abs(length(query) - length(target)) <= 2 WHERE levenshtein(translate(x, 'D', 'N'), translate(y, 'D', 'N')) <= 2)
+    SELECT * FROM (SELECT query, target, CAST({_EDIT} AS DOUBLE) AS distance FROM p) WHERE distance <= 2""")
 def seq9(t):
     q = t.candidates().select(F.col("seq").alias("query"))
-    d = t.words("benchmark", "item_id", 8).select(F.col("seq").alias("target"))
-    return pep.edit_distance_pairs(q, d, 4, 5)
+    d = t.words("benchmark", "item_id", 1).select(F.col("seq").alias("target"))
+    return pep.edit_distance_pairs(q, d, 2, index="query")
 
 
 @query("SEQ10", """WITH g AS (SELECT translate(peptide, 'AVLIMCFWYSTNQKRHDEGP', '00000011122223334455') AS s FROM annotated), r AS (SELECT s, CAST(k AS INTEGER) AS n_res, unnest(range(1, length(s) - k + 2)) AS i, k FROM g, range(1, 4) AS x(k))
