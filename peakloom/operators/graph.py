@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from peakloom.functions import mass
 from peakloom.functions.band import band_join
@@ -111,6 +112,52 @@ def node_edges(nodes: DataFrame, tol: int, doubles: bool = False) -> DataFrame:
     return mass_difference_edges(nodes, tol, doubles)
 
 
+def sum_table(spark: SparkSession, length: int, tol: int, width: int) -> DataFrame:
+    """Sums of ``length`` residues, each combination once, laid out over difference buckets.
+
+    Bounded by the alphabet: C(18 + length, length) combinations, each in a few buckets.
+    """
+    reach, rows = tol * 3 // 2, []
+    for combo in itertools.combinations_with_replacement(mass.EDGE_RESIDUES, length):
+        total = sum(mass.EDGE_RESIDUES[a] for a in combo)
+        rows += [("".join(combo), sorted(set(combo)), total, k) for k in range((total - reach) // width, (total + reach) // width + 1)]
+    return spark.createDataFrame(rows, "label string, residues array<string>, sum_u bigint, _sum bigint")
+
+
+def long_edges(nodes: DataFrame, singles: DataFrame, tol: int, length: int = 3) -> DataFrame:
+    """Edges over a gap of ``length`` residues that no path of single edges begins or ends.
+
+    Node pairs come from an equality join on (spectrum, mass bucket), so a dense spectrum is spread over
+    its buckets; their differences meet the residue sums by bucket. Per node and combination the best
+    target is chosen as for single edges. A combination goes where one of its residues already leads out
+    of the node, or into the chosen target: then shorter edges reach it. The error may pass ``tol``
+    only at a terminal or digest node (one without fragments). ``nodes``: spectrum_id, mass_u, score,
+    n_frags; ``singles``: edges of one residue.
+    """
+    reach, width = tol * 3 // 2, 4 * tol
+    low, high = (length * f(mass.EDGE_RESIDUES.values()) for f in (min, max))
+    leads = lambda end: singles.groupBy(KEY, F.col(end).alias("mass_u")).agg(F.collect_set("label").alias("residues"))  # noqa: E731  at most one a residue
+    ends = nodes.select(KEY, "mass_u", "score", (F.col("n_frags") == 0).alias("loose"))
+    begin = ends.join(leads("from_u"), [KEY, "mass_u"], "left").select(
+        KEY, F.col("mass_u").alias("from_u"), F.col("loose").alias("loose_from"), F.coalesce("residues", F.array().cast("array<string>")).alias("out")
+    )
+    target = ends.select(KEY, F.col("mass_u").alias("to_u"), F.col("score").alias("to_score"), F.col("loose").alias("loose_to"))
+    pairs = band_join(begin, target, [KEY], F.col("from_u") + low - reach, F.col("from_u") + high + reach, "to_u", (high - low) // 4)
+    sums = F.broadcast(sum_table(nodes.sparkSession, length, tol, width))
+    err = F.col("to_u") - F.col("from_u") - F.col("sum_u")
+    met = pairs.withColumn("_sum", F.floor((F.col("to_u") - F.col("from_u")) / width).cast("bigint")).join(sums, "_sum").withColumn("err_u", err)
+    met = met.filter((F.abs("err_u") <= reach) & ~F.arrays_overlap("residues", "out"))
+    rank = F.struct((F.abs("err_u") > tol // 2).alias("far"), (-F.col("to_score")).alias("neg_score"), "to_u", "err_u", (F.col("loose_from") | F.col("loose_to")).alias("loose"))
+    best = met.groupBy(KEY, "from_u", "label").agg(F.min(rank).alias("b"), F.first("residues").alias("residues"))
+    held = best.filter(F.col("b.loose") | (F.abs("b.err_u") <= tol)).select(
+        KEY, "from_u", F.col("b.to_u").alias("to_u"), "label", F.lit(length).alias("n_res"), F.col("b.err_u").alias("err_u"), (-F.col("b.neg_score")).alias("to_score"), "residues"
+    )
+    into = leads("to_u").select(KEY, F.col("mass_u").alias("to_u"), F.col("residues").alias("into"))
+    joined = held.join(into, [KEY, "to_u"], "left")
+    free = F.col("into").isNull() | ~F.arrays_overlap("residues", "into")
+    return joined.filter(free).select(KEY, "from_u", "to_u", "label", "n_res", "err_u", "to_score")
+
+
 def prune_nodes(
     nodes: DataFrame, edges: DataFrame, spectra: DataFrame, low: int = -12, low_high_charge: int = -4, heavy_bonus: int = 2
 ) -> tuple[DataFrame, DataFrame]:

@@ -79,6 +79,19 @@ def gr4(t):
     return t.graph()[2]
 
 
+@query("GR4L", f"""WITH g AS MATERIALIZED (SELECT * FROM graph_nodes), e AS MATERIALIZED (SELECT * FROM graph_edges),
+    c AS (SELECT x.residue || y.residue || z.residue AS label, x.mass + y.mass + z.mass AS mass FROM edge_order x JOIN edge_order y ON x.i <= y.i JOIN edge_order z ON y.i <= z.i),
+    o AS (SELECT spectrum_id, from_u AS mass_u, string_agg(DISTINCT label, '') AS out FROM e GROUP BY 1, 2), t AS (SELECT spectrum_id, to_u AS mass_u, string_agg(DISTINCT label, '') AS came FROM e GROUP BY 1, 2),
+    a AS (SELECT g.*, coalesce(out, '') AS out FROM g LEFT JOIN o USING (spectrum_id, mass_u)),
+    p AS (SELECT a.spectrum_id, a.mass_u AS from_u, b.mass_u AS to_u, b.score AS to_score, out, a.n_frags = 0 OR b.n_frags = 0 AS loose, b.mass_u - a.mass_u AS gap FROM a JOIN g b ON a.spectrum_id = b.spectrum_id AND b.mass_u - a.mass_u BETWEEN 1700000 AND 5600000),
+    r AS (SELECT *, gap - mass AS err_u FROM p JOIN c ON c.mass BETWEEN gap - {EDGE_TOL * 3 // 2} AND gap + {EDGE_TOL * 3 // 2} WHERE translate(label, out, '') = label),
+    w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY spectrum_id, from_u, label ORDER BY abs(err_u) > {EDGE_TOL // 2}, to_score DESC, to_u) AS rn FROM r) WHERE rn = 1 AND (loose OR abs(err_u) <= {EDGE_TOL}))
+    SELECT w.spectrum_id, from_u, to_u, label, CAST(3 AS INTEGER) AS n_res, err_u, to_score FROM w LEFT JOIN t ON t.spectrum_id = w.spectrum_id AND t.mass_u = w.to_u WHERE translate(label, coalesce(came, ''), '') = label""")
+def gr4_long(t):
+    nodes, edges = t.stored_graph()
+    return gr.long_edges(nodes, edges, EDGE_TOL)
+
+
 PRUNED = """SELECT n.* FROM graph_nodes n JOIN spectra s USING (spectrum_id) WHERE n_frags = 0 OR score > CASE WHEN s.charge > 2 THEN -4 ELSE -12 END + CASE WHEN s.pm_u > 20000000 THEN 2 ELSE 0 END"""
 
 
