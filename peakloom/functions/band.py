@@ -7,8 +7,11 @@ each pair appears once. A hot key is spread over its buckets.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
@@ -42,6 +45,85 @@ def band_join(
     return intervals.join(matched, intervals.columns, how)
 
 
+def in_chunks(points: DataFrame, at: str, lo: int, hi: int, spread: int) -> DataFrame:
+    """Lay each point out to the mass chunks that see it at ``at + [lo, hi]``; ``_home`` marks its own chunk."""
+    size = spread * max(abs(lo), abs(hi), 1)
+    first = bucket_of(F.col(at) - max(hi, 0), size)
+    last = bucket_of(F.col(at) - min(lo, 0), size)
+    laid = points.select("*", F.explode(F.sequence(first, last)).alias("_chunk"))
+    return laid.withColumn("_home", F.col("_chunk") == bucket_of(F.col(at), size))
+
+
+def larger_in_ranges(value: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each i the number of j in begin[i] .. end[i] - 1 with value[j] > value[i].
+
+    One stable partition by each bit of the ranks, the highest first; all counts follow at once, so the
+    time is that of a sort however many values a range holds.
+    """
+    levels, own = np.unique(value, return_inverse=True)
+    lo, hi, total, row = begin.astype(np.int64), end.astype(np.int64), np.zeros(len(value), np.int64), own
+    for bit in reversed(range(max(1, int(len(levels) - 1).bit_length()))):
+        zero = (row >> bit) & 1 == 0
+        zeros = np.concatenate([[0], np.cumsum(zero)])
+        at, to = zeros[lo], zeros[hi]
+        low = (own >> bit) & 1 == 0
+        total += np.where(low, (hi - lo) - (to - at), 0)
+        lo, hi = np.where(low, at, zeros[-1] + lo - at), np.where(low, to, zeros[-1] + hi - to)
+        row = np.concatenate([row[zero], row[~zero]])
+    return total
+
+
+def by_chunk(points: DataFrame, key: str, at: str, lo: int, hi: int, measure, added: dict[str, str], spread: int = 4) -> DataFrame:
+    """Add columns that ``measure`` finds from all points of a key around each point.
+
+    ``measure(place, columns)`` gets the points of whole chunks, several at a time: ``place`` rises with
+    the position, and points of different chunks are out of reach of each other there. It returns one
+    numpy array for each name in ``added`` (name -> SQL type). One shuffle; a task holds one chunk at a
+    time beyond its batch.
+    """
+    laid = in_chunks(points, at, lo, hi, spread)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema), *(f"`{n}` {t}" for n, t in added.items())])
+    reach, given = max(abs(lo), abs(hi), 1), points.columns
+
+    def measured(rows: pa.Table, breaks: np.ndarray) -> pa.Table:
+        position = rows.column(at).to_numpy()
+        group = np.cumsum(breaks)
+        low = np.minimum.reduceat(position, np.flatnonzero(breaks))
+        span = int((position - low[group - 1]).max()) + 2 * reach + 1
+        found = measure(position - low[group - 1] + group * span, {c: rows.column(c) for c in given})
+        home = rows.column("_home").to_numpy()
+        out = rows.select(given)
+        for name, values in zip(added, found):
+            out = out.append_column(name, pa.array(values))
+        return out.filter(pa.array(home))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the chunk that is still open
+
+        def settle(parts):
+            rows = pa.Table.from_batches(parts)
+            names, chunks = (rows.column(c).combine_chunks() for c in (key, "_chunk"))
+            new = np.ones(len(rows), bool)
+            new[1:] = pc.or_(pc.not_equal(names[1:], names[:-1]), pc.not_equal(chunks[1:], chunks[:-1])).to_numpy(zero_copy_only=False)
+            yield from measured(rows, new).to_batches()
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            names, chunks = batch.column(key), batch.column("_chunk")
+            same = pc.and_(pc.equal(names, names[-1]), pc.equal(chunks, chunks[-1])).to_numpy(zero_copy_only=False)
+            cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+            if cut or (held and (held[-1].column(key)[-1] != names[0] or held[-1].column("_chunk")[-1] != chunks[0])):
+                yield from settle([*held, batch.slice(0, cut)] if cut else held)
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from settle(held)
+
+    ordered = laid.repartition(key, "_chunk").sortWithinPartitions(key, "_chunk", at)
+    return ordered.mapInArrow(run, schema)
+
+
 def with_neighbours(
     points: DataFrame,
     key: str | Sequence[str],
@@ -60,12 +142,8 @@ def with_neighbours(
     chunks that see it, so one shuffle serves all rows and no pair is written out. With
     ``keep_chunk`` the column ``_chunk`` stays, for groupings that reuse the partitioning.
     """
-    size = spread * max(abs(lo), abs(hi), 1)
-    home = bucket_of(F.col(at), size)
-    first = bucket_of(F.col(at) - max(hi, 0), size)
-    last = bucket_of(F.col(at) - min(lo, 0), size)
-    laid = points.select("*", F.explode(F.sequence(first, last)).alias("_chunk"))
+    laid = in_chunks(points, at, lo, hi, spread)
     keys = [key] if isinstance(key, str) else list(key)
     frame = W.partitionBy(*keys, "_chunk").orderBy(at).rangeBetween(lo, hi)
-    seen = laid.withColumn(name, F.collect_list(item).over(frame)).filter(F.col("_chunk") == home)
+    seen = laid.withColumn(name, F.collect_list(item).over(frame)).filter("_home").drop("_home")
     return seen if keep_chunk else seen.drop("_chunk")

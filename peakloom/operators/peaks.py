@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from peakloom.functions import mass
-from peakloom.functions.band import band_join, with_neighbours
+from peakloom.functions.band import band_join, by_chunk, larger_in_ranges, with_neighbours
 from peakloom.functions.ordered import previous_row, row_numbers, running_sums
 
 KEY = "spectrum_id"
@@ -288,14 +289,21 @@ def global_rank(peaks: DataFrame) -> DataFrame:
     return row_numbers(peaks, [KEY], intensity_level(), STRONGEST_FIRST(), "rank")
 
 
-def stronger_in_window(peaks: DataFrame, half: int) -> DataFrame:
-    """Adds ``stronger`` and ``in_window``: peaks within ``half`` of each peak."""
-    near = with_neighbours(peaks, KEY, "mass_u", -half, half, F.col("intensity"))
-    return near.select(
-        *peaks.columns,
-        F.size(F.filter("near", lambda x: x > F.col("intensity"))).cast("bigint").alias("stronger"),
-        F.size("near").cast("bigint").alias("in_window"),
-    )
+def stronger_in_window(peaks: DataFrame, half: int, bands: Mapping[str, tuple[int, int]] | None = None) -> DataFrame:
+    """Adds ``stronger`` and ``in_window``: peaks within ``half`` of each peak.
+
+    ``bands``: more columns with the number of peaks at ``mass_u + [lo, hi]``, inside the window. Counts come
+    from sorted positions and ranks, so a dense spectrum costs no more a peak than a sparse one.
+    """
+    bands = dict(bands or {})
+
+    def measure(place, columns):
+        between = lambda lo, hi: (np.searchsorted(place, place + lo, "left"), np.searchsorted(place, place + hi, "right"))
+        begin, end = between(-half, half)
+        more = [to - at for at, to in (between(lo, hi) for lo, hi in bands.values())]
+        return [larger_in_ranges(columns["intensity"].to_numpy(), begin, end), end - begin, *more]
+
+    return by_chunk(peaks, KEY, "mass_u", -half, half, measure, dict.fromkeys(["stronger", "in_window", *bands], "bigint"))
 
 
 def log_local_rank(peaks: DataFrame, window: int) -> DataFrame:
@@ -354,10 +362,11 @@ def possible_isotopes(peaks: DataFrame, tol: int) -> DataFrame:
 def strong_peaks(peaks: DataFrame, window: int, k: int, tol: int) -> DataFrame:
     """Local rank at most ``k`` and not an isotope of an earlier peak."""
     reach = min(tol, 2_500)
-    near = with_neighbours(peaks.select(KEY, "mass_u", "intensity"), KEY, "mass_u", -(window // 2), window // 2, peak_struct())
-    stronger = F.size(F.filter("near", lambda x: x["intensity"] > F.col("intensity")))
-    isotope = F.exists("near", lambda x: F.abs(F.col("mass_u") - mass.ISOTOPE_STEP - x["mass_u"]) <= reach)
-    return near.filter((stronger + 1 <= k) & ~isotope).select(KEY, "mass_u", "intensity")
+    before = {"parents": (-mass.ISOTOPE_STEP - reach, -mass.ISOTOPE_STEP + reach)}
+    near = stronger_in_window(peaks.select(KEY, "mass_u", "intensity"), max(window // 2, mass.ISOTOPE_STEP + reach), before)
+    if window // 2 < mass.ISOTOPE_STEP + reach:
+        near = near.drop("stronger", "in_window").join(stronger_in_window(peaks.select(KEY, "mass_u", "intensity"), window // 2).distinct(), [KEY, "mass_u", "intensity"])
+    return near.filter((F.col("stronger") + 1 <= k) & (F.col("parents") == 0)).select(KEY, "mass_u", "intensity")
 
 
 def top_peaks_per_1000da(peaks: DataFrame, k: int, tol: int) -> DataFrame:
@@ -454,20 +463,25 @@ def background_log_prob(peaks: DataFrame, margin: int = 250_000, window: int = 1
     """
     reach = margin + window
     base = peaks.select(KEY, "mass_u", "intensity").join(peak_range(peaks), KEY).filter(F.col("hi_u") > F.col("lo_u"))
-    near = with_neighbours(base, KEY, "mass_u", -reach, reach, peak_struct())
-    at = F.col("mass_u")
-    pos = F.floor((at - F.col("lo_u")) * window / (F.col("hi_u") - F.col("lo_u"))).cast("bigint")
-    near = near.withColumn("left_u", pos + margin).withColumn("right_u", F.lit(reach) - F.col("left_u"))
-    inside = F.filter(
-        "near", lambda x: (x["mass_u"] >= at - F.col("left_u")) & (x["mass_u"] <= at + F.col("right_u"))
-    )
-    logs = F.transform(inside, lambda x: F.log(x["intensity"]))
-    near = near.withColumn("logs", logs).withColumn("n", F.size("logs"))
-    add = lambda a, x: a + x
-    near = near.withColumn("mean", F.aggregate("logs", F.lit(0.0), add) / F.col("n"))
-    near = near.withColumn(
-        "sd", F.sqrt(F.aggregate(F.transform("logs", lambda x: (x - F.col("mean")) * (x - F.col("mean"))), F.lit(0.0), add) / F.col("n"))
-    )
+    pos = F.floor((F.col("mass_u") - F.col("lo_u")) * window / (F.col("hi_u") - F.col("lo_u"))).cast("bigint")
+    base = base.withColumn("left_u", pos + margin)
+
+    def measure(place, columns):
+        left = columns["left_u"].to_numpy()
+        begin = np.searchsorted(place, place - left, "left")
+        end = np.searchsorted(place, place + reach - left, "right")
+        intensity = columns["intensity"].to_numpy()
+        n = end - begin
+        # ranges of one level have no spread; running sums would leave rounding errors there
+        level = (larger_in_ranges(intensity, begin, end) == 0) & (larger_in_ranges(-intensity, begin, end) == 0)
+        logs = np.log(intensity)
+        shift = logs.mean()
+        first, second = (np.concatenate([[0.0], np.cumsum((logs - shift) ** p)]) for p in (1, 2))
+        mean = (first[end] - first[begin]) / n
+        spread = np.sqrt(np.maximum((second[end] - second[begin]) / n - mean**2, 0.0))
+        return [n, np.where(level, logs, mean + shift), np.where(level, 0.0, spread)]
+
+    near = by_chunk(base, KEY, "mass_u", -reach, reach, measure, {"n": "bigint", "mean": "double", "sd": "double"})
     zero = F.pow(F.lit(1.0 - peak_width / reach), F.greatest("n", F.lit(1)))
     z = (F.log("intensity") - F.col("mean")) / F.col("sd")
     plain = F.log(1 - zero) + F.log(F.lit(1.2))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
@@ -23,6 +24,9 @@ def build_session(master: str = "local[8]", app: str = "peakloom", **conf: str)
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     settings.update(conf)
+    # Python workers import this package by name, wherever the job was started
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    os.environ["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([root, *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]))
     builder = SparkSession.builder.master(master).appName(app)
     for key, value in settings.items():
         builder = builder.config(key, value)
