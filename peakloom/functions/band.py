@@ -73,13 +73,36 @@ def larger_in_ranges(value: np.ndarray, begin: np.ndarray, end: np.ndarray) -> n
     return total
 
 
+class RangeMax:
+    """Place of the largest value of ranges, the first of equals: tables of maxima over spans of 1, 2, 4 .. places."""
+
+    def __init__(self, value: np.ndarray) -> None:
+        self.value, self.tables = value, [np.arange(len(value))]
+        while 2 << (len(self.tables) - 1) <= len(value):
+            half, last = 1 << (len(self.tables) - 1), self.tables[-1]
+            self.tables.append(self._larger(last[:-half], last[half:]))
+
+    def _larger(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where(self.value[b] > self.value[a], b, a)
+
+    def at(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """For each range begin .. end - 1 the place; -1 where it is empty."""
+        out = np.full(len(begin), -1)
+        size = end - begin
+        for k, table in enumerate(self.tables):
+            own = np.flatnonzero((size >> k) == 1)
+            if len(own):
+                out[own] = self._larger(table[begin[own]], table[end[own] - (1 << k)])
+        return out
+
+
 def by_chunk(points: DataFrame, key: str, at: str, lo: int, hi: int, measure, added: dict[str, str], spread: int = 4) -> DataFrame:
     """Add columns that ``measure`` finds from all points of a key around each point.
 
     ``measure(place, columns)`` gets the points of whole chunks, several at a time: ``place`` rises with
     the position, and points of different chunks are out of reach of each other there. It returns one
-    numpy array for each name in ``added`` (name -> SQL type). One shuffle; a task holds one chunk at a
-    time beyond its batch.
+    numpy or Arrow array for each name in ``added`` (name -> SQL type). One shuffle; a task holds one
+    chunk at a time beyond its batch.
     """
     laid = in_chunks(points, at, lo, hi, spread)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema), *(f"`{n}` {t}" for n, t in added.items())])
@@ -94,7 +117,7 @@ def by_chunk(points: DataFrame, key: str, at: str, lo: int, hi: int, measure, ad
         home = rows.column("_home").to_numpy()
         out = rows.select(given)
         for name, values in zip(added, found):
-            out = out.append_column(name, pa.array(values))
+            out = out.append_column(name, values if isinstance(values, pa.Array) else pa.array(values))
         return out.filter(pa.array(home))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

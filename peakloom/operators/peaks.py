@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from peakloom.functions import mass
-from peakloom.functions.band import band_join, by_chunk, larger_in_ranges, with_neighbours
+from peakloom.functions.band import RangeMax, band_join, by_chunk, larger_in_ranges, with_neighbours
 from peakloom.functions.ordered import previous_row, row_numbers, running_sums
 
 KEY = "spectrum_id"
@@ -132,90 +133,71 @@ def complement_stats(pairs: DataFrame, ids: Sequence[str] = (KEY,), best: int =
 SHARED_RESIDUES = ("P", "G", "H", "S")
 
 
-def step_table(spark, tol: int, doubles: bool, width: int) -> DataFrame:
-    """Residue steps (and two-residue combinations) laid out over difference buckets.
-
-    Bounded by the alphabet: at most 19 + 190 steps, each in a few buckets.
-    """
+def residue_steps(doubles: bool) -> list[tuple[str, int, int]]:
+    """(label, number of residues, mass) of the steps an edge may take: 19, and 190 of two residues."""
     labels, masses = list(mass.EDGE_RESIDUES), mass.EDGE_RESIDUES
-    rows = [(a, 1, masses[a], a, a) for a in labels]
-    if doubles:
-        rows += [(a + b, 2, masses[a] + masses[b], a, b) for i, a in enumerate(labels) for b in labels[i:]]
-    reach = tol * 3 // 2
-    laid = [r + (k,) for r in rows for k in range((r[2] - reach) // width, (r[2] + reach) // width + 1)]
-    return spark.createDataFrame(laid, "label string, n_res int, step_u bigint, res_a string, res_b string, _step bigint")
+    one = [(a, 1, masses[a]) for a in labels]
+    return one + [(a + b, 2, masses[a] + masses[b]) for i, a in enumerate(labels) for b in labels[i:]] if doubles else one
 
 
 def mass_difference_edges(nodes: DataFrame, tol: int, doubles: bool = False) -> DataFrame:
     """Edges between nodes that differ by one residue, or by two when no single edge covers it.
 
     ``nodes``: spectrum_id, mass_u, score. Per node and step the best-scoring target within
-    half the tolerance wins, else the best within one and a half. The nodes are shuffled once:
-    both groupings reuse the (spectrum, chunk) partitioning of the neighbourhood window.
+    half the tolerance wins, else the best within one and a half. The nodes are shuffled once, to
+    chunks of a spectrum; there each step is a range of sorted positions, and its best target a
+    range maximum, so no pair of nodes is written and a dense spectrum costs no more a node.
     """
-    reach = max(mass.EDGE_RESIDUES.values()) * (2 if doubles else 1) + 2 * tol
-    near_from = min(mass.EDGE_RESIDUES.values()) - 2 * tol
-    width = 4 * tol
-    seen = with_neighbours(
-        nodes.select(KEY, "mass_u", "score"),
-        KEY,
-        "mass_u",
-        near_from,
-        reach,
-        F.struct(F.col("mass_u").alias("to_u"), F.col("score").alias("to_score")),
-        spread=2,
-        keep_chunk=True,
-    )
-    pairs = seen.select(KEY, "_chunk", F.col("mass_u").alias("from_u"), F.inline("near")).withColumn(
-        "_step", F.floor((F.col("to_u") - F.col("from_u")) / width).cast("bigint")
-    )
-    err = F.col("to_u") - F.col("from_u") - F.col("step_u")
-    steps = F.broadcast(step_table(nodes.sparkSession, tol, doubles, width))
-    hits = pairs.join(steps, "_step").withColumn("err_u", err).filter(F.abs("err_u") <= tol * 3 // 2)
-    rank = F.struct(
-        (F.abs("err_u") > tol // 2).alias("far"), (-F.col("to_score")).alias("neg_score"), "to_u", "err_u"
-    )
-    node = [KEY, "_chunk", "from_u"]
-    step = ["label", "n_res", "res_a", "res_b"]
-    best = hits.groupBy(*node, *step).agg(F.min(rank).alias("b"))
-    edge = F.struct(
-        F.col("b.to_u").alias("to_u"),
-        "label",
-        "n_res",
-        F.col("b.err_u").alias("err_u"),
-        (-F.col("b.neg_score")).alias("to_score"),
-    )
-    if not doubles:
-        return best.select(KEY, "from_u", F.inline(F.array(edge)))
-    # at most one edge per step and node, so the list is bounded by the step table
-    listed = best.groupBy(*node).agg(F.collect_list(F.struct("n_res", "res_a", "res_b", edge.alias("edge"))).alias("e"))
-    blocking = F.transform(
-        F.filter("e", lambda x: (x["n_res"] == 1) & ~x["res_a"].isin(*SHARED_RESIDUES)), lambda x: x["res_a"]
-    )
-    listed = listed.withColumn("blocking", blocking)
-    kept = F.filter(
-        "e",
-        lambda x: (x["n_res"] == 1)
-        | ~(F.array_contains(F.col("blocking"), x["res_a"]) | F.array_contains(F.col("blocking"), x["res_b"])),
-    )
-    return listed.select(KEY, "from_u", F.inline(F.transform(kept, lambda x: x["edge"])))
+    steps = residue_steps(doubles)
+    labels, sizes, masses = zip(*steps)
+    blocking = [i for i, (label, n, _) in enumerate(steps) if n == 1 and label not in SHARED_RESIDUES]
+    blocked_by = [[i for i in blocking if n == 2 and labels[i] in label] for label, n, _ in steps]
+
+    def measure(place, columns):
+        score, at = columns["score"].to_numpy(), columns["mass_u"].to_numpy()
+        best = RangeMax(score)
+
+        def target(step: int, reach: int) -> np.ndarray:
+            return best.at(np.searchsorted(place, place + step - reach, "left"), np.searchsorted(place, place + step + reach, "right"))
+
+        found = np.empty((len(place), len(masses)), np.int64)
+        for i, step in enumerate(masses):
+            near = target(step, tol // 2)
+            found[:, i] = np.where(near >= 0, near, target(step, tol * 3 // 2))
+        for i, others in enumerate(blocked_by):
+            if others:
+                found[(found[:, others] >= 0).any(axis=1), i] = -1
+        node, step = np.nonzero(found >= 0)
+        to = found[node, step]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(node, minlength=len(place)))]).astype(np.int32)
+        edges = pa.StructArray.from_arrays([pa.array(step.astype(np.int32)), pa.array(at[to]), pa.array(score[to])], names=["step", "to_u", "to_score"])
+        return [pa.ListArray.from_arrays(pa.array(ends), edges)]
+
+    low, high = min(masses) - 2 * tol, max(masses) + 2 * tol
+    given = nodes.select(KEY, "mass_u", F.col("score").cast("bigint").alias("score"))
+    seen = by_chunk(given, KEY, "mass_u", low, high, measure, {"edges": "array<struct<step:int,to_u:bigint,to_score:bigint>>"})
+    pick = lambda values, kind: F.array(*[F.lit(v).cast(kind) for v in values])[F.col("step")]
+    rows = seen.select(KEY, F.col("mass_u").alias("from_u"), F.inline("edges"))
+    err = F.col("to_u") - F.col("from_u") - pick(masses, "bigint")
+    return rows.select(KEY, "from_u", "to_u", pick(labels, "string").alias("label"), pick(sizes, "int").alias("n_res"), err.alias("err_u"), "to_score")
 
 
 def ladder_edges(peaks: DataFrame, tol: int, charge: int = 1) -> DataFrame:
     """Per peak and residue: is there a peak one residue below or above it."""
     steps = {a: m // charge for a, m in mass.EDGE_RESIDUES.items()}
     reach = max(steps.values()) + tol
-    seen = with_neighbours(peaks.select(KEY, "mass_u"), KEY, "mass_u", -reach, reach, F.col("mass_u"))
-    at = F.col("mass_u")
-    rows = F.transform(
-        mass.residue_structs(steps),
-        lambda r: F.struct(
-            r["residue"].alias("residue"),
-            F.exists("near", lambda x: F.abs(at - x - r["mass"]) <= tol).alias("has_prev"),
-            F.exists("near", lambda x: F.abs(x - at - r["mass"]) <= tol).alias("has_next"),
-        ),
-    )
-    return seen.select(KEY, "mass_u", F.inline(F.filter(rows, lambda r: r["has_prev"] | r["has_next"])))
+
+    def measure(place, columns):
+        def seen(shift: int) -> np.ndarray:
+            return np.searchsorted(place, place + shift + tol, "right") > np.searchsorted(place, place + shift - tol, "left")
+
+        before, after = (sum(seen(sign * m).astype(np.int64) << i for i, m in enumerate(steps.values())) for sign in (-1, 1))
+        return [before, after]
+
+    seen = by_chunk(peaks.select(KEY, "mass_u"), KEY, "mass_u", -reach, reach, measure, {"before": "bigint", "after": "bigint"})
+    has = lambda bits, i: F.getbit(F.col(bits), F.lit(i)) == 1
+    rows = F.array(*[F.struct(F.lit(a).alias("residue"), has("before", i).alias("has_prev"), has("after", i).alias("has_next")) for i, a in enumerate(steps)])
+    return seen.filter("before != 0 or after != 0").select(KEY, "mass_u", F.inline(F.filter(rows, lambda r: r["has_prev"] | r["has_next"])))
 
 
 def classify_region(mass_col: Column, pm: Column, charge: Column, lo_peak: Column, hi_peak: Column) -> Column:

@@ -55,3 +55,37 @@ def test_a_dense_chunk_costs_in_proportion(spark):
     seconds(1000)
     small, large = seconds(8_000), seconds(64_000)
     assert large < 8 * small + 1
+
+
+def test_range_maximum():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 7, 100):
+        v = rng.integers(0, 5, n)
+        a = rng.integers(0, n + 1, 200)
+        b = np.minimum(a + rng.integers(0, n + 1, 200), n)
+        assert band.RangeMax(v).at(a, b).tolist() == [int(i + v[i:j].argmax()) if j > i else -1 for i, j in zip(a, b)]
+
+
+def test_edges_equal_all_pairs(spark):
+    from peakloom.functions import mass
+
+    rnd = random.Random(7)
+    data = [(1 if i % 3 == 0 else rnd.randrange(2, 9), rnd.randrange(0, 5_000_000), rnd.randrange(5)) for i in range(700)]
+    df = spark.createDataFrame(data, "spectrum_id long, mass_u long, score long").repartition(4)
+    tol, want = 5_000, set()
+    for s, m, _ in data:
+        ahead = [(t, sc) for k, t, sc in data if k == s and t > m]
+        single = set()
+        for label, n, step in pk.residue_steps(True):
+            if n == 2 and single & set(label):
+                continue
+            fits = [(abs(t - m - step) > tol // 2, -sc, t) for t, sc in ahead if abs(t - m - step) <= tol * 3 // 2]
+            if fits:
+                _, sc, t = min(fits)
+                want.add((s, m, t, label, n, t - m - step, -sc))
+                single |= {label} - set(pk.SHARED_RESIDUES) if n == 1 else set()
+    got = rows(pk.mass_difference_edges(df, tol, doubles=True))
+    assert sorted(set(got)) == sorted(want) and len(want) > 1000
+    assert rows(pk.mass_difference_edges(df, tol)) == sorted(e for e in got if e[4] == 1)
+    near = {(s, m, a) for s, m, _ in data for k, t, _ in data if k == s for a, r in mass.EDGE_RESIDUES.items() if abs(abs(t - m) - r) <= tol}
+    assert {(r[0], r[1], r[2]) for r in rows(pk.ladder_edges(df, tol))} == near
