@@ -12,6 +12,7 @@ from peakloom.functions import mass
 from peakloom.functions.band import band_join
 from peakloom.operators.peaks import KEY, mass_difference_edges, sessionize
 from peakloom.operators.peptide import drop_covered
+from peakloom.operators.solutions import topk_solutions
 from peakloom.session import cut_lineage
 
 MIN_NODE = 3 * mass.UNIT
@@ -270,6 +271,32 @@ def extend_paths(
     return reduce(DataFrame.unionByName, done)
 
 
+#: Candidate masses of a spectrum that have a graph each.
+MOST_CANDIDATES = 16
+
+
+def paths_over_masses(strong: DataFrame, candidates: DataFrame, tol: int, max_len: int, beam: int, n: int, near: int, penalty: int = 25, min_len: int = 3) -> DataFrame:
+    """The best ``n`` paths of each spectrum over the graphs of all its candidate masses.
+
+    Every candidate (spectrum_id, charge, idx, cand_u) has its own graph and beam. Beams are merged under
+    one key, the sequence and the start mass: of paths with one sequence whose starts are within ``near``
+    the best stays, on ties that of the lower start and candidate. More than ``MOST_CANDIDATES`` are an error.
+    """
+    message = F.lit(f"a spectrum has more than {MOST_CANDIDATES} candidate masses")
+    number = F.when(F.col("idx") < MOST_CANDIDATES, F.col("idx")).otherwise(F.raise_error(message)).cast("int")
+    graphs = candidates.select(F.col(KEY).alias("own"), (F.col(KEY) * MOST_CANDIDATES + number).alias(KEY), F.col("cand_u").alias("pm_u"), "charge")
+    peaks = strong.select(F.col(KEY).alias("own"), "mass_u", "intensity").join(graphs.select("own", KEY), "own").select(KEY, "mass_u", "intensity")
+    merged, members = merge_close_nodes(fragment_nodes(peaks, graphs), tol)
+    nodes = cut_lineage(with_terminals(merged, graphs))
+    edges = cut_lineage(node_edges(nodes, tol))
+    paths = extend_paths(nodes, edges, forbidden_pairs(members, tol), tol, max_len, beam, penalty, min_len)
+    start = F.element_at("nodes", 1).alias("n_mass_u")
+    own = F.floor(F.col(KEY) / MOST_CANDIDATES).cast("bigint")
+    found = paths.select(own.alias(KEY), F.col("tag").alias("seq"), start, F.pmod(KEY, F.lit(MOST_CANDIDATES)).cast("int").alias("charge"), "score", "end_u", "n_res")
+    best = topk_solutions(found, n, near)
+    return best.select(KEY, F.col("charge").alias("idx"), F.col("seq").alias("tag"), F.col("n_mass_u").alias("start_u"), "end_u", "score", "n_res", "rank")
+
+
 def split_paths(paths: DataFrame, real: DataFrame, min_len: int, max_len: int) -> DataFrame:
     """For each start in a path the shortest allowed sub-path that ends on a real node.
 

@@ -124,16 +124,23 @@ def prj4(t):
     return sel.log_tic_intensity(t.peak_list()).select("spectrum_id", "mass_u", F.round("log_tic", 6).alias("log_tic"))
 
 
-@query("PRJ5", """SELECT spectrum_id, charge, CAST(idx - 1 AS INTEGER) AS idx, kept[idx] AS cand_u FROM (SELECT *, unnest(range(1, len(kept) + 1)) AS idx FROM (
+CANDIDATE_MASSES = """SELECT spectrum_id, charge, CAST(idx - 1 AS INTEGER) AS idx, kept[idx] AS cand_u FROM (SELECT *, unnest(range(1, len(kept) + 1)) AS idx FROM (
     SELECT spectrum_id, charge, list_reduce(list_filter([[pm_u - 10033], [pm_u + 10033], [CASE WHEN charge >= 2 THEN s2 - 10073 END],
       [CASE WHEN charge >= 3 THEN s2 + 10073 END]], lambda x: x[1] IS NOT NULL),
       lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: abs(y - x[1]) < 2500)) > 0 THEN acc ELSE list_concat(acc, x) END, [pm_u, s2]) AS kept
-    FROM (SELECT *, pm_u + 5000 * (coalesce(sqs, 0) // 20 % 5) AS s2 FROM spectra)))""")
-def prj5(t):
+    FROM (SELECT *, pm_u + 5000 * (coalesce(sqs, 0) // 20 % 5) AS s2 FROM spectra)))"""
+
+
+def candidate_masses(t):
     second = F.col("pm_u") + F.lit(5000) * (F.floor(F.coalesce("sqs", F.lit(0)) / 20) % 5)
     return sel.extra_pm_candidates(t.spectra(), [-mass.ISOTOPE_STEP, mass.ISOTOPE_STEP], 2500, second)
 
 
+@query("PRJ5", CANDIDATE_MASSES)
+def prj5(t):
+    return candidate_masses(t)
+
+
 @query("JN1", """SELECT spectrum_id, file_idx, theo_mz_u, ann_charge, abs(theo_mz_u - mz_u) > 4000000 AS mismatch FROM (
     SELECT s.spectrum_id, s.file_idx, s.mz_u, a.charge AS ann_charge, (p.total_u + 190184 + (a.charge - 1)*10073)//a.charge AS theo_mz_u
     FROM spectra s JOIN annotated a USING (file_idx, spectrum_id)

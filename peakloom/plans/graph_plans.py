@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from peakloom.functions.ordered import running_sums
 from peakloom.operators import graph as gr, peptide as pep, similarity as sim, solutions as sol
-from peakloom.plans.bindings import EDGE_TOL
+from peakloom.plans.basics import CANDIDATE_MASSES, candidate_masses
+from peakloom.plans.bindings import EDGE_TOL, VIEWS
 from peakloom.plans.registry import query
 
 ID = "spectrum_id"
@@ -125,7 +128,25 @@ def gr7(t):
     return gr.tags(nodes, edges, 3, 20, EDGE_TOL).select(ID, "tag", "start_u", "end_u", "score", "rank")
 
 
-@query("GR8")
+FORBIDDEN = """SELECT DISTINCT b.spectrum_id, least(b.mass_u, y.mass_u) AS lo_u, greatest(b.mass_u, y.mass_u) AS hi_u FROM m b JOIN m y USING (spectrum_id, peak_u)
+    WHERE b.ion = 'b' AND y.ion = 'y' AND b.mass_u <> y.mass_u AND abs(b.mass_u + y.mass_u - b.pm_u + 10073) <= 7500"""
+
+
+def beam_sql(length: int, beam: int, shortest: int = 3) -> str:
+    """Common table expressions of the beam search, one for each hop, and ``paths``."""
+    hops = [
+        f"""p{i} AS MATERIALIZED (SELECT * FROM (SELECT p.spectrum_id, h.to_u AS end_u, p.score + h.gain - 25*len(list_intersect(p.nodes, coalesce(v.rivals, []))) AS score, p.tag || h.label AS tag, list_append(p.nodes, h.to_u) AS nodes
+        FROM p{i - 1} p JOIN hs h ON h.spectrum_id = p.spectrum_id AND h.from_u = p.end_u LEFT JOIN rivals v ON v.spectrum_id = h.spectrum_id AND v.next_u = h.to_u)
+        QUALIFY row_number() OVER (PARTITION BY spectrum_id, end_u ORDER BY score DESC, tag, nodes) <= {beam})"""
+        for i in range(1, length + 1)
+    ]
+    ends = " UNION ALL ".join(f"SELECT *, CAST({i} AS INTEGER) AS n_res FROM p{i}" for i in range(shortest, length + 1))
+    return f"""m AS (SELECT r.spectrum_id, r.ion, r.peak_u, r.pm_u, n.mass_u FROM fragment_runs r JOIN merged_nodes n USING (spectrum_id, run)), hs AS MATERIALIZED (SELECT * FROM hops), fp AS MATERIALIZED ({FORBIDDEN}),
+        rivals AS MATERIALIZED (SELECT spectrum_id, next_u, list(other) AS rivals FROM (SELECT spectrum_id, lo_u AS next_u, hi_u AS other FROM fp UNION ALL SELECT spectrum_id, hi_u, lo_u FROM fp) GROUP BY 1, 2),
+        p0 AS MATERIALIZED (SELECT spectrum_id, mass_u AS end_u, score, '' AS tag, [mass_u] AS nodes FROM graph_nodes), {', '.join(hops)}, paths AS ({ends})"""
+
+
+@query("GR8", f"WITH {beam_sql(6, 3)} SELECT spectrum_id, tag, nodes[1] AS start_u, end_u, score, n_res FROM paths")
 def gr8(t):
     _, members, _ = t.graph()
     nodes, edges = t.stored_graph()
@@ -133,6 +154,29 @@ def gr8(t):
     return paths.select(ID, "tag", F.element_at("nodes", 1).alias("start_u"), "end_u", "score", "n_res")
 
 
+def masses_sql(n: int, near: int) -> str:
+    """The same search in graphs of all candidate masses, merged by sequence and start."""
+    names = ["fragments", "fragment_runs", "merged_nodes", "terminals", "graph_nodes", "graph_edges", "hops"]
+
+    def of_candidates(sql: str) -> str:
+        for name in [*names, "spectra", "strong_set"]:
+            sql = re.sub(rf"\b{name}\b", f"cand_{name}", sql)
+        return sql
+
+    views = ", ".join(f"cand_{v} AS MATERIALIZED ({of_candidates(VIEWS[v])})" for v in names)
+    return f"""WITH masses AS ({CANDIDATE_MASSES}), cand_spectra AS (SELECT spectrum_id*16 + idx AS spectrum_id, cand_u AS pm_u, charge FROM masses),
+        cand_strong_set AS MATERIALIZED (SELECT s.spectrum_id*16 + idx AS spectrum_id, mass_u, intensity FROM strong_set s JOIN masses USING (spectrum_id)), {views}, {of_candidates(beam_sql(4, 2))},
+        f AS MATERIALIZED (SELECT spectrum_id // 16 AS spectrum_id, CAST(spectrum_id % 16 AS INTEGER) AS idx, tag, nodes[1] AS start_u, end_u, score, n_res FROM paths),
+        u AS (SELECT * FROM f x WHERE NOT EXISTS (SELECT 1 FROM f o WHERE o.spectrum_id = x.spectrum_id AND o.tag = x.tag AND abs(o.start_u - x.start_u) <= {near}
+          AND (o.score > x.score OR (o.score = x.score AND (o.start_u < x.start_u OR (o.start_u = x.start_u AND o.idx < x.idx))))))
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY spectrum_id ORDER BY score DESC, tag, start_u, idx) AS rank FROM u) WHERE rank <= {n}"""
+
+
+@query("GR8M", masses_sql(20, EDGE_TOL))
+def gr8_masses(t):
+    return gr.paths_over_masses(t.strong(), candidate_masses(t), EDGE_TOL, 4, 2, 20, EDGE_TOL)
+
+
 @query("GR9", f"""WITH p AS ({tags_sql(4, 30)}), sp AS (SELECT spectrum_id, rank AS path_id, tag, nodes, i, i + n AS e, n FROM p, range(0, 3) AS a(i), range(2, 4) AS b(n) WHERE i + n <= 4),
     ok AS (SELECT spectrum_id, path_id, tag, nodes, i, min(n) AS n FROM sp SEMI JOIN (SELECT spectrum_id, mass_u FROM graph_nodes WHERE n_frags >= 1 OR mass_u = 0) r ON r.spectrum_id = sp.spectrum_id AND r.mass_u = sp.nodes[sp.e + 1] GROUP BY ALL)
     SELECT spectrum_id, path_id, CAST(i AS INTEGER) AS start_pos, CAST(n AS INTEGER) AS n_res, substr(tag, i + 1, n) AS sub_tag, nodes[i + 1] AS start_u, nodes[i + n + 1] AS end_u FROM ok""")
