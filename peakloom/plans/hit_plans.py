@@ -63,16 +63,29 @@ def fdr7(t):
     return out.withColumn("fdr", F.round("fdr", 6))
 
 
-@query("FDR8")
+# proteins one by one, best first: a founder unless an earlier founder holds half of its alignments
+GROUPS = """al AS MATERIALIZED (SELECT protein_id, peptide, count(*) AS times FROM passed GROUP BY 1, 2), rk AS MATERIALIZED (SELECT protein_id, row_number() OVER (ORDER BY adj_score DESC, protein_id) AS i, n_peptides AS n FROM protein_scores),
+    sh AS MATERIALIZED (SELECT p.i, p.n, q.i AS better, sum(x.times) AS shared FROM rk p JOIN al x USING (protein_id) JOIN al y ON y.peptide = x.peptide JOIN rk q ON q.protein_id = y.protein_id WHERE q.i < p.i GROUP BY 1, 2, 3),
+    cv AS MATERIALIZED (SELECT i, coalesce(list(better) FILTER (WHERE shared*2 >= rk.n), []) AS covers FROM rk LEFT JOIN sh USING (i) GROUP BY 1),
+    steps AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS founders UNION ALL SELECT cv.i, CASE WHEN list_has_any(covers, founders) THEN founders ELSE list_append(founders, cv.i) END FROM steps JOIN cv ON cv.i = steps.i + 1),
+    fo AS MATERIALIZED (SELECT unnest(founders) AS i FROM (SELECT founders FROM steps ORDER BY i DESC LIMIT 1)),
+    me AS (SELECT i, better FROM (SELECT sh.*, row_number() OVER (PARTITION BY sh.i ORDER BY shared DESC, better) AS rn FROM sh SEMI JOIN fo ON fo.i = sh.better ANTI JOIN fo f ON f.i = sh.i) WHERE rn = 1),
+    groups AS MATERIALIZED (SELECT r.protein_id, coalesce(g.protein_id, r.protein_id) AS group_id, me.i IS NULL AS is_founder FROM rk r LEFT JOIN me USING (i) LEFT JOIN rk g ON g.i = me.better)"""
+
+
+@query("FDR8", f"WITH RECURSIVE {GROUPS} SELECT protein_id, group_id, is_founder FROM groups")
 def fdr8(t):
     return fdr.protein_groups(scores(t), passed(t))
 
 
-@query("FDR9")
+@query("FDR9", f"""WITH RECURSIVE {GROUPS}, lv AS ({levels_sql('protein_scores', 'adj_score')}), sz AS (SELECT group_id, count(*) AS n_proteins FROM groups GROUP BY 1)
+    SELECT g.group_id, n_proteins, n_peptides, adj_score, total, round(fdr, 6) AS fdr, 'P' || g.group_id || '|protein' AS top_name, 'P' || g.protein_id AS accession
+    FROM groups g JOIN sz USING (group_id) JOIN protein_scores s ON s.protein_id = g.group_id JOIN lv ON lv.score = s.adj_score""")
 def fdr9(t):
     s = scores(t)
     names = s.select("protein_id", F.concat(F.lit("P"), F.col("protein_id").cast("string"), F.lit("|protein")).alias("name"))
-    return fdr.group_report(fdr.protein_groups(s, passed(t)), s, names, fdr.fdr_levels(s, "adj_score"))
+    out = fdr.group_report(fdr.protein_groups(s, passed(t)), s, names, fdr.fdr_levels(s, "adj_score"))
+    return out.withColumn("fdr", F.round("fdr", 6))
 
 
 @query("FDR10", "SELECT n_decoy, n_hits, round(n_decoy/n_hits, 6) AS ratio, n_decoy/n_hits < 0.25 AS warn FROM (SELECT count(*) FILTER (WHERE is_decoy) AS n_decoy, count(*) AS n_hits FROM hits)")
