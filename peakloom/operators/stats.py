@@ -435,33 +435,39 @@ def ion_pairs(observed: DataFrame) -> DataFrame:
     return sets.select(F.inline(pairs)).groupBy("ion_a", "ion_b").agg(F.count(F.lit(1)).alias("n"))
 
 
-def select_ion_pairs(observed: DataFrame, strong: Sequence[str], rounds: int = 6) -> list[tuple[str, str, int]]:
-    """Greedy pair choice: each round takes the pair that covers most cuts not yet covered by a
-    strong ion or a chosen pair. Cuts collapse to ion sets with counts once; the rounds then
-    work on that table, whose size is bounded by the ion table."""
-    sets = observed.groupBy(KEY, "cut").agg(F.sort_array(F.collect_set("ion")).alias("ions"))
-    open_sets = sets.filter(F.size("ions") >= 2)
-    for ion in strong:
-        open_sets = open_sets.filter(~F.array_contains("ions", ion))
-    counted = cut_lineage(open_sets.groupBy("ions").agg(F.count(F.lit(1)).alias("n")))
-    chosen: list[tuple[str, str, int]] = []
-    for _ in range(rounds):
-        left = counted
-        for a, b, _n in chosen:
-            left = left.filter(~(F.array_contains("ions", a) & F.array_contains("ions", b)))
-        pairs = F.flatten(
-            F.transform(
-                "ions",
-                lambda x: F.transform(F.filter("ions", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b"))),
-            )
-        )
-        best = (
-            left.select("n", F.inline(pairs)).groupBy("a", "b").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a", "b").first()
-        )
-        if best is None:
+def cover_pairs(observed: DataFrame, classes: Sequence[str], strong: Sequence[str], rounds: int = 6, with_strong: bool = True) -> DataFrame:
+    """(classes, round, ion_a, ion_b, n): greedy pairs of ions that cover the cuts of each class.
+
+    Each round takes in every class the pair met at most cuts that are not covered yet, ties by name. A
+    cut is covered by a ``strong`` ion on a strong peak or by both ions of a chosen pair; cuts with one ion
+    do not count. ``with_strong``: one ion of a pair must be a strong one, and comes first. All classes
+    go on at once in one table of ion sets with counts, bounded by classes and sets of the ion table.
+    ``observed``: spectrum_id, cut, classes, ion, strong_peak; an ion once a cut.
+    """
+    classes = list(classes)
+    is_strong = F.col("ion").isin(*strong)
+    sets = observed.groupBy(KEY, "cut", *classes).agg(F.sort_array(F.collect_set("ion")).alias("ions"), F.bool_or(is_strong & F.col("strong_peak")).alias("covered"))
+    left = cut_lineage(sets.filter((F.size("ions") >= 2) & ~F.col("covered")).groupBy(*classes, "ions").agg(F.count(F.lit(1)).alias("n")))
+    strong_list = F.array(*[F.lit(i) for i in strong])
+    fits = lambda x, y: F.array_contains(strong_list, x) | F.array_contains(strong_list, y) if with_strong else F.lit(True)
+    pairs = F.flatten(F.transform("ions", lambda x: F.transform(F.filter("ions", lambda y: (y > x) & fits(x, y)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    chosen = []
+    for number in range(rounds):
+        counts = left.select(*classes, "n", F.inline(pairs)).groupBy(*classes, "a", "b").agg(F.sum("n").alias("n"))
+        first = F.min(F.struct((-F.col("n")).alias("less"), "a", "b")).alias("p")
+        best = cut_lineage(counts.groupBy(*classes).agg(first).select(*classes, "p.*"))
+        if best.isEmpty():
             break
-        chosen.append((best["a"], best["b"], best["n"]))
-    return chosen
+        chosen.append(best.withColumn("round", F.lit(number)))
+        met = left.join(best.select(*classes, "a", "b"), classes, "left") if classes else left.crossJoin(F.broadcast(best.select("a", "b")))
+        left = cut_lineage(met.filter(F.col("a").isNull() | ~(F.array_contains("ions", F.col("a")) & F.array_contains("ions", F.col("b")))).select(*left.columns))
+    if not chosen:
+        return left.select(*classes, F.lit(0).alias("round"), F.lit("").alias("ion_a"), F.lit("").alias("ion_b"), "n").limit(0)
+    swap = F.lit(with_strong) & ~F.array_contains(strong_list, F.col("a"))
+    rows = reduce(DataFrame.unionByName, chosen)
+    return rows.select(
+        *classes, "round", F.when(swap, F.col("b")).otherwise(F.col("a")).alias("ion_a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("ion_b"), (-F.col("less")).alias("n")
+    )
 
 
 def calibration_histogram(scored: DataFrame, label: str, prob: Column, bins: int = 20) -> DataFrame:

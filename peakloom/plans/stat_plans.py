@@ -339,10 +339,38 @@ def agg35(t):
     return st.ion_pairs(t.ion_matches().filter(OBSERVED))
 
 
-@query("AGG35G")
+def cover_sql(classes: list[str], sets: str, pair: str, rounds: int = 6) -> str:
+    """The rounds one by one; ``sets``: classes, ions, n."""
+    cols = ", ".join([*classes, ""])
+    part = f"PARTITION BY {', '.join(classes)} " if classes else ""
+    using = f"LEFT JOIN b{{i}} b USING ({', '.join(classes)})" if classes else "LEFT JOIN b{i} b ON TRUE"
+    steps = [f"s0 AS MATERIALIZED ({sets})"]
+    for i in range(rounds):
+        steps.append(f"""b{i} AS MATERIALIZED (SELECT {cols}x AS a, y AS b, CAST(sum(n) AS BIGINT) AS n, CAST({i} AS INTEGER) AS round FROM (SELECT {cols}n, ions, unnest(ions) AS x FROM s{i}) q, unnest(q.ions) AS u(y)
+            WHERE x < y AND {pair} GROUP BY {cols}x, y QUALIFY row_number() OVER ({part}ORDER BY sum(n) DESC, x, y) = 1)""")
+        steps.append(f"s{i + 1} AS MATERIALIZED (SELECT s.* FROM s{i} s {using.format(i=i)} WHERE b.a IS NULL OR NOT (list_contains(ions, b.a) AND list_contains(ions, b.b)))")
+    every = " UNION ALL ".join(f"SELECT {cols}round, a, b, n FROM b{i}" for i in range(rounds))
+    return f"WITH {', '.join(steps)}, chosen AS ({every})"
+
+
+_SETS = f"SELECT {{c}}ions, count(*) AS n FROM (SELECT spectrum_id, cut, {{c}}list_sort(list(DISTINCT ion)) AS ions, bool_or(ion = 'y'{{strong}}) AS covered FROM {{source}} WHERE {OBSERVED} GROUP BY ALL) WHERE len(ions) >= 2 AND NOT covered GROUP BY ALL"
+
+
+@query("AGG35G", cover_sql([], _SETS.format(c="", strong="", source="ion_matches"), "TRUE") + " SELECT round, a AS ion_a, b AS ion_b, n FROM chosen")
 def agg35g(t):
-    chosen = st.select_ion_pairs(t.ion_matches().filter(OBSERVED), ["y"])
-    return t.spark.createDataFrame([(i, a, b, n) for i, (a, b, n) in enumerate(chosen)], "round int, ion_a string, ion_b string, n bigint")
+    return st.cover_pairs(t.ion_matches().filter(OBSERVED).withColumn("strong_peak", F.lit(True)), [], ["y"], with_strong=False)
+
+
+COVER_CLASSES = ["charge", "size_class", "region"]
+
+
+@query("AGG35C", cover_sql(COVER_CLASSES, _SETS.format(c="charge, size_class, region, ", strong=" AND strong_peak OR ion = 'b' AND strong_peak",
+    source=f"(SELECT c.*, k.mass_u IS NOT NULL AS strong_peak FROM ({CONTEXT}) c LEFT JOIN (SELECT DISTINCT spectrum_id, mass_u FROM strong_set) k USING (spectrum_id, mass_u))"), "(x IN ('b', 'y') OR y IN ('b', 'y'))")
+    + " SELECT charge, size_class, region, round, CASE WHEN a IN ('b', 'y') THEN a ELSE b END AS ion_a, CASE WHEN a IN ('b', 'y') THEN b ELSE a END AS ion_b, n FROM chosen")
+def agg35_cover(t):
+    strong = t.strong().select(ID, "mass_u").distinct().withColumn("strong_peak", F.lit(True))
+    seen = contexts(t).filter(OBSERVED).join(strong, [ID, "mass_u"], "left").withColumn("strong_peak", F.coalesce("strong_peak", F.lit(False)))
+    return st.cover_pairs(seen, COVER_CLASSES, ["b", "y"])
 
 
 @query("AGG36", """SELECT (SELECT count(*) FROM cuts) AS n_cuts, round(count(*)/(SELECT count(*) FROM cuts)/2000000*20000, 6) AS expected FROM cuts c JOIN peaks p ON p.spectrum_id = c.spectrum_id AND p.mass_u BETWEEN c.cut_u - 1000000 AND c.cut_u + 1000000""")
