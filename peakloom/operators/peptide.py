@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import collections
+import functools
 import itertools
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from peakloom.functions import mass, text
 
@@ -504,6 +506,93 @@ def gap_variants(df: DataFrame, seq: str, n_gap: str, max_run: int = 7, tol: int
     )
 
 
-def mask_weak_runs(seq: Column, probs: Column, floor: float) -> Column:
-    """Residues below a probability become X."""
-    return F.array_join(F.zip_with(F.split(seq, ""), probs, lambda c, p: F.when(p < floor, "X").otherwise(c)), "")
+# Limits of gap runs: letters of a run, half-Dalton bins that have a table row, and shares below which a run length is left out.
+MOST_GAP, GAP_BINS = 7, 1180
+GAP_SHARE, WEAK_GAP_SHARE = 0.075, 0.05
+#: A residue call is weak up to this probability; a weak run is replaced when all of it is right with at most RUN_PROB.
+WEAK_PROB, LEAST_PROB, RUN_PROB, RUN_MASS = 0.67, 0.03, 0.45, 400 * mass.UNIT
+
+
+def half_dalton(gap: Column) -> Column:
+    return F.floor((gap * 2 + mass.UNIT // 2) / mass.UNIT).cast("int")
+
+
+@functools.lru_cache(maxsize=1)
+def gap_shares() -> list[tuple[int, int, float]]:
+    """(half-Dalton bin, run length, share): how likely a gap of this mass is a run of so many residues.
+
+    The number of residue strings of each length and mass is built up letter by letter; a length counts by
+    the part of its strings that fall into the bin or one beside it, and shares add up to 1 a bin.
+    """
+    letters, sums = list(mass.RESIDUE_MASS.values()), {0: 1}
+    most = (GAP_BINS + 1) * mass.UNIT // 2
+    weight: dict[tuple[int, int], int] = collections.Counter()
+    for g in range(1, MOST_GAP + 1):
+        grown: dict[int, int] = collections.Counter()
+        for m, n in sums.items():
+            for r in letters:
+                if m + r <= most:
+                    grown[m + r] += n
+        sums = grown
+        for m, n in sums.items():
+            for near in (-1, 0, 1):
+                weight[(2 * m + mass.UNIT // 2) // mass.UNIT + near, g] += n * len(letters) ** (MOST_GAP - g)
+    total: dict[int, int] = collections.Counter()
+    for (at, _), w in weight.items():
+        total[at] += w
+    return [(at, g, w / total[at]) for (at, g), w in sorted(weight.items()) if at < GAP_BINS]
+
+
+def gap_runs(spark: SparkSession, least: float) -> DataFrame:
+    """(gap_bin, n_x) of the run lengths with a share above ``least``; at most GAP_BINS * MOST_GAP rows."""
+    return F.broadcast(spark.createDataFrame([(at, g) for at, g, share in gap_shares() if share > least], "gap_bin int, n_x int"))
+
+
+def boundary_variants(df: DataFrame, seq: str, n_gap: str, c_gap: str, digest: Sequence[str] = ("K", "R")) -> DataFrame:
+    """Add ``variant``, ``n_x`` and ``c_x``: forms of a sequence with its gaps on both sides filled.
+
+    Without a gap before it a sequence begins with the boundary ``B``; a gap becomes ``B`` and every run of
+    X that may fill it. Each of these forms also ends, where the gap behind it holds a digest residue and at
+    least one more, with every run of X for the rest and that residue. A gap that no run fills, or that is
+    beyond the table, leaves its side as it is.
+    """
+    runs = gap_runs(df.sparkSession, GAP_SHARE)
+    first = F.col(n_gap) < mass.UNIT
+    begun = df.withColumn("gap_bin", F.when(~first, half_dalton(F.col(n_gap)))).join(runs, "gap_bin", "left").drop("gap_bin")
+    lead = F.when(first & ~F.col(seq).startswith("B"), F.concat(F.lit("B"), seq)).when(F.col("n_x").isNotNull(), F.concat(F.lit("B"), F.repeat(F.lit("X"), F.col("n_x")), F.col(seq)))
+    begun = begun.withColumn("variant", F.coalesce(lead, F.col(seq)))
+    smallest = 56 * mass.UNIT
+    ends = F.array(*[F.struct(F.lit(r).alias("last"), F.lit(mass.RESIDUE_MASS[r]).cast("bigint").alias("last_u")) for r in digest])
+    open_end = begun.select("*", F.inline(ends)).filter(F.col(c_gap) >= F.col("last_u") + smallest)
+    ended = open_end.withColumn("gap_bin", half_dalton(F.col(c_gap) - F.col("last_u"))).join(runs.withColumnRenamed("n_x", "c_x"), "gap_bin")
+    ended = ended.withColumn("variant", F.concat("variant", F.repeat(F.lit("X"), F.col("c_x")), "last"))
+    columns = [*df.columns, "n_x", "c_x", "variant"]
+    return begun.withColumn("c_x", F.lit(None).cast("int")).select(*columns).unionByName(ended.select(*columns))
+
+
+def weak_run_variants(df: DataFrame, seq: str, probs: str) -> DataFrame:
+    """Add ``start``, ``n_weak``, ``n_x`` and ``variant``: a run of weak residue calls replaced by runs of X of its mass.
+
+    From each weak position the run goes on while calls stay weak and its mass small. It is replaced when it
+    has two letters or more, is unlikely to be right as a whole and is neither the beginning nor the end;
+    of the forms those stay that keep more than four letters and no more X than letters.
+    """
+    n = F.length(seq)
+    table, letters = mass.residue_map(), F.split(F.col(seq), "")
+    spots = df.filter(n >= 5).select("*", F.explode(F.sequence(F.lit(1), n - 3)).alias("start"))
+    calls = F.slice(F.arrays_zip(letters.alias("c"), F.col(probs).alias("p")), F.col("start") + 1, F.lit(10_000))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("m"), F.lit(1.0).alias("p"), F.lit(True).alias("open"))
+
+    def step(s: Column, x: Column) -> Column:
+        heavier = s["m"] + table[x["c"]]
+        goes = s["open"] & (x["p"] <= WEAK_PROB) & F.coalesce(heavier <= RUN_MASS, F.lit(False))
+        longer = F.struct((s["n"] + 1).alias("n"), heavier.alias("m"), (s["p"] * F.greatest(x["p"], F.lit(LEAST_PROB))).alias("p"), F.lit(True).alias("open"))
+        return F.when(goes, longer).otherwise(F.struct(s["n"].alias("n"), s["m"].alias("m"), s["p"].alias("p"), F.lit(False).alias("open")))
+
+    weak = spots.withColumn("run", F.aggregate(calls, start, step))
+    weak = weak.filter((F.col("run.n") >= 2) & (F.col("run.p") <= RUN_PROB) & (F.col("start") + F.col("run.n") < n)).withColumn("gap_bin", half_dalton(F.col("run.m")))
+    found = weak.join(gap_runs(df.sparkSession, WEAK_GAP_SHARE), "gap_bin").withColumn("n_weak", F.col("run.n"))
+    variant = F.concat(F.substring(seq, F.lit(1), F.col("start")), F.repeat(F.lit("X"), F.col("n_x")), F.substring(F.col(seq), F.col("start") + F.col("n_weak") + 1, n))
+    xs = F.length("variant") - F.length(F.replace("variant", F.lit("X")))
+    kept = (F.length("variant") - xs > 4) & (xs * 2 <= F.length("variant")) & (xs <= MOST_GAP) & ~F.col("variant").startswith("X") & ~F.col("variant").endswith("X")
+    return found.withColumn("variant", variant).filter(kept).select(*df.columns, "start", "n_weak", "n_x", "variant")

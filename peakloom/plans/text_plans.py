@@ -157,6 +157,39 @@ def seq15(t):
     return pep.gap_variants(p, "path", "n_mass").select(ID, "n_mass", "n_x", "variant")
 
 
+# how likely a gap of a half-Dalton bin is a run of g residues
+_SUMS = ", ".join(
+    f"r{g} AS (SELECT {'mass' if g == 1 else f's.m + mass'} AS m, CAST({'count(*)' if g == 1 else 'sum(s.n)'} AS BIGINT) AS n FROM residues{'' if g == 1 else f' JOIN r{g - 1} s ON s.m + mass <= {(pep.GAP_BINS + 1) * 5_000}'} GROUP BY 1)"
+    for g in range(1, pep.MOST_GAP + 1)
+)
+GAP_SHARES = f"""{_SUMS}, gw AS (SELECT (2*m + 5000)//10000 + d AS gap_bin, g, sum(n*k) AS w FROM ({' UNION ALL '.join(f'SELECT {g} AS g, m, n, {20 ** (pep.MOST_GAP - g)} AS k FROM r{g}' for g in range(1, pep.MOST_GAP + 1))}), range(-1, 2) AS x(d) GROUP BY 1, 2),
+    gs AS MATERIALIZED (SELECT gap_bin, CAST(g AS INTEGER) AS g, w/sum(w) OVER (PARTITION BY gap_bin) AS share FROM gw QUALIFY gap_bin < {pep.GAP_BINS})"""
+
+
+@query("SEQ15C", f"""WITH {GAP_SHARES}, p AS (SELECT spectrum_id, path, n_mass*(spectrum_id % 4) AS n_gap, n_mass*(spectrum_id % 3) + 1000000*(spectrum_id % 5) AS c_gap FROM ({PATHS})), gr AS (SELECT * FROM gs WHERE share > {pep.GAP_SHARE}),
+    b AS (SELECT p.*, CASE WHEN n_gap >= 10000 THEN g END AS n_x, CASE WHEN n_gap < 10000 THEN CASE WHEN path LIKE 'B%' THEN path ELSE 'B' || path END WHEN g IS NULL THEN path ELSE 'B' || repeat('X', g) || path END AS variant
+      FROM p LEFT JOIN gr ON n_gap >= 10000 AND gap_bin = (2*n_gap + 5000)//10000)
+    SELECT spectrum_id, n_gap, c_gap, n_x, CAST(NULL AS INTEGER) AS c_x, variant FROM b UNION ALL
+    SELECT spectrum_id, n_gap, c_gap, n_x, g, variant || repeat('X', g) || residue FROM b JOIN residues ON residue IN ('K', 'R') AND c_gap >= mass + 560000 JOIN gr ON gap_bin = (2*(c_gap - mass) + 5000)//10000""")
+def seq15c(t):
+    m, i = F.col("n_mass"), F.col(ID)
+    p = paths(t).select(ID, "path", (m * (i % 4)).alias("n_gap"), (m * (i % 3) + F.lit(1_000_000) * (i % 5)).alias("c_gap"))
+    return pep.boundary_variants(p, "path", "n_gap", "c_gap").drop("path")
+
+
+# called probabilities are those of SEQ14
+@query("SEQ15M", f"""WITH {GAP_SHARES}, q AS (SELECT spectrum_id, 'B' || path AS seq FROM ({PATHS}) WHERE length(path) >= 4), c AS (SELECT spectrum_id, seq, i, substr(seq, i, 1) AS c, ((ascii(substr(seq, i, 1))*37 + (i - 1)*11) % 100)/100 AS p FROM (SELECT *, unnest(range(1, length(seq) + 1)) AS i FROM q)),
+    r AS (SELECT spectrum_id, seq, s.start, c.i, mass, greatest(p, {pep.LEAST_PROB}) AS p, p > {pep.WEAK_PROB} OR mass IS NULL AS strong, sum(mass) OVER w AS m FROM (SELECT spectrum_id, unnest(range(1, length(seq) - 2)) AS start FROM q) s JOIN c USING (spectrum_id) LEFT JOIN residues ON residue = c WHERE c.i > s.start
+      WINDOW w AS (PARTITION BY spectrum_id, s.start ORDER BY c.i)),
+    o AS (SELECT *, bool_or(strong OR m > {pep.RUN_MASS}) OVER (PARTITION BY spectrum_id, start ORDER BY i) AS over FROM r),
+    k AS (SELECT spectrum_id, seq, start, CAST(count(*) AS INTEGER) AS n_weak, sum(mass) AS m, list_reduce(list(CAST(p AS DOUBLE) ORDER BY i), lambda a, b: a*b) AS p FROM o WHERE NOT over GROUP BY ALL),
+    v AS (SELECT spectrum_id, seq, CAST(start AS INTEGER) AS start, n_weak, g AS n_x, substr(seq, 1, start) || repeat('X', g) || substr(seq, start + n_weak + 1) AS variant FROM k JOIN gs ON gap_bin = (2*m + 5000)//10000
+      WHERE share > {pep.WEAK_GAP_SHARE} AND n_weak >= 2 AND p <= {pep.RUN_PROB} AND start + n_weak < length(seq))
+    SELECT * FROM v WHERE length(replace(variant, 'X', '')) > 4 AND 2*(length(variant) - length(replace(variant, 'X', ''))) <= length(variant) AND length(variant) - length(replace(variant, 'X', '')) <= {pep.MOST_GAP} AND variant NOT LIKE 'X%' AND variant NOT LIKE '%X'""")
+def seq15m(t):
+    return pep.weak_run_variants(scored_paths(t).select(ID, "seq", "probs"), "seq", "probs").drop("probs")
+
+
 # every letter window of n letters, as the n ways to cut a text into pieces of n
 _TAGS_AT = " UNION ALL ".join(
     f"SELECT protein_id, s - 1 + {n}*unnest(range(0, len(w))) AS pos, unnest(w) AS tag FROM (SELECT protein_id, s, regexp_extract_all(substr(seq, s), '[A-Z]{{{n}}}') AS w FROM proteins, range(1, {n + 1}) AS x(s))"
