@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import Window as W, functions as F
 
 from peakloom.functions import mass, text
 from peakloom.functions.ordered import row_numbers
-from peakloom.operators import candidates as cand, peptide as pep
+from peakloom.operators import candidates as cand, modifications as mods, peptide as pep
 from peakloom.plans.registry import query
+from peakloom.session import scratch_path
+from peakloom.sources.readers import read_modifications
 
 ID = "spectrum_id"
 MODS = "C=57:L+14:R+14"
@@ -38,6 +42,53 @@ def seq3(t):
     return pep.modified_masses(modified(t), MODS).select(ID, "mass_u")
 
 
+# A rule file with every kind of place: fixed, anywhere, both termini, first and last residue, second residue, last but one.
+RULES = """#residue shift type place symbol name
+C       57.021464   FIXED      ALL      C+57   carbamidomethyl
+L       14.01565    OPTIONAL   ALL      L+14   methyl
+N_TERM  42.010565   OPTIONAL   N_TERM   ^+42   acetyl
+C_TERM  -0.984016   OPTIONAL   C_TERM   $-1    amide
+Q       -17.026549  OPTIONAL   N_TERM   Q-17   pyro glu
+D       21.981943   OPTIONAL   C_TERM   D+22   sodium
+R       14.01565    OPTIONAL   2        R+14   methyl
+E       21.981943   OPTIONAL   -2       E+22   sodium
+H       57.021464   OPTIONAL   ALL      H+57   carbamidomethyl
+short line"""
+CHOSEN = "C+57:L+14:^+42:$-1:Q-17:D+22:R+14:E+22"
+MARKED = """SELECT spectrum_id, CASE WHEN charge = 2 AND spectrum_id % 5 < 3 THEN '^+42' ELSE '' END || replace(replace(replace(CASE WHEN charge = 3 THEN replace(peptide, 'L', 'L+14') ELSE peptide END, 'RI', 'R+14I'), 'QU', 'Q-17U'), 'EN', 'E+22N')
+    || CASE WHEN spectrum_id % 7 = 1 THEN 'D+22' WHEN spectrum_id % 7 = 2 THEN '$-1' WHEN spectrum_id % 7 = 3 THEN 'H+57' ELSE '' END AS peptide FROM annotated"""
+
+
+def marked(t):
+    at, three = F.col(ID), F.when(F.col("charge") == 3, F.replace("peptide", F.lit("L"), F.lit("L+14"))).otherwise(F.col("peptide"))
+    for old, new in (("RI", "R+14I"), ("QU", "Q-17U"), ("EN", "E+22N")):
+        three = F.replace(three, F.lit(old), F.lit(new))
+    head = F.when((F.col("charge") == 2) & (at % 5 < 3), "^+42").otherwise("")
+    tail = F.when(at % 7 == 1, "D+22").when(at % 7 == 2, "$-1").when(at % 7 == 3, "H+57").otherwise("")
+    return t.annotated().select(ID, F.concat(head, three, tail).alias("peptide"))
+
+
+def _rules_sql() -> str:
+    fields = [line.split(None, 5) for line in RULES.split("\n")[1:]]
+    rows = [(f[0], int((Decimal(f[1]) * 10_000).to_integral_value(ROUND_HALF_UP)), f[2] == "FIXED", f[3] if f[3].isalpha() or "_" in f[3] else "PLACE", 0 if "_" in f[3] or f[3] == "ALL" else int(f[3]), f[4]) for f in fields if len(f) == 6 and f[4] in CHOSEN.split(":")]
+    values = ", ".join(f"('{a}', {b}, {c}, '{d}', {e}, '{g}')" for a, b, c, d, e, g in rows)
+    return f"""rules AS (SELECT * FROM (VALUES {values}) AS v(aa, shift, fixed, region, place, symbol)),
+    based AS (SELECT residue, mass + coalesce(sum(shift), 0) AS mass FROM residues LEFT JOIN rules ON aa = residue AND fixed GROUP BY residue, mass),
+    tk AS (SELECT residue AS token, mass, 'ALL' AS region, 0 AS place FROM based UNION ALL SELECT symbol, coalesce(mass, 0) + shift, CASE aa WHEN 'N_TERM' THEN 'BEFORE' WHEN 'C_TERM' THEN 'AFTER' ELSE region END, place FROM rules LEFT JOIN based ON residue = aa WHERE NOT fixed)"""
+
+
+@query("SEQ3T", rf"""WITH {_rules_sql()}, s AS (SELECT spectrum_id, regexp_replace(peptide, '[A-Z^$](?:[+-][0-9]+)?', '', 'g') = '' AS clean, regexp_extract_all(peptide, '[A-Z^$](?:[+-][0-9]+)?') AS ts FROM ({MARKED})),
+    c AS (SELECT *, CAST(starts_with(ts[1], '^') AS INTEGER) AS lead, len(ts) - CAST(starts_with(ts[1], '^') AS INTEGER) - CAST(starts_with(ts[-1], '$') AS INTEGER) AS n FROM s),
+    e AS (SELECT spectrum_id, clean, n, i - 1 - lead AS pos, ts[i] AS token FROM (SELECT *, unnest(range(1, len(ts) + 1)) AS i FROM c)),
+    j AS (SELECT e.*, mass, CASE region WHEN 'ALL' THEN pos BETWEEN 0 AND n - 1 WHEN 'N_TERM' THEN pos = 0 WHEN 'C_TERM' THEN pos = n - 1 WHEN 'BEFORE' THEN pos = -1 WHEN 'AFTER' THEN pos = n WHEN 'PLACE' THEN pos = CASE WHEN place > 0 THEN place - 1 ELSE n + place END ELSE FALSE END AS fits FROM e LEFT JOIN tk USING (token))
+    SELECT spectrum_id, CAST(any_value(n) AS INTEGER) AS n_residues, count(*) FILTER (WHERE length(token) > 1) AS n_modified, bool_and(fits) AND any_value(clean) AS valid,
+      CASE WHEN bool_and(fits) AND any_value(clean) THEN CAST(sum(mass) AS BIGINT) END AS mass_u FROM j GROUP BY 1""")
+def seq3t(t):
+    path = scratch_path(t.spark, "rules")
+    t.spark.createDataFrame([(line,) for line in RULES.split("\n")], "value string").write.text(path)
+    return mods.masses_by_rules(marked(t), [ID], mods.chosen_rules(read_modifications(t.spark, path), CHOSEN))
+
+
 @query("SEQ4", "SELECT spectrum_id, replace(replace(substr(peptide, 1, length(peptide) - 1), 'I', 'L'), 'K', 'Q') || replace(right(peptide, 1), 'I', 'L') AS seq FROM annotated")
 def seq4(t):
     return t.annotated().select(ID, text.equate_residues(F.col("peptide")).alias("seq"))

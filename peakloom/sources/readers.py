@@ -6,9 +6,13 @@ spectrum. Text is split by Spark into records; fields are taken with expressions
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from peakloom.functions import mass
+
 PROTON_DA = 1.00728
 PEAKS = "array<struct<mass:double,intensity:double>>"
 MIN_INTENSITY = 1e-9
@@ -187,25 +191,60 @@ def read_mzxml(spark: SparkSession, path: str | list[str], min_peaks: int = 7) -
 PKL_INDEX = "name STRING, scan BIGINT, rt_s DOUBLE, np INT, n_peaks INT, mz_sel DOUBLE, mz DOUBLE, mz_cen DOUBLE, parent_mh DOUBLE, charge_text STRING, ns INT, max_intensity DOUBLE, precursor_intensity DOUBLE"
 
 
-def join_pkl(index: DataFrame, files: DataFrame, min_mz: float, max_mz: float) -> DataFrame:
-    """Index rows with more than five peaks and m/z in range, joined to their peak file by name.
+def join_pkl(index: DataFrame, files: DataFrame, min_mz: float, max_mz: float, key: str = "name") -> DataFrame:
+    """Index rows with more than five peaks and m/z in range, joined to their peak file by ``key``.
 
     The charge is the last digit of the file name before its four-letter ending; the first
-    line of a peak file is skipped. ``files``: name, value.
+    line of a peak file is skipped. ``files``: key, value.
     """
     charge = F.regexp_extract("name", r"([0-9]).{4}$", 1).try_cast("int")
     kept = index.filter((F.col("n_peaks") > 5) & F.col("mz").between(min_mz, max_mz)).withColumn("charge", charge)
     lines = F.split("value", "\n")
-    parsed = files.select("name", _peak_lines(F.slice(lines, F.lit(2), F.size(lines))).alias("peaks"))
-    return kept.join(parsed, "name").select(
-        "name", "scan", "rt_s", "mz", "charge", _mh(F.col("mz"), F.col("charge")).alias("mh"), "precursor_intensity", "peaks"
+    parsed = files.select(key, _peak_lines(F.slice(lines, F.lit(2), F.size(lines))).alias("peaks"))
+    return kept.join(parsed, key).select(
+        *[c for c in ("path",) if c in index.columns], "name", "scan", "rt_s", "mz", "charge", _mh(F.col("mz"), F.col("charge")).alias("mh"), "precursor_intensity", "peaks"
     )
 
 
-def read_pkl(spark: SparkSession, index_path: str, peak_dir: str, min_mz: float = 0.0, max_mz: float = 1e9) -> DataFrame:
-    index = spark.read.csv(index_path, sep="\t", header=True, schema=PKL_INDEX, enforceSchema=True)
-    files = spark.read.text(peak_dir, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value")
-    return join_pkl(index, files, min_mz, max_mz)
+def read_pkl(spark: SparkSession, index_path: str | list[str], peak_dir: str | None = None, min_mz: float = 0.0, max_mz: float = 1e9) -> DataFrame:
+    """Spectra of index files with a companion peak file for each entry, matched by full address.
+
+    An entry names a ``.pkl`` file in the folder of its index, or in ``peak_dir``; a folder of that name stands
+    for the file that Spark wrote in it. Equal names in different folders do not mix; an entry without a
+    peak file and a peak file without an entry give no row.
+    """
+    indexes = [index_path] if isinstance(index_path, str) else list(index_path)
+    index = spark.read.csv(indexes, sep="\t", header=True, schema=PKL_INDEX, enforceSchema=True).withColumn("path", F.col("_metadata.file_path"))
+    if peak_dir is None:
+        folder = F.regexp_replace(_address(F.col("path")), "/[^/]*$", "")
+        folders = sorted({p.rpartition("/")[0] or "." for p in indexes})
+    else:
+        folder, folders = F.lit(re.sub("^file:/+", "file:/", _qualified(spark, peak_dir)).rstrip("/")), [peak_dir.rstrip("/")]
+    entries = index.select("*", F.concat(folder, F.lit("/"), "name").alias("peak_file"))
+    own = _address(F.col("_metadata.file_path"))
+    files = spark.read.text([f"{f}/*.pkl" for f in folders], wholetext=True)
+    # a plain file is found under its own address, one that Spark wrote under that of its folder
+    named = files.select(F.explode(F.array(own, F.regexp_replace(own, "/[^/]*$", ""))).alias("peak_file"), "value").filter(F.col("peak_file").endswith(".pkl"))
+    return join_pkl(entries, named, min_mz, max_mz, "peak_file")
+
+
+def read_modifications(spark: SparkSession, path: str) -> DataFrame:
+    """Modification rules: residue or terminus, shift in Da, FIXED or OPTIONAL, place, symbol, name.
+
+    Lines with fewer fields and those that begin with ``#`` are left out; an unknown residue or place is an error.
+    """
+    field = F.split(F.trim("value"), r"\s+", 6)
+    rows = spark.read.text(path).select(field.alias("f")).filter((F.size("f") == 6) & ~F.col("f")[0].startswith("#"))
+    residue, region = F.col("f")[0], F.col("f")[3]
+    place = region.try_cast("int")
+    known = residue.isin("N_TERM", "C_TERM") | residue.rlike(f"^[{''.join(mass.RESIDUE_MASS)}]$")
+    fits = region.isin("ALL", "N_TERM", "C_TERM") | F.coalesce((F.abs(place) < 10) & (place != 0), F.lit(False))
+    error = F.raise_error(F.concat(F.lit("unknown residue or place: "), F.array_join("f", " "))).cast("string")
+    return rows.select(
+        F.when(known & fits, residue).otherwise(error).alias("residue"), F.round(F.col("f")[1].cast("decimal(20,9)") * mass.UNIT).cast("bigint").alias("shift_u"),
+        (F.col("f")[2] != "OPTIONAL").alias("fixed"), F.when(place.isNull(), region).otherwise("PLACE").alias("region"), F.coalesce(place, F.lit(0)).alias("place"),
+        F.col("f")[4].alias("symbol"), F.col("f")[5].alias("name"),
+    )
 
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -218,7 +257,7 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-READERS = {"mgf": read_mgf, "dta": read_dta, "mzxml": read_mzxml, "fasta": read_fasta}
+READERS = {"mgf": read_mgf, "dta": read_dta, "mzxml": read_mzxml, "fasta": read_fasta, "txt": read_pkl}
 
 
 def reader_for(path: str):
