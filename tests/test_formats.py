@@ -109,3 +109,65 @@ def test_search_hits_ranges(spark, tmp_path):
     (tmp_path / "h.tsv").write_text("\n".join("\t".join(x) for x in (good, bad)))
     got = [r["valid"] for r in rd.read_search_hits(spark, str(tmp_path / "h.tsv")).orderBy("ntt").collect()]
     assert got == [True, False]
+
+
+def test_pkl_indexes_with_equal_names(spark, tmp_path):
+    head = "name\tscan\trt\tnp\tpeaks\tmz_sel\tmz\tmz_cen\tmh\tz\tns\tmax\tpre\n"
+    for folder, base in (("one", 100), ("two", 200)):
+        (tmp_path / folder).mkdir()
+        entries = [("s.2.pkl", 1, 8, 500.5), ("few.2.pkl", 2, 5, 500.5), ("far.2.pkl", 3, 8, 5000.0), ("missing.3.pkl", 4, 8, 500.5)]
+        lines = [f"{n}\t{base + s}\t1.5\t0\t{k}\t0\t{mz}\t0\t0\t+\t0\t9.0\t7.5\n" for n, s, k, mz in entries]
+        (tmp_path / folder / "index.txt").write_text(head + "".join(lines))
+        for name in ("s.2.pkl", "few.2.pkl", "far.2.pkl", "stray.1.pkl"):
+            (tmp_path / folder / name).write_text("777 1\n" + "".join(f"{base + i}.25 {i}\n" for i in range(1, 9)))
+    paths = [str(tmp_path / f / "index.txt") for f in ("one", "two")]
+    got = sorted((r.scan, r.charge, r.mz, r.peaks[0].mass, len(r.peaks)) for r in rd.read_pkl(spark, paths, max_mz=1000.0).collect())
+    assert got == [(101, 2, 500.5, 101.25, 8), (201, 2, 500.5, 201.25, 8)]
+    (tmp_path / "list").write_text("\n".join(reversed(paths)))
+    listed = rd.read_path_list(spark, str(tmp_path / "list"))
+    assert sorted((r.file_idx, r.scan) for r in listed.collect()) == [(0, 201), (0, 203), (1, 101), (1, 103)]
+
+
+def test_modification_rules(spark, tmp_path):
+    import pytest
+
+    from peakloom.functions import mass
+    from peakloom.operators import modifications as mods
+
+    path = tmp_path / "rules"
+    path.write_text(
+        "# comment line with six fields\nC 57.021464 FIXED ALL C+57 Carbamido methyl\nC -57.021 OPTIONAL ALL C-57 Loss\nM 15.994915 OPTIONAL ALL M+16 Oxidation\n"
+        "N_TERM 42.010565 OPTIONAL N_TERM ^+42 Acetyl\nC_TERM -0.984016 OPTIONAL C_TERM $-1 Amide\nQ -17.026549 FIXED N_TERM Q-17 Pyro\nK 8.0142 OPTIONAL -1 K+8 Heavy\nW 12.0 FIXED 3 W+12 Bad\n\nshort line\n"
+    )
+    rules = rd.read_modifications(spark, str(path))
+    assert rules.count() == 8
+    g, c, m, q, k = (mass.RESIDUE_MASS[r] for r in "GCMQK")
+    cases = {
+        "GC": g + c + 570_215, "GC-57": g + c + 570_215 - 570_210, "GM+16": g + m + 159_949, "^+42G": g + 420_106, "G^+42": None, "G$-1": g - 9_840, "$-1G": None,
+        "Q-17G": q + g - 170_265, "GQ-17": None, "GK+8": g + k + 80_142, "K+8G": None, "GW+12": None, "Gx": None, "": 0, None: 0, "[12]G": g, "^+42$-1": 420_106 - 9_840,
+    }
+    chosen = mods.chosen_rules(rules, "C+57:C-57:M+16:^+42:$-1:Q-17:K+8")
+    df = spark.createDataFrame(list(enumerate(cases)), "id int, peptide string")
+    got = {r.id: (r.mass_u, r.valid) for r in mods.masses_by_rules(df, ["id"], chosen).collect()}
+    assert got == {i: (v, v is not None) for i, v in enumerate(cases.values())}
+    with pytest.raises(Exception, match="must hold everywhere"):
+        mods.chosen_rules(rules, "W+12")
+    with pytest.raises(ValueError, match="no rule for H\\+57"):
+        mods.chosen_rules(rules, "H+57:M+16")
+    path.write_text("B 1.0 OPTIONAL ALL B+1 Unknown\n")
+    with pytest.raises(Exception, match="unknown residue or place"):
+        rd.read_modifications(spark, str(path)).collect()
+
+
+def test_gap_shares():
+    import itertools
+
+    from peakloom.functions import mass
+    from peakloom.operators import peptide as pep
+
+    table = {(at, g): share for at, g, share in pep.gap_shares()}
+    assert all(abs(sum(table.get((at, g), 0) for g in range(1, 8)) - 1) < 1e-9 for at in {at for at, _ in table})
+    at = (2 * (mass.RESIDUE_MASS["G"] + mass.RESIDUE_MASS["A"]) + 5_000) // 10_000
+    letters = list(mass.RESIDUE_MASS.values())
+    part = [sum(abs((2 * sum(c) + 5_000) // 10_000 - at) <= 1 for c in itertools.product(letters, repeat=g)) / 20**g for g in (1, 2, 3)]
+    assert all(abs(table.get((at, g), 0) - part[g - 1] / sum(part)) < 1e-9 for g in (1, 2, 3))
