@@ -52,10 +52,11 @@ def protein_scores(passed: DataFrame, gap_cost: int = 35, free: int = 5, extra_c
     )
 
 
-def best_hit_per_peptide(hits: DataFrame) -> DataFrame:
-    best = F.max(F.struct("score", (-F.col("protein_id")).alias("neg"), "is_decoy")).alias("b")
+def best_hit_per_peptide(hits: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """The best hit of each peptide, the lower protein on ties, with the ``carry`` columns of that hit (such as the matched subject)."""
+    best = F.min(F.struct((-F.col("score")).alias("neg"), "protein_id", *carry, "is_decoy")).alias("b")
     return hits.groupBy("peptide").agg(best).select(
-        "peptide", F.col("b.score").alias("score"), (-F.col("b.neg")).alias("protein_id"), F.col("b.is_decoy").alias("is_decoy")
+        "peptide", (-F.col("b.neg")).alias("score"), F.col("b.protein_id").alias("protein_id"), F.col("b.is_decoy").alias("is_decoy"), *[F.col(f"b.{c}").alias(c) for c in carry]
     )
 
 

@@ -323,22 +323,23 @@ def kmers(proteins: DataFrame, k: int) -> DataFrame:
 
 
 def tag_lookup(tags: DataFrame, proteins: DataFrame, lengths: Sequence[int] = (3, 4, 5, 6)) -> DataFrame:
-    """Positions of distinct tags in the proteins: one equality join per tag length.
+    """Positions of distinct tags in the proteins, in one pass over them.
 
-    A position meets at most one tag of a length, so the result grows with the database. A tag of
-    another length is an error.
+    Each position gives its next letters once. A table of the tags' first letters, bounded by the alphabet,
+    tells which tag lengths can begin there; only these go on to the equality join. A tag of another
+    length is an error.
     """
-    known = F.length("tag").isin(*lengths)
+    lengths = sorted(lengths)
+    least, most = lengths[0], lengths[-1]
+    known = F.length("tag").isin(lengths)
     message = F.concat(F.lit("no index for tags of this length: "), F.col("tag"))
-    tags = tags.select(F.when(known, F.col("tag")).otherwise(F.raise_error(message)).alias("tag"))
-    parts = []
-    for k in lengths:
-        wanted = tags.filter(F.length("tag") == k).select(F.col("tag")).distinct()
-        parts.append(kmers(proteins, k).withColumnRenamed("kmer", "tag").join(wanted, "tag"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    wanted = tags.select(F.when(known, F.col("tag")).otherwise(F.raise_error(message)).alias("tag")).distinct()
+    head = lambda c: F.substring(c, 1, least)
+    heads = F.broadcast(wanted.groupBy(head("tag").alias("head")).agg(F.collect_set(F.length("tag")).alias("lengths")))
+    windows = F.regexp_extract_all("seq", F.lit(f"(?=(.{{{least},{most}}}))"), 1)
+    places = proteins.select("protein_id", F.posexplode(windows).alias("pos", "window")).withColumn("head", head("window"))
+    begun = places.join(heads, "head").select("protein_id", "pos", "window", F.explode("lengths").alias("k")).filter(F.col("k") <= F.length("window"))
+    return begun.select("protein_id", "pos", F.substring("window", F.lit(1), F.col("k")).alias("tag")).join(wanted, "tag").select("protein_id", "pos", "tag")
 
 
 def candidates_with_mass(proteins: DataFrame, target: int, tol: int) -> DataFrame:

@@ -48,18 +48,25 @@ def fdr5(t):
     return fdr.fdr_levels(scores(t), "adj_score").withColumn("fdr", F.round("fdr", 6))
 
 
-BEST_HIT = """SELECT peptide, score, protein_id, is_decoy FROM (SELECT *, row_number() OVER (PARTITION BY peptide ORDER BY score DESC, protein_id) AS rn FROM hits) WHERE rn = 1"""
+# the matched subject of a hit, of the length of its peptide text
+SUBJECT = "'SUB' || (protein_id*7 + score) % 11"
+BEST_HIT = f"""SELECT peptide, score, protein_id, is_decoy, subject FROM (SELECT *, row_number() OVER (PARTITION BY peptide ORDER BY score DESC, protein_id, subject) AS rn FROM (SELECT *, {SUBJECT} AS subject FROM hits)) WHERE rn = 1"""
 
 
-@query("FDR6", BEST_HIT)
+def subject_hits(t):
+    subject = F.concat(F.lit("SUB"), ((F.col("protein_id") * 7 + F.col("score")) % 11).cast("string"))
+    return t.hits().withColumn("subject", subject)
+
+
+@query("FDR6", f"SELECT peptide, score, protein_id, is_decoy FROM ({BEST_HIT})")
 def fdr6(t):
     return fdr.best_hit_per_peptide(t.hits())
 
 
 @query("FDR7", f"""WITH b AS (SELECT h.*, l.fdr FROM ({BEST_HIT}) h JOIN hit_levels l USING (score)), s AS (SELECT max(score) AS stop FROM b WHERE fdr > 0.02)
-    SELECT peptide, score, protein_id, is_decoy, round(fdr, 6) AS fdr FROM b, s WHERE stop IS NULL OR score >= stop""")
+    SELECT peptide, score, protein_id, is_decoy, subject, round(fdr, 6) AS fdr FROM b, s WHERE stop IS NULL OR score >= stop""")
 def fdr7(t):
-    out = fdr.peptide_report(fdr.best_hit_per_peptide(t.hits()), levels(t), 0.01)
+    out = fdr.peptide_report(fdr.best_hit_per_peptide(subject_hits(t), ["subject"]), levels(t), 0.01)
     return out.withColumn("fdr", F.round("fdr", 6))
 
 
@@ -110,12 +117,12 @@ def qry1(t):
 
 
 @query("QRY2", """SELECT set_id, turn, CAST(n - 1 AS INTEGER) AS n, seq[n] AS seq, round(line_score - (n - 1)*0.2, 6) AS score FROM (SELECT *, unnest(range(1, len(seq) + 1)) AS n FROM (
-    SELECT conv_id AS set_id, turn, CAST(length(text) AS DOUBLE) AS line_score, list_filter(string_split(upper(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' '), lambda w: length(w) >= 5) AS seq FROM conversations) WHERE line_score >= 300)""")
+    SELECT conv_id AS set_id, turn, CAST(length(text) AS DOUBLE) AS line_score, list_filter(string_split(upper(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' '), lambda w: w <> '') AS seq FROM conversations) WHERE line_score >= 300)""")
 def qry2(t):
     from peakloom.functions.text import words
 
     lines = t.raw("conversations").select(
-        F.col("conv_id").alias("set_id"), "turn", F.length("text").cast("double").alias("line_score"), F.array_join(words(F.col("text"), 5), "-").alias("line")
+        F.col("conv_id").alias("set_id"), "turn", F.length("text").cast("double").alias("line_score"), F.array_join(words(F.col("text"), 1), "-").alias("line")
     )
     return cand.scored_lines(lines, 300.0).select("set_id", "turn", "n", "seq", F.round("score", 6).alias("score"))
 
@@ -181,9 +188,9 @@ def qry6h(t):
 NAME_ID = r"/([0-9]+)"
 
 
-@query("JN14", """SELECT page_id, keyword FROM pages JOIN (SELECT DISTINCT lower(n_name) AS keyword FROM nation UNION SELECT DISTINCT lower(seq) FROM benchmark_words WHERE length(seq) BETWEEN 2 AND 5) k ON contains(lower(url), keyword)""")
+@query("JN14", """SELECT page_id, keyword FROM pages JOIN (SELECT DISTINCT lower(n_name) AS keyword FROM nation UNION SELECT DISTINCT lower(seq) FROM benchmark_words WHERE length(seq) >= 2) k ON contains(lower(url), keyword)""")
 def jn14(t):
-    words = t.words("benchmark", "item_id", 2).filter(F.length("seq") <= 5).select(F.col("seq").alias("keyword"))
+    words = t.words("benchmark", "item_id", 2).select(F.col("seq").alias("keyword"))
     keywords = words.unionByName(t.raw("nation").select(F.col("n_name").alias("keyword")))
     return cand.keyword_match(t.raw("pages"), keywords, "page_id", "url")
 

@@ -195,7 +195,25 @@ def scored_paths(t):
     return seqs.withColumn("probs", probs)
 
 
-@query("SEQ14")
+def _cases(table: dict, key: str) -> str:
+    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in table.items()) + " END"
+
+
+_HALF = "CASE {c} WHEN 'X' THEN 0.0 WHEN 'Z' THEN ({v})*0.5 ELSE {v} END"
+_AFTER_B = "substr(seq, 1, 1) = 'B'"
+_LOSS = f"""CASE substr(seq, i, 1) WHEN 'K' THEN CASE WHEN {_AFTER_B} AND i = 2 THEN {1 - pep.K_FIRST} ELSE 0 END + CASE WHEN i > CASE WHEN {_AFTER_B} THEN 2 ELSE 0 END AND i < n THEN {1 - pep.K_MIDDLE} ELSE 0 END + CASE WHEN i = n THEN {1 - pep.K_LAST} ELSE 0 END
+    WHEN 'Q' THEN CASE WHEN {_AFTER_B} AND i = 2 THEN {pep.K_FIRST} ELSE 0 END + CASE WHEN i > CASE WHEN {_AFTER_B} THEN 2 ELSE 0 END AND i < n THEN {pep.K_MIDDLE} ELSE 0 END + CASE WHEN i = n THEN {pep.K_LAST} ELSE 0 END
+    WHEN 'm' THEN {pep.OXIDISED_FOR_F} WHEN 'F' THEN {1 - pep.OXIDISED_FOR_F} ELSE 0 END"""
+
+
+@query("SEQ14", f"""WITH q AS (SELECT spectrum_id, 'B' || path AS seq, length(path) + 1 AS n FROM ({PATHS})), l AS (SELECT *, list_transform(range(1, n + 1), lambda i: CAST((ascii(substr(seq, i, 1))*37 + (i - 1)*11) % 100 AS DOUBLE)/100) AS p FROM q),
+    m AS (SELECT *, list_transform(range(1, n + 1), lambda i: CAST({_HALF.format(c="substr(seq, i, 1)", v=f"CASE WHEN i = 1 THEN p[1] ELSE (p[i] - {pep.MIN_RESIDUE_PROB})/(1 - {pep.MIN_RESIDUE_PROB}) END")} AS DOUBLE)) AS a,
+      list_transform(range(1, n + 1), lambda i: CAST(({_LOSS})*(p[i] + 1) AS DOUBLE)) AS d FROM l),
+    s AS (SELECT *, list_sum(a) - list_sum(d) AS simple FROM m),
+    r AS (SELECT spectrum_id, seq, simple, i, w, list_sum(a[1:i]) - n + i AS before, coalesce(list_sum(a[i + 2:n]), 0) - i - 1 AS after FROM (SELECT *, {_cases(pep.SINGLE_RISK, "substr(seq, i + 1, 1)")} AS w FROM (SELECT *, unnest(range(1, n - 1)) AS i FROM s)) WHERE w IS NOT NULL
+      UNION ALL SELECT spectrum_id, seq, simple, i, w, list_sum(a[1:i]) - n + i, coalesce(list_sum(a[i + 2:n]), 0) - i - 1 FROM (SELECT *, {_cases(pep.DOUBLE_RISK, "substr(seq, i + 1, 2)")} AS w FROM (SELECT *, unnest(range(1, n - 2)) AS i FROM s)) WHERE w IS NOT NULL),
+    t AS (SELECT spectrum_id, min(w*simple + (1 - w)*greatest(before, after)) AS worst FROM r GROUP BY 1)
+    SELECT spectrum_id, seq, round(CASE WHEN n < 5 THEN CAST('-inf' AS DOUBLE) ELSE least(simple, worst) END, 6) AS score FROM s LEFT JOIN t USING (spectrum_id)""")
 def seq14(t):
     p = scored_paths(t)
     return p.select(ID, "seq", F.round(pep.expected_query_score(F.col("seq"), F.col("probs"), 5), 6).alias("score"))
