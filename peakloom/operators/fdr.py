@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from peakloom.session import cut_lineage
@@ -77,7 +78,36 @@ def decoy_ratio(hits: DataFrame, min_ratio: float = 0.125) -> DataFrame:
     )
 
 
-def protein_groups(proteins: DataFrame, peptides: DataFrame, hot: int = 256) -> DataFrame:
+def _block_founders(ranked: DataFrame, open_links: DataFrame, block: int) -> DataFrame:
+    """(protein_id, founder_rank) of the founders among the ``block`` best open proteins.
+
+    No protein outside of the block can be their founder any more, so the rule is applied one by one to
+    the links of these few proteins, in one task of bounded size.
+    """
+    first = ranked.join(open_links.select("protein_id").distinct(), "protein_id", "left_semi").orderBy("rank").limit(block)
+    links = open_links.select("protein_id", "peptide", "times").join(first.select("protein_id", "rank", "n"), "protein_id")
+    numbered = links.select("protein_id", "n", "times", F.xxhash64("peptide").alias("h1"), F.xxhash64(F.lit(1), "peptide").alias("h2"), F.col("rank.neg").alias("neg"), F.col("rank.id").alias("id"))
+
+    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
+        held: dict[tuple[int, int], list[int]] = {}
+        founders = []
+        for _, own in rows.sort_values(["neg", "id"], kind="stable").groupby(["neg", "id"], sort=True):
+            peptides = list(zip(own["h1"], own["h2"]))
+            shared: dict[int, int] = {}
+            for x, times in zip(peptides, own["times"]):
+                for f in held.get(x, ()):
+                    shared[f] = shared.get(f, 0) + times
+            if not shared or max(shared.values()) * 2 < own["n"].iloc[0]:
+                for x in peptides:
+                    held.setdefault(x, []).append(len(founders))
+                founders.append(int(own["protein_id"].iloc[0]))
+        return pd.DataFrame({"protein_id": founders})
+
+    found = numbered.withColumn("task", F.lit(0)).groupBy("task").applyInPandas(greedy, "protein_id bigint")
+    return found.join(ranked.select("protein_id", F.col("rank").alias("founder_rank")), "protein_id")
+
+
+def protein_groups(proteins: DataFrame, peptides: DataFrame, hot: int = 256, block: int = 1024, rounds: list[int] | None = None) -> DataFrame:
     """Group proteins around founders, best adjusted score first.
 
     A protein joins when a better founder holds at least half of its alignments, else it
@@ -87,16 +117,17 @@ def protein_groups(proteins: DataFrame, peptides: DataFrame, hot: int = 256) ->
     hold half of its peptides: either it is itself the best open holder of more than half,
     or its largest overlap on peptides with at most ``hot`` holders plus the number of its
     hotter peptides stays under half. Overlaps are thus counted only on bounded peptide
-    groups, and hot peptides enter as a bound. A protein surely joins once a founder holds
-    half. The best open protein always settles, so the rounds go on until none is open. Joiners go to the founder
-    sharing most peptides, the best one on ties.
+    groups, and hot peptides enter as a bound. Where hot peptides leave few sure cases, the ``block`` best
+    open proteins are settled one by one in a task, so each round settles at least as many and the number of
+    rounds is bounded. A protein surely joins once a founder holds half. Joiners go to the founder
+    sharing most peptides, the best one on ties. ``rounds`` gets the number of founders of each round.
 
     ``proteins``: protein_id, adj_score. ``peptides``: protein_id, peptide, a row for each alignment.
     """
     links = peptides.groupBy("protein_id", "peptide").agg(F.count(F.lit(1)).alias("times"))
     sizes = links.groupBy("protein_id").agg(F.sum("times").alias("n"))
     rank = F.struct((-F.col("adj_score")).alias("neg"), F.col("protein_id").alias("id"))
-    ranked = proteins.join(sizes, "protein_id").select("protein_id", "adj_score", "n", rank.alias("rank"))
+    ranked = cut_lineage(proteins.join(sizes, "protein_id").select("protein_id", "adj_score", "n", rank.alias("rank")))
     all_links = cut_lineage(links.join(ranked, "protein_id"))
     open_links = all_links
     founders = None
@@ -122,8 +153,14 @@ def protein_groups(proteins: DataFrame, peptides: DataFrame, hot: int = 256) ->
         settled = cut_lineage(
             own.join(most, "protein_id", "left").filter(sure).select("protein_id", F.col("rank").alias("founder_rank"))
         )
-        if settled.isEmpty():
+        count = settled.count()
+        if count < block:
+            settled = cut_lineage(settled.unionByName(_block_founders(ranked, open_links, block)).dropDuplicates(["protein_id"]))
+            count = settled.count()
+        if not count:
             raise RuntimeError("no open protein could be settled")
+        if rounds is not None:
+            rounds.append(count)
         founders = settled if founders is None else founders.unionByName(settled)
         new_links = open_links.join(settled, "protein_id").select("founder_rank", "peptide")
         rest = open_links.join(settled.select("protein_id"), "protein_id", "left_anti")

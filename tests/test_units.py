@@ -92,6 +92,27 @@ def test_protein_groups_match_the_sequential_rule(spark):
         assert rows(got.select("protein_id", "group_id", "is_founder")) == brute_groups(proteins, peptides)
 
 
+def test_protein_groups_with_hot_peptides_only(spark):
+    """No bound settles a protein whose peptides are all hot; each round settles a block, not one."""
+    rnd = random.Random(4)
+    proteins = [(i, rnd.randrange(0, 5000)) for i in range(3_000)]
+    peptides = [(i, q) for i, _ in proteins for q in rnd.sample(range(100), 4)]
+    data = spark.createDataFrame(proteins, "protein_id long, adj_score long"), spark.createDataFrame(peptides, "protein_id long, peptide long")
+    rounds = []
+    got = fdr.protein_groups(*data, hot=20, block=128, rounds=rounds)
+    assert rows(got.select("protein_id", "group_id", "is_founder")) == brute_groups(proteins, peptides)
+    assert sum(rounds) > 200 and len(rounds) <= sum(rounds) / 20
+
+
+def test_one_peptide_that_all_proteins_hold(spark):
+    proteins = [(i, i % 1000) for i in range(10_000)]
+    data = spark.createDataFrame(proteins, "protein_id long, adj_score long"), spark.createDataFrame([(i, q) for i, _ in proteins for q in (-1, i)], "protein_id long, peptide long")
+    rounds = []
+    got = fdr.protein_groups(*data, rounds=rounds)
+    assert rows(got.filter("is_founder").select("protein_id")) == [(999,)] and len(rounds) == 1
+    assert got.filter("group_id = 999").count() == 10_000
+
+
 def test_protein_groups_count_every_alignment(spark):
     proteins = spark.createDataFrame([(1, 20), (2, 10)], "protein_id long, adj_score long")
     peptides = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "c"), (2, "c"), (2, "c")], "protein_id long, peptide string")
