@@ -10,9 +10,12 @@ window share that partitioning.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from peakloom.session import scratch_path
+
 BUCKET = "_bucket"
 
 
@@ -57,6 +60,31 @@ def row_numbers(df: DataFrame, keys: Sequence[str], bucket: Column, order: Seque
     return running_sums(df, keys, bucket, order, {name: F.lit(1).cast("bigint")})
 
 
+def range_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rn") -> DataFrame:
+    """Exact 1-based row number within ``keys``, for orders that no bucket expression spreads evenly.
+
+    Rows are range-partitioned by keys and order, with bounds that Spark samples, and written once with
+    their local position; a row count per partition and the first number of each key do the rest.
+    """
+    keys = list(keys)
+    by = [*[F.col(k) for k in keys], *order]
+    path = scratch_path(df.sparkSession, "ranges")
+    df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    placed = df.sparkSession.read.parquet(path)
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    # one row per partition
+    offsets = F.broadcast(sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")))
+    at = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_offset") + 1
+    numbered = placed.join(offsets, part == F.col("_part")).select(*df.columns, at.alias(name))
+    if not keys:
+        return numbered
+    firsts = numbered.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.min(name).alias("_first"))
+    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return numbered.join(firsts, cond).select(*df.columns, (F.col(name) - F.col("_first") + 1).alias(name))
+
+
 def previous_row(
     df: DataFrame, keys: Sequence[str], bucket: Column, order: Column, cols: dict[str, Column]
 ) -> DataFrame:

@@ -7,7 +7,7 @@ from decimal import ROUND_HALF_UP, Decimal
 from pyspark.sql import Window as W, functions as F
 
 from peakloom.functions import mass, text
-from peakloom.functions.ordered import row_numbers
+from peakloom.functions.ordered import range_numbers
 from peakloom.operators import candidates as cand, modifications as mods, peptide as pep
 from peakloom.plans.registry import query
 from peakloom.session import scratch_path
@@ -295,8 +295,7 @@ RANKED = "SELECT set_id, seq, row_number() OVER (PARTITION BY set_id ORDER BY sc
 
 def ranked(t):
     best = t.candidates().groupBy("set_id", "seq").agg(F.max("score").alias("score"))
-    bucket = F.struct((-F.col("score")).alias("s"), F.substring("seq", 1, 1).alias("a"))
-    return row_numbers(best, ["set_id"], bucket, cand.BEST_FIRST(), "rank").select("set_id", "seq", "rank")
+    return range_numbers(best, ["set_id"], cand.BEST_FIRST(), "rank").select("set_id", "seq", "rank")
 
 
 @query("JN16", f"""WITH r AS ({RANKED}), n AS (SELECT set_id, count(*) AS n FROM r GROUP BY 1), tags AS (SELECT DISTINCT seq AS tag FROM benchmark_words WHERE length(seq) BETWEEN 3 AND 6),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from peakloom.functions.ordered import row_numbers
+from peakloom.functions.ordered import range_numbers
 from peakloom.operators.keyed import mz_bucket
 
 MASS_DA = lambda c: F.format_string("%.4f", c / 10_000)
@@ -61,7 +61,7 @@ def write_sharded(df: DataFrame, path: str, max_rows: int) -> DataFrame:
 
 def fasta_records(seqs: DataFrame, col: str, per_record: int) -> DataFrame:
     """Join ``per_record`` sequences, in order, into one record ``TRUE_<n>``."""
-    ordered = row_numbers(seqs.select(col), [], F.substring(col, 1, 3), [F.col(col)], "rn")
+    ordered = range_numbers(seqs.select(col), [], [F.col(col)], "rn")
     joined = F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct("rn", col))), lambda s: s[col]), ""
     )

@@ -28,6 +28,16 @@ def test_running_sums_equal_a_plain_window(spark):
     assert sorted(r["rn"] for r in every.collect()) == list(range(1, 601))
 
 
+def test_range_numbers_equal_a_plain_window(spark):
+    data = [(None if i % 50 == 7 else k, i, v, "same prefix " + str(v % 5)) for k, i, v in hot_rows()]
+    df = spark.createDataFrame(data, "k int, id long, v long, s string").repartition(5)
+    for keys, part in ((["k"], W.partitionBy("k")), ([], W.partitionBy(F.lit(1)))):
+        order = [F.col("s").desc(), F.col("id")]
+        plain = df.select("*", F.row_number().over(part.orderBy(*order)).cast("long").alias("rn"))
+        assert sorted(map(str, plain.collect())) == sorted(map(str, ordered.range_numbers(df, keys, order).collect()))
+    assert ordered.range_numbers(df.limit(0), ["k"], [F.col("id")]).count() == 0
+
+
 def test_previous_row_crosses_buckets(spark):
     df = spark.createDataFrame(hot_rows(), "k int, id long, v long")
     plain = df.select("*", F.lag("v").over(W.partitionBy("k").orderBy("id")).alias("p"))
