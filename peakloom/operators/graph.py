@@ -54,7 +54,7 @@ def merge_close_nodes(fragments: DataFrame, tol: int, base: int = 25) -> tuple[D
 
     Returns (nodes, members): spectrum_id, node_u, score, n_frags and per fragment its node.
     """
-    runs = sessionize(fragments, [KEY], "node_u", tol, 4_000_000)
+    runs = sessionize(fragments, [KEY], "node_u", tol)
     weight = F.col("intensity") * F.col("factor")
     merged = (
         runs.groupBy(KEY, "run")

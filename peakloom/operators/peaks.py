@@ -6,11 +6,12 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from peakloom.functions import mass
 from peakloom.functions.band import RangeMax, band_join, by_chunk, larger_in_ranges, with_neighbours
-from peakloom.functions.ordered import previous_row, row_numbers, running_sums
+from peakloom.functions.ordered import row_numbers
 
 KEY = "spectrum_id"
 
@@ -213,51 +214,70 @@ def peak_range(peaks: DataFrame) -> DataFrame:
     )
 
 
+def _best_near(at: np.ndarray, tol: np.ndarray, place: np.ndarray, intensity: np.ndarray) -> np.ndarray:
+    """For each position the place of the peak with the largest intensity * (2 tol - |error|), the lower on ties; -1 for none."""
+    begin, end = np.searchsorted(place, at - tol, "left"), np.searchsorted(place, at + tol, "right")
+    out = np.full(len(at), -1)
+    some = np.flatnonzero(end > begin)
+    if len(some):
+        n = (end - begin)[some]
+        first = np.cumsum(n) - n
+        own = np.repeat(some, n)
+        peak = np.arange(len(own)) - np.repeat(first, n) + begin[own]
+        weight = intensity[peak] * (2 * tol[own] - np.abs(place[peak] - at[own]))
+        best = weight == np.repeat(np.maximum.reduceat(weight, first), n)
+        out[some] = np.minimum.reduceat(np.where(best, peak, len(place)), first)
+    return out
+
+
+#: Ion -> how far its parent lies above it; derived ions and their parents have one charge.
+PARENT_SHIFT = {name: mass.IONS[ion[3]][2] - ion[2] for name, ion in mass.IONS.items() if ion[3]}
+
+
 def match_ions(expected: DataFrame, peaks: DataFrame, tol: int) -> DataFrame:
     """Theoretical ions left-joined to observed peaks.
 
     Derived ions look around their parent's observed position with half the tolerance. A
     peak serves one ion per (charge, orientation): the nearest. ``status`` is observed,
     missing or not_visible (outside the observed mass range).
+
+    Ions and peaks go to the mass chunks of their spectrum in one shuffle and meet there by sorted
+    positions; neither pairs nor the matches of the parents are written.
     """
-    ids = [KEY, "cut", "ion"]
-    width = max(4 * tol, 100_000)
-    base = expected.filter(F.col("parent").isNull())
-    hits = base.select(*ids, "orientation", "ion_charge", "expected_u").join(
-        strongest_peak_near(base, peaks, ids, F.col("expected_u"), tol, width), ids
-    )
-    parents = hits.select(
-        KEY, "cut", F.col("ion").alias("parent"), (F.col("mass_u") - F.col("expected_u")).alias("parent_err")
-    )
-    derived = (
-        expected.filter(F.col("parent").isNotNull())
-        .join(parents, [KEY, "cut", "parent"], "left")
-        .select(
-            *ids,
-            "orientation",
-            "ion_charge",
-            "expected_u",
-            (F.col("expected_u") + F.coalesce("parent_err", F.lit(0))).alias("at_u"),
-            F.when(F.col("parent_err").isNull(), F.lit(tol)).otherwise(F.lit(tol // 2)).cast("bigint").alias("tol_u"),
-        )
-    )
-    more = ["orientation", "ion_charge", "expected_u"]
-    derived_hits = strongest_peak_near(derived, peaks, [*ids, *more], F.col("at_u"), F.col("tol_u"), width)
-    claim = F.struct(F.abs(F.col("mass_u") - F.col("expected_u")).alias("abs_err"), "ion", "cut", "intensity")
-    won = (
-        hits.unionByName(derived_hits)
-        .groupBy(KEY, "mass_u", "ion_charge", "orientation")
-        .agg(F.min(claim).alias("c"))
-        .select(KEY, F.col("c.cut").alias("cut"), F.col("c.ion").alias("ion"), "mass_u", F.col("c.intensity").alias("intensity"))
-    )
+    reach = max(map(abs, PARENT_SHIFT.values())) + 2 * tol
+    shift = mass.residue_map(PARENT_SHIFT)[F.col("ion")]
+    none = F.lit(None)
+    ions = expected.select(KEY, F.col("expected_u").alias("at"), none.cast("bigint").alias("peak"), F.when(F.col("parent").isNotNull(), shift).alias("shift"), F.struct(*expected.columns).alias("ion"))
+    seen = peaks.select(KEY, F.col("mass_u").alias("at"), F.col("intensity").alias("peak"), none.cast("bigint").alias("shift"), none.cast(ions.schema["ion"].dataType).alias("ion"))
+
+    def measure(place, columns):
+        is_peak = columns["peak"].is_valid().to_numpy()
+        at, intensity = place[is_peak], columns["peak"].filter(columns["peak"].is_valid()).to_numpy()
+        wanted = place[~is_peak]
+        shifts = columns["shift"].filter(columns["peak"].is_null())
+        derived = shifts.is_valid().to_numpy()
+        full = np.full(len(wanted), tol)
+        parent_at = wanted + pc.fill_null(shifts, 0).to_numpy()
+        parent = np.where(derived, _best_near(parent_at, full, at, intensity), -1)
+        found = parent >= 0
+        error = np.where(found, at[parent] - parent_at, 0) if len(at) else np.zeros(len(wanted), np.int64)
+        best = _best_near(wanted + error, np.where(found, tol // 2, full), at, intensity)
+        match, of = np.full(len(place), -1), columns["at"].to_numpy()
+        match[~is_peak] = best
+        missing = match < 0
+        masses, strengths = (np.append(v, 0)[match] for v in (of[is_peak], intensity))
+        return [pa.array(masses, mask=missing), pa.array(strengths, mask=missing)]
+
+    added = {"mass_u": "bigint", "intensity": peaks.schema["intensity"].dataType.simpleString()}
+    met = by_chunk(ions.unionByName(seen), KEY, "at", -reach, reach, measure, added, spread=16).filter("ion is not null").select("ion.*", "mass_u", "intensity")
+    claim = W.partitionBy(KEY, "mass_u", "ion_charge", "orientation").orderBy(F.abs(F.col("mass_u") - F.col("expected_u")), "ion", "cut")
+    held = met.withColumn("_claim", F.row_number().over(claim) == 1)
+    won = [F.when(F.col("_claim"), F.col(c)).alias(c) for c in added]
     visible = F.col("expected_u").between(F.col("lo_u"), F.col("hi_u"))
     return (
-        expected.join(peak_range(peaks).select(KEY, "lo_u", "hi_u"), KEY)
-        .join(won, ids, "left")
-        .withColumn(
-            "status",
-            F.when(F.col("mass_u").isNotNull(), "observed").when(visible, "missing").otherwise("not_visible"),
-        )
+        held.select(*expected.columns, *won)
+        .join(peak_range(peaks).select(KEY, "lo_u", "hi_u"), KEY)
+        .withColumn("status", F.when(F.col("mass_u").isNotNull(), "observed").when(visible, "missing").otherwise("not_visible"))
         .withColumn("err_u", F.col("mass_u") - F.col("expected_u"))
         .drop("lo_u", "hi_u")
     )
@@ -360,19 +380,30 @@ def top_peaks_per_1000da(peaks: DataFrame, k: int, tol: int) -> DataFrame:
     return ranked.join(limit, KEY).filter(F.col("rn") <= F.col("limit")).drop("limit")
 
 
-def sessionize(df: DataFrame, keys: Sequence[str], at: str, gap: int, chunk: int) -> DataFrame:
-    """Adds ``run``: a new run starts where the step from the previous point exceeds ``gap``."""
-    prev = previous_row(df, keys, F.floor(F.col(at) / chunk), F.col(at), {"_prev_at": F.col(at)})
-    start = F.when(F.col("_prev_at").isNull() | (F.col(at) - F.col("_prev_at") > gap), 1).otherwise(0).cast("bigint")
-    # the starting row goes first among equal positions
-    order = [F.col(at), F.col("_start").desc()]
-    flagged = prev.withColumn("_start", start)
-    return running_sums(flagged, keys, F.floor(F.col(at) / chunk), order, {"run": F.col("_start")}).drop("_prev_at", "_start")
+def sessionize(df: DataFrame, keys: Sequence[str], at: str, gap: int) -> DataFrame:
+    """Adds ``run``: a new run starts where the step from the previous point exceeds ``gap``.
+
+    Points of one cell of width ``gap`` are in one run, so only the ends of the cells are ordered: a key has at
+    most its mass range over ``gap`` of them, however many points it holds. Points then fetch the run of
+    their cell.
+    """
+    keys = list(keys)
+    cell = F.floor(F.col(at) / max(gap, 1))
+    cells = df.groupBy(*keys, cell.alias("_cell")).agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+    up = W.partitionBy(*keys).orderBy("_cell")
+    before = F.lag("_hi").over(up)
+    start = F.when(before.isNull() | (F.col("_lo") - before > gap), 1).otherwise(0).cast("bigint")
+    runs = cells.withColumn("_start", start).withColumn("run", F.sum("_start").over(up.rowsBetween(W.unboundedPreceding, 0)))
+    known = runs.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_cell").alias("_kc"), "run")
+    cond = F.col("_cell").eqNullSafe(F.col("_kc"))
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return df.withColumn("_cell", cell).join(known, cond).select(*df.columns, "run")
 
 
 def join_adjacent(peaks: DataFrame, tol: int) -> DataFrame:
     """Merge runs of close peaks: intensity-weighted mass and summed intensity."""
-    runs = sessionize(peaks.select(KEY, "mass_u", "intensity"), [KEY], "mass_u", tol // 2, 2_000_000)
+    runs = sessionize(peaks.select(KEY, "mass_u", "intensity"), [KEY], "mass_u", tol // 2)
     return (
         runs.groupBy(KEY, "run")
         .agg(

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import Window as W, functions as F
 
 from peakloom.functions import band, ordered, scalars
-from peakloom.operators import components, fdr, graph, keyed, peptide as pep, similarity as sim
+from peakloom.operators import components, fdr, graph, keyed, peaks as pk, peptide as pep, similarity as sim
 
 
 def hot_rows(n=600, seed=3):
@@ -38,6 +38,20 @@ def test_range_numbers_equal_a_plain_window(spark):
     assert ordered.range_numbers(df.limit(0), ["k"], [F.col("id")]).count() == 0
 
 
+def test_runs_of_close_points(spark):
+    data = [(None if i % 90 == 7 else k, i, v * 3) for k, i, v in hot_rows()]
+    df = spark.createDataFrame(data, "k int, id long, x long").repartition(4)
+    for gap in (0, 4, 30):
+        want = []
+        for k in {r[0] for r in data}:
+            run, last = 0, None
+            for x, i in sorted((r[2], r[1]) for r in data if r[0] == k):
+                run += last is None or x - last > gap
+                last = x
+                want.append((k, i, x, run))
+        assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in pk.sessionize(df, ["k"], "x", gap).collect())
+
+
 def test_previous_row_crosses_buckets(spark):
     df = spark.createDataFrame(hot_rows(), "k int, id long, v long")
     plain = df.select("*", F.lag("v").over(W.partitionBy("k").orderBy("id")).alias("p"))
