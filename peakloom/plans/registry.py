@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from peakloom.plans.bindings import Tables, with_views
+from peakloom.session import reach_workers
 
 
 @dataclass(frozen=True)
@@ -30,4 +31,4 @@ def query(key: str, sql: str | None = None):
 
 
 def spark_callable(key: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: REGISTRY[key].run(Tables(spark, sf_dir))
+    return lambda spark, sf_dir: REGISTRY[key].run(Tables(reach_workers(spark), sf_dir))

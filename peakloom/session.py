@@ -24,15 +24,20 @@ def build_session(master: str = "local[8]", app: str = "peakloom", **conf: str)
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     settings.update(conf)
-    # Python workers import this package by name, wherever the job was started
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    os.environ["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([root, *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]))
     builder = SparkSession.builder.master(master).appName(app)
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
+def reach_workers(spark: SparkSession) -> SparkSession:
+    """Let the Python workers of a session import this package by name, wherever the job was started."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    env["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([*filter(None, env.get("PYTHONPATH", "").split(os.pathsep)), root]))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a local one only where none is set and the session is local."""
     context = spark.sparkContext._jsc.sc()

@@ -9,8 +9,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 @pytest.fixture(scope="session")
 def spark():
-    from peakloom.session import build_session
+    from peakloom.session import build_session, reach_workers
 
     session = build_session("local[8]", "peakloom-tests", **{"spark.sql.shuffle.partitions": "4"})
     session.sparkContext.setLogLevel("ERROR")
-    return session
+    return reach_workers(session)
