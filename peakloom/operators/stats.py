@@ -79,6 +79,7 @@ def mean_sd(df: DataFrame, keys: Sequence[str], value: Column, weight: Column) -
 
 
 def mean_sd_from_counts(levels: DataFrame, keys: Sequence[str], value: Column, count: Column) -> DataFrame:
+    """Mean and population deviation of values that come with their counts."""
     return mean_sd(levels, keys, value, count).select(*keys, F.col("wmean").alias("mean"), F.col("wsd").alias("sd"))
 
 
@@ -315,8 +316,8 @@ def score_normaliser(nodes: DataFrame, grid: Sequence[int], mid: float = 0.96, e
 
 
 def normalise_scores(nodes: DataFrame, norms: DataFrame) -> DataFrame:
-    """Drop below -norm, keep above norm, else move halfway to the norm. ``norms``: region, norm (a few rows)."""
-    joined = nodes.join(F.broadcast(norms), "region")
+    """Drop below -norm, keep above norm, else move halfway to the norm. ``norms``: region, norm."""
+    joined = nodes.join(norms, "region")
     return joined.filter(F.col("score") >= -F.col("norm")).withColumn(
         "norm_score", F.when(F.col("score") > F.col("norm"), F.col("score").cast("double")).otherwise((F.col("score") + F.col("norm")) / 2)
     )

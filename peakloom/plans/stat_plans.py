@@ -195,6 +195,13 @@ def agg23(t):
     return rounded(out, "mean", "sd", "wmean", "wsd")
 
 
+@query("AGG23C", """SELECT charge, round(s/n, 6) AS mean, round(sqrt(greatest(ss/n - (s/n)*(s/n), 0)), 6) AS sd FROM (SELECT charge, sum(k) AS n, sum(k*x) AS s, sum(k*x*x) AS ss FROM (
+    SELECT charge, pm_u//10000 AS x, count(*) AS k FROM spectra GROUP BY 1, 2) GROUP BY 1)""")
+def agg23_counts(t):
+    levels = t.spectra().groupBy("charge", F.expr("pm_u div 10000").alias("x")).agg(F.count(F.lit(1)).alias("k"))
+    return rounded(st.mean_sd_from_counts(levels, ["charge"], F.col("x"), F.col("k")), "mean", "sd")
+
+
 @query("AGG24", """WITH c AS (SELECT score, t/(t + d) AS p, t/sum(n_target) OVER () AS r FROM (SELECT *, sum(n_target) OVER (ORDER BY score DESC) AS t, sum(n_decoy) OVER (ORDER BY score DESC) AS d FROM hit_levels)),
     a AS (SELECT p, r, (r - lag(r, 1, 0.0) OVER (ORDER BY score DESC))*(p + lag(p, 1, 1.0) OVER (ORDER BY score DESC))*0.5 AS area FROM c) SELECT round(sum(area) + (1 - max(r))*0.5*max_by(p, r), 6) AS auc FROM a""")
 def agg24(t):

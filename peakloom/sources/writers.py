@@ -40,15 +40,17 @@ def write_mgf(spectra: DataFrame, peaks: DataFrame, path: str) -> None:
     _write_blocks(first.unionByName(body).unionByName(last), "spectrum_id", path)
 
 
-def write_mz_buckets(spectra: DataFrame, path: str, width: int, max_mz: int, min_peaks: int = 5) -> None:
+def write_mz_buckets(spectra: DataFrame, path: str, width: int, max_mz: int, min_peaks: int = 5, rows_per_task: int = 1_000_000) -> None:
     """Partition folders by m/z bucket; spectra out of range or with few peaks are skipped.
 
-    Rows are first brought together by bucket and a salt, so that each folder gets a few
-    large files and a crowded bucket is still written by many tasks.
+    Rows are first brought together by bucket and a salt that grows with the rows of the bucket, so that
+    each folder gets a few large files and a crowded bucket is still written by many tasks.
     """
     kept = spectra.filter((F.col("mz_u") > 0) & (F.col("n_peaks") >= min_peaks))
     laid = kept.withColumn("bucket", mz_bucket(F.col("mz_u"), width, max_mz))
-    salted = laid.repartition("bucket", F.pmod(F.xxhash64("spectrum_id"), F.lit(8)))
+    # at most max_mz / width + 1 rows
+    shares = F.broadcast(laid.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / rows_per_task).alias("_tasks")))
+    salted = laid.join(shares, "bucket").repartition("bucket", F.pmod(F.xxhash64("spectrum_id"), F.col("_tasks"))).select(*laid.columns)
     salted.write.partitionBy("bucket").parquet(path)
 
 
