@@ -147,26 +147,13 @@ def by_chunk(points: DataFrame, key: str, at: str, lo: int, hi: int, measure, ad
     return ordered.mapInArrow(run, schema)
 
 
-def with_neighbours(
-    points: DataFrame,
-    key: str | Sequence[str],
-    at: str,
-    lo: int,
-    hi: int,
-    item: Column,
-    name: str = "near",
-    spread: int = 4,
-    keep_chunk: bool = False,
-) -> DataFrame:
-    """Add the array of ``item`` of all points of the key at ``at + [lo, hi]`` (self included
-    when the interval holds 0).
+def with_neighbours(points: DataFrame, key: str | Sequence[str], at: str, lo: int, hi: int, value: Column, name: str = "near", spread: int = 4) -> DataFrame:
+    """Add the aggregate ``value`` over all points of the key at ``at + [lo, hi]`` (self included when the interval holds 0).
 
-    Keys are cut into chunks of ``spread`` times the reach; each point also goes to the
-    chunks that see it, so one shuffle serves all rows and no pair is written out. With
-    ``keep_chunk`` the column ``_chunk`` stays, for groupings that reuse the partitioning.
+    Keys are cut into chunks of ``spread`` times the reach; each point also goes to the chunks that see it,
+    so one shuffle serves all rows and no pair is written out.
     """
-    laid = in_chunks(points, at, lo, hi, spread)
     keys = [key] if isinstance(key, str) else list(key)
     frame = W.partitionBy(*keys, "_chunk").orderBy(at).rangeBetween(lo, hi)
-    seen = laid.withColumn(name, F.collect_list(item).over(frame)).filter("_home").drop("_home")
-    return seen if keep_chunk else seen.drop("_chunk")
+    seen = in_chunks(points, at, lo, hi, spread).withColumn(name, value.over(frame))
+    return seen.filter("_home").drop("_home", "_chunk")

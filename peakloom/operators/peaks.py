@@ -10,16 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from peakloom.functions import mass
-from peakloom.functions.band import RangeMax, band_join, by_chunk, larger_in_ranges, with_neighbours
+from peakloom.functions.band import RangeMax, band_join, by_chunk, larger_in_ranges
 from peakloom.functions.ordered import row_numbers
 
 KEY = "spectrum_id"
 
 
-def peak_struct() -> Column:
-    return F.struct("mass_u", "intensity")
-
-
 def intensity_level(per_octave: int = 2) -> Column:
     """A bucket that is monotone in descending intensity."""
     return -F.floor(F.log2(F.col("intensity") + 1) * per_octave)
@@ -300,9 +296,8 @@ def stronger_in_window(peaks: DataFrame, half: int, bands: Mapping[str, tuple[in
     bands = dict(bands or {})
 
     def measure(place, columns):
-        between = lambda lo, hi: (np.searchsorted(place, place + lo, "left"), np.searchsorted(place, place + hi, "right"))
-        begin, end = between(-half, half)
-        more = [to - at for at, to in (between(lo, hi) for lo, hi in bands.values())]
+        begin, end = in_band(place, -half, half)
+        more = [to - at for at, to in (in_band(place, lo, hi) for lo, hi in bands.values())]
         return [larger_in_ranges(columns["intensity"].to_numpy(), begin, end), end - begin, *more]
 
     return by_chunk(peaks, KEY, "mass_u", -half, half, measure, dict.fromkeys(["stronger", "in_window", *bands], "bigint"))
@@ -352,13 +347,21 @@ def hop_window_topk(peaks: DataFrame, window: int, k: int) -> DataFrame:
     return laid.withColumn("rn", rn).filter(F.col("rn") <= k).select(KEY, "mass_u", "intensity").distinct()
 
 
+def in_band(place: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of the sorted positions within ``lo`` and ``hi`` of each one."""
+    return np.searchsorted(place, place + lo, "left"), np.searchsorted(place, place + hi, "right")
+
+
 def possible_isotopes(peaks: DataFrame, tol: int) -> DataFrame:
     """Peaks one isotope step above an earlier peak."""
     reach = min(tol, 2_500)
-    near = with_neighbours(
-        peaks.select(KEY, "mass_u"), KEY, "mass_u", -mass.ISOTOPE_STEP - reach, -mass.ISOTOPE_STEP + reach, F.lit(1), spread=64
-    )
-    return near.filter(F.size("near") > 0).select(KEY, "mass_u")
+
+    def measure(place, columns):
+        begin, end = in_band(place, -mass.ISOTOPE_STEP - reach, -mass.ISOTOPE_STEP + reach)
+        return [end > begin]
+
+    near = by_chunk(peaks.select(KEY, "mass_u"), KEY, "mass_u", -mass.ISOTOPE_STEP - reach, 0, measure, {"after": "boolean"}, spread=64)
+    return near.filter("after").select(KEY, "mass_u")
 
 
 def strong_peaks(peaks: DataFrame, window: int, k: int, tol: int) -> DataFrame:
@@ -423,48 +426,43 @@ def isotope_levels(peaks: DataFrame, tol: int, heavy_per_da: float = 0.00055) ->
     half the previous discount.
     """
     reach = min(tol, 2_000)
-    near = with_neighbours(
-        peaks.select(KEY, "mass_u", "intensity"),
-        KEY,
-        "mass_u",
-        -mass.ISOTOPE_STEP - reach,
-        5 * mass.ISOTOPE_STEP + reach,
-        peak_struct(),
-        spread=16,
-    )
-    at, inten = F.col("mass_u"), F.col("intensity")
-
-    def step(j: int) -> Column:
-        off = mass.PROTON if j == 1 else j * mass.ISOTOPE_STEP
-        hits = F.filter("near", lambda x: F.abs(x["mass_u"] - at - off) <= reach)
-        return F.array_max(
-            F.transform(hits, lambda x: F.struct(x["intensity"].alias("i"), (-x["mass_u"]).alias("neg")))
-        )
+    steps = [mass.PROTON, *(j * mass.ISOTOPE_STEP for j in range(2, 6))]
 
+    def measure(place, columns):
+        intensity, at = columns["intensity"].to_numpy(), columns["mass_u"].to_numpy()
+        best = RangeMax(intensity)
+        out = []
+        for step in (*steps, -mass.PROTON):
+            found = best.at(*in_band(place, step - reach, step + reach))
+            out += [pa.array(v[found], mask=found < 0) for v in (intensity, at)]
+        return out
+
+    number, names = peaks.schema["intensity"].dataType.simpleString(), [f"s{j}" for j in range(1, 6)] + ["p"]
+    added = {f"{n}_{part}": kind for n in names for part, kind in (("i", number), ("m", "bigint"))}
+    near = by_chunk(peaks.select(KEY, "mass_u", "intensity"), KEY, "mass_u", -mass.ISOTOPE_STEP - reach, max(steps) + reach, measure, added, spread=16)
+    at, inten = F.col("mass_u"), F.col("intensity")
     lam = at / mass.UNIT * heavy_per_da
     first = inten * 1.0
-    chain = near
     grades = []
     for j in range(1, 6):
         expected = F.pow(lam, F.lit(j)) / float({1: 1, 2: 2, 3: 6, 4: 24, 5: 120}[j])
-        chain = chain.withColumn(f"s{j}", step(j))
-        rel = F.col(f"s{j}.i") / first / expected
+        rel = F.col(f"s{j}_i") / first / expected
         grade = (
-            F.when(F.col(f"s{j}").isNull(), None)
+            F.when(F.col(f"s{j}_i").isNull(), None)
             .when(rel.between(0.75, 1.333), 2.0)
             .when(rel.between(0.5, 2.0), 1.3333)
             .when(rel.between(0.3333, 3.0), 0.6666)
             .when(rel.between(0.25, 4.0), 0.3333)
         )
         if j == 1:
-            grade = F.when(F.col("s1.i") / first > 3.0, None).otherwise(grade)
+            grade = F.when(F.col("s1_i") / first > 3.0, None).otherwise(grade)
         grades.append(grade)
-    parent = F.exists("near", lambda x: (F.abs(at - mass.PROTON - x["mass_u"]) <= reach) & (inten / x["intensity"] <= 3.0))
+    parent = F.coalesce(inten / F.col("p_i") <= 3.0, F.lit(False))  # the strongest peak one step below decides
     total, rows = F.lit(0.0), []
     for j, grade in enumerate(grades, 1):
         total = total + grade * (0.5 ** (j - 1))
-        rows.append(F.struct((-F.col(f"s{j}.neg")).alias("mass_u"), total.alias("level")))
-    out = chain.filter(~parent).select(KEY, F.inline(F.array(*rows)))
+        rows.append(F.struct(F.col(f"s{j}_m").alias("mass_u"), total.alias("level")))
+    out = near.filter(~parent).select(KEY, F.inline(F.array(*rows)))
     return out.filter(F.col("level").isNotNull()).groupBy(KEY, "mass_u").agg(F.max("level").alias("level"))
 
 
@@ -551,13 +549,16 @@ def neutral_loss_features(peaks: DataFrame, strong: DataFrame, tol: int) -> Data
     flagged = peaks.select(KEY, "mass_u").join(
         strong.select(KEY, "mass_u").distinct().withColumn("is_strong", F.lit(1)), [KEY, "mass_u"], "left"
     )
-    near = with_neighbours(flagged, KEY, "mass_u", lo, hi, F.col("mass_u"), spread=16)
-    at = F.col("mass_u")
 
-    def partner(offset: int) -> Column:
-        return F.exists("near", lambda x: F.abs(at - x - offset) < tol)
-
-    hit = {n: partner(o) for n, o in offsets.items()}
+    def measure(place, columns):
+        bits = np.zeros(len(place), np.int64)
+        for i, offset in enumerate(offsets.values()):
+            begin, end = in_band(place, 1 - offset - tol, tol - 1 - offset)
+            bits |= (end > begin).astype(np.int64) << i
+        return [bits]
+
+    near = by_chunk(flagged, KEY, "mass_u", lo, hi, measure, {"below": "bigint"}, spread=16)
+    hit = {n: F.getbit("below", F.lit(i)) == 1 for i, n in enumerate(offsets)}
     s = F.col("is_strong").isNotNull()
     agg = near.groupBy(KEY).agg(
         F.count(F.lit(1)).alias("n"),

@@ -18,8 +18,8 @@ def unique_solutions(solutions: DataFrame, tol: int) -> DataFrame:
     rows = solutions.distinct()
     me = lambda s, n, c: F.struct((-s).alias("a"), n.alias("b"), c.alias("c"))
     item = me(F.col("score"), F.col("n_mass_u"), F.col("charge"))
-    near = with_neighbours(rows, [KEY, "seq"], "n_mass_u", -tol, tol, item)
-    return near.filter(F.array_min("near") == item).select(*rows.columns)
+    near = with_neighbours(rows, [KEY, "seq"], "n_mass_u", -tol, tol, F.min(item))
+    return near.filter(F.col("near") == item).select(*rows.columns)
 
 
 def topk_solutions(solutions: DataFrame, k: int, tol: int) -> DataFrame:

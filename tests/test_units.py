@@ -76,10 +76,10 @@ def test_band_join_and_neighbours(spark):
     got = rows(band.band_join(probe, pts, ["k"], F.col("at") - 13, F.col("at") + 21, "x", 10).select("k", "at", "x"))
     want = sorted((k, a, x) for k, a in set(data) for kk, x in set(data) if k == kk and a - 13 <= x <= a + 21)
     assert got == want
-    near = band.with_neighbours(pts, "k", "x", -13, 21, F.col("x"))
+    near = band.with_neighbours(pts, "k", "x", -13, 21, F.collect_list("x"))
     flat = rows(near.select("k", F.col("x").alias("at"), F.explode("near").alias("x")))
     assert flat == want
-    away = band.with_neighbours(pts, "k", "x", 5, 21, F.col("x"))
+    away = band.with_neighbours(pts, "k", "x", 5, 21, F.collect_list("x"))
     assert rows(away.select("k", F.col("x").alias("at"), F.explode("near").alias("x"))) == [t for t in want if 5 <= t[2] - t[1]]
 
 
