@@ -21,10 +21,6 @@ def intensity_level(per_octave: int = 2) -> Column:
     return -F.floor(F.log2(F.col("intensity") + 1) * per_octave)
 
 
-def mass_chunk(width: int = 1_000_000) -> Column:
-    return F.floor(F.col("mass_u") / width)
-
-
 STRONGEST_FIRST = lambda: [F.col("intensity").desc(), F.col("mass_u")]
 
 
