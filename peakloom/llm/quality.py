@@ -16,14 +16,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from peakloom.llm.common import fresh, text_bytes
+from peakloom.llm.common import stored, text_bytes
 
 BUCKETS = 1 << 18
 DIM = 8
 #: Bound of the training sample: so many labelled documents, in the order of a hash of their ids.
 TRAIN_DOCS = 4_000
+#: Bound of its bytes: of those documents, in the same order, the first that hold so many together; none alone holds over a sixteenth.
+TRAIN_BYTES = 1 << 28
 EPOCHS, RATE, SEED = 4, 0.5, 11
 #: 0: documents weigh alike; 1: classes weigh alike.
 BALANCE = 1.0
@@ -174,16 +176,22 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("bigint").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", limit: int = TRAIN_DOCS) -> Model:
-    """Train on at most ``limit`` labelled documents outside the held-out third.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", limit: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> Model:
+    """Train on at most ``limit`` labelled documents of at most ``most_bytes`` outside the held-out third.
 
-    Labels other than 0 and 1 and null ids do not count; an id with several labels takes the lowest;
-    of repeated documents any one is taken. Only the sample, a documented bound, reaches the driver.
+    Labels other than 0 and 1 and null ids do not count; an id with several labels takes the lowest,
+    one with several texts the text of the smallest hash. A document of over a sixteenth of ``most_bytes`` is not
+    learned from. Null texts count as empty. Without labelled documents every score is about one half. Only
+    the sample, a documented bound, reaches the driver.
     """
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("doc_id")).agg(F.min(label_col).cast("int").alias("y"))
     picked = known.filter(~held_out("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    sample = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_bytes(text_col).alias("t")).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
-    rows = sample.sort(F.xxhash64("doc_id"), "doc_id").select("t", "y").toArrow()
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_bytes(text_col).alias("t")).filter(F.octet_length("t") <= most_bytes // 16)
+    one = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t"))["t"].alias("t"))
+    sample = stored(one.select("t", "y", F.struct(F.xxhash64("doc_id").alias("h"), "doc_id").alias("place"), F.octet_length("t").alias("n")), "labelled-sample")
+    # a window over at most ``limit`` rows, without their texts
+    first = sample.select("place", F.sum("n").over(Window.orderBy("place")).alias("total")).filter(F.col("total") <= most_bytes).select("place")
+    rows = sample.join(first, "place").sort("place").select("t", "y").toArrow()
     return train(rows.column("t").to_pylist(), rows.column("y").to_pylist())
 
 
@@ -213,5 +221,9 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose score is at least ``least``, with all their columns, in one pass."""
+    """The rows of ``docs`` whose score is at least ``least``, with all their columns, in one pass.
+
+    Null and empty texts are judged by the bias alone; repeated rows and ids are judged one by one; texts of any length are
+    scored whole; an empty table gives no rows; other columns pass through under any name.
+    """
     return docs.mapInArrow(_scored(model, docs.columns.index(text_col), least), docs.schema)

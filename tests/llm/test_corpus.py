@@ -289,6 +289,24 @@ def test_quality_scores_do_not_depend_on_neighbours(spark, awkward, nothing):
     assert kept.columns == awkward.columns and kept.count() == int((together >= 0.5).sum())
 
 
+def test_quality_sample_of_repeated_ids(spark, monkeypatch):
+    """An id with several texts is learned from one of them, the same however rows are dealt; the sample keeps its bounds."""
+    rows = [(i, f"{w} text {i} " * 3) for i in range(60) for w in ("good", "other", "third")] + [(5, None), (6, "z" * 9000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, 0)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda texts, ys: seen.append((texts, ys)))
+    for parts in (1, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        quality.fit(docs, labels)
+        quality.fit(docs, labels, most_bytes=1000)
+    assert seen[0] == seen[2] and seen[1] == seen[3]
+    texts, ys = seen[0]
+    assert len(texts) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(60))
+    assert {t.decode() for t in texts} <= {t or "" for _, t in rows}
+    small = seen[1][0]
+    assert 0 < sum(map(len, small)) <= 1000 and small == [t for t in texts if len(t) <= 62][: len(small)]
+
+
 def test_quality_without_labels(spark, nothing):
     labels = spark.createDataFrame([(None, 1), (1, None), (2, 7)], "doc_id long, quality int")
     assert quality.fit(nothing, labels).scores([b"a b c"]).tolist() == [pytest.approx(0.5, abs=0.2)]
