@@ -274,7 +274,12 @@ def contamination(
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without any hit, with all their columns."""
+    """The rows of ``docs`` without any hit, with all their columns.
+
+    Null texts and texts without words have no hit and stay; repeated rows and ids are judged one by one; texts of any
+    length are searched whole. An empty table gives no rows, an empty benchmark keeps all; other columns pass through
+    under any name.
+    """
     row = fresh(docs, "_row")
     numbered = settled(docs).withColumn(row, F.monotonically_increasing_id())
     dirty = contamination(numbered, benchmark, row=row, **options).filter("n_hit > 0").select(F.col("row").alias(row))

@@ -216,7 +216,11 @@ def exact_dedup(
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns."""
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns.
+
+    Null, empty and blank texts follow ``normal_text``, null ids come last, of repeated rows the first position stays.
+    Texts of any length are compared whole; an empty table gives no rows; other columns pass through under any name.
+    """
     row = fresh(docs, "_row")
     numbered = settled(docs).withColumn(row, F.monotonically_increasing_id())
     kept = exact_dedup(numbered, row=F.col(row)).filter("kept").select(F.col("row").alias(row))
