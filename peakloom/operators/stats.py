@@ -143,11 +143,11 @@ def offset_modes(hist: DataFrame, n: int, suppress: int) -> DataFrame:
 
 def random_peak_density(cuts: DataFrame, peaks: DataFrame, reach: int, tol: int) -> DataFrame:
     """Expected number of random peaks in a tolerance window, from the density around cuts."""
-    near = peak_offsets(cuts, peaks, reach).filter("orientation = 'prefix'")
-    counted = near.groupBy(KEY, "cut").agg(F.count(F.lit(1)).alias("n"))
-    all_cuts = cuts.select(KEY, "cut").join(counted, [KEY, "cut"], "left")
-    return all_cuts.agg(
-        F.count(F.lit(1)).alias("n_cuts"), (F.sum(F.coalesce("n", F.lit(0))) / F.count(F.lit(1)) / (2 * reach) * (2 * tol)).alias("expected")
+    probe = cuts.select(KEY, F.col("cut_u").alias("at_u"))
+    near = band_join(probe, peaks.select(KEY, "mass_u"), [KEY], F.col("at_u") - reach, F.col("at_u") + reach, "mass_u", 2 * reach)
+    total = cuts.agg(F.count(F.lit(1)).alias("n_cuts"))
+    return total.crossJoin(near.agg(F.count(F.lit(1)).alias("n"))).select(
+        "n_cuts", F.when(F.col("n_cuts") > 0, F.col("n") / F.col("n_cuts") / (2 * reach) * (2 * tol)).alias("expected")
     )
 
 
