@@ -3,7 +3,7 @@
 import random
 
 from peakloom.functions.band import band_join
-from peakloom.operators import stats as st
+from peakloom.operators import graph, stats as st
 
 
 def test_band_join_sends_no_side_whole(spark):
@@ -25,3 +25,26 @@ def test_random_peak_density_counts_without_a_row_for_each_cut(spark):
     assert "ObjectHash" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "LeftOuter" not in plan
     assert [tuple(r) for r in found.collect()] == [(3, 3 / 3 / 1000 * 20)]
     assert [tuple(r) for r in st.random_peak_density(cuts.filter("cut > 9"), peaks, 500, 10).collect()] == [(0, None)]
+
+
+def test_long_edges_shuffle_no_pairs(spark):
+    nodes = spark.createDataFrame([(1, m, 1, 1) for m in range(0, 9_000_000, 400_000)], "spectrum_id bigint, mass_u bigint, score bigint, n_frags bigint")
+    singles = spark.createDataFrame([], "spectrum_id bigint, from_u bigint, to_u bigint, label string, n_res int, err_u bigint, to_score bigint")
+    plan = graph.long_edges(nodes, singles, 5_000)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # the nodes with their residues
+    twice = nodes.unionByName(nodes.limit(1).selectExpr("spectrum_id", "mass_u", "score", "0L as n_frags"))
+    assert graph.long_edges(twice, singles, 5_000).count() == graph.long_edges(nodes, singles, 5_000).count() > 0
+
+
+def test_paths_write_nothing_between_hops(spark, monkeypatch):
+    nodes = spark.createDataFrame([(s, m, m % 7, 1) for s in (1, 2) for m in (0, 10, 20, 30)], "spectrum_id bigint, mass_u bigint, score bigint, n_frags bigint")
+    edges = spark.createDataFrame(
+        [(s, a, b, label, 1, 0, b % 7) for s in (1, 2) for a, b, label in ((0, 10, "G"), (0, 20, "A"), (10, 20, "S"), (20, 30, "K"))],
+        "spectrum_id bigint, from_u bigint, to_u bigint, label string, n_res int, err_u bigint, to_score bigint",
+    )
+    barred = spark.createDataFrame([(2, 0, 30)], "spectrum_id bigint, lo_u bigint, hi_u bigint")
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: (_ for _ in ()).throw(AssertionError("written")))
+    found = graph.extend_paths(nodes, edges, barred, 5, 3, 2, min_len=2)
+    got = sorted((r["spectrum_id"], r["tag"], r["score"], tuple(r["nodes"])) for r in found.collect())
+    plain = [("AK", 8, (0, 20, 30)), ("GS", 9, (0, 10, 20)), ("GSK", 11, (0, 10, 20, 30)), ("SK", 11, (10, 20, 30))]
+    assert got == [(1, *p) for p in plain] + [(2, t, v - 25 * (n[0] == 0 and n[-1] == 30), n) for t, v, n in plain]
