@@ -3,7 +3,7 @@
 import random
 
 from peakloom.functions.band import band_join
-from peakloom.operators import graph, stats as st
+from peakloom.operators import graph, similarity as sim, stats as st
 
 
 def test_band_join_sends_no_side_whole(spark):
@@ -48,3 +48,23 @@ def test_paths_write_nothing_between_hops(spark, monkeypatch):
     got = sorted((r["spectrum_id"], r["tag"], r["score"], tuple(r["nodes"])) for r in found.collect())
     plain = [("AK", 8, (0, 20, 30)), ("GS", 9, (0, 10, 20)), ("GSK", 11, (0, 10, 20, 30)), ("SK", 11, (10, 20, 30))]
     assert got == [(1, *p) for p in plain] + [(2, t, v - 25 * (n[0] == 0 and n[-1] == 30), n) for t, v, n in plain]
+
+
+def test_scored_pairs_equal_pair_by_pair_and_shuffle_none(spark, monkeypatch):
+    rng = random.Random(8)
+    lists = {s: {rng.randrange(0, 3000) * 40: rng.randrange(1, 30) for _ in range(rng.randrange(1, 14))} for s in range(300)}
+    spectra = spark.createDataFrame([(s, rng.randrange(0, 300), rng.choice([1, 2, None])) for s in lists], "spectrum_id bigint, mz_u bigint, charge int")
+    peaks = spark.createDataFrame([(s, m, i) for s, p in lists.items() for m, i in p.items()], "spectrum_id bigint, mass_u bigint, intensity bigint")
+    plain = sim.cosine_matched(sim.candidate_pairs(spectra, peaks, 50, 900), peaks, 700)
+    want = {(r.a, r.b): (r.n_matched, round(r.similarity, 9)) for r in plain.collect()}
+    for weight, most in ((1 << 17, 10_000), (300, 10_000), (300, 10)):
+        monkeypatch.setattr(sim, "UNIT_WEIGHT", weight)
+        found = sim.scored_pairs(spectra, peaks, 50, 900, 700, most_peaks=most)
+        got = [((r.a, r.b), (r.n_matched, round(r.similarity, 9))) for r in found.collect()]
+        assert len(want) > 100 and len(got) == len(want) and dict(got) == want
+    found = sim.scored_pairs(spectra, peaks, 50, 900, 700)
+    assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+    forest = sim.scored_pairs(spectra, peaks, 50, 900, 700, 0.2, forest=True)
+    whole = plain.filter("similarity >= 0.2")
+    groups = [sorted(tuple(r) for r in sim.clusters(p).collect()) for p in (forest, whole)]
+    assert groups[0] == groups[1] and forest.count() < whole.count()
