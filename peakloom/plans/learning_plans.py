@@ -64,7 +64,7 @@ def ml4(t):
 
 
 def items(t):
-    return t.ion_matches().filter(OBSERVED).select(ID, "ion", "cut", "intensity", (-F.abs("err_u")).alias("score"))
+    return t.ion_matches(observed=True).select(ID, "ion", "cut", "intensity", (-F.abs("err_u")).alias("score"))
 
 
 ITEMS = f"SELECT spectrum_id, ion, cut, intensity, -abs(err_u) AS score FROM ion_matches WHERE {OBSERVED}"

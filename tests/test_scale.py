@@ -101,3 +101,30 @@ def test_joined_peak_files(spark, tmp_path):
     index, columns = str(tmp_path / "index.txt"), ["name", "scan", "charge", "mz", "mh", "peaks"]
     got = [sorted(map(str, rd.read_pkl(spark, index, str(f), joined=j).select(columns).collect())) for f, j in ((many, True), (single, False))]
     assert len(got[0]) == 2 and got[0] == got[1]
+
+
+def test_spectra_are_dealt_out_before_their_ions(spark, tmp_path):
+    from peakloom.plans import bindings
+    from peakloom.plans.learning_plans import ml14
+
+    spark.range(3 * bindings.SPECTRA_IN_PART * 4).selectExpr("id as p_partkey", "'hot bolt' as p_name", "'b' as p_brand", "'t' as p_type", "1 as p_size", "900.0D as p_retailprice").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = ml14(bindings.Tables(spark, str(tmp_path)))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # one more than the parts that the rows fill; the window needs no other exchange
+    assert plan.count("Exchange") == 1 and "Exchange hashpartitioning(spectrum_id" in plan and ", 13)" in plan
+
+
+def test_ions_claim_their_peaks_without_a_window(spark):
+    from peakloom.operators import peaks as pk, peptide as pep
+
+    spectra = spark.createDataFrame([(1, "GASPV"), (2, "GG"), (3, "KKKK")], "spectrum_id bigint, peptide string")
+    expected = pep.expected_ions(pep.cut_masses(spectra, ["spectrum_id", "peptide"]))
+    rng = random.Random(5)
+    peaks = spark.createDataFrame([(s, rng.randrange(300_000, 5_500_000), rng.randrange(1, 50)) for s in (1, 3) for _ in range(150)], "spectrum_id bigint, mass_u bigint, intensity bigint")
+    found = pk.match_ions(expected, peaks, 30_000)
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = found.collect()
+    assert len(rows) == expected.filter("spectrum_id <> 2").count()
+    claims = [(r.spectrum_id, r.mass_u, r.ion_charge, r.orientation) for r in rows if r.status == "observed"]
+    assert len(claims) == len(set(claims)) > 20
+    assert sorted(map(tuple, pk.match_ions(expected, peaks, 30_000, observed=True).collect())) == sorted(tuple(r) for r in rows if r.status == "observed")
