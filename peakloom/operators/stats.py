@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from peakloom.functions import mass
 from peakloom.functions.band import band_join
-from peakloom.functions.ordered import order_statistics
+from peakloom.functions.ordered import order_statistics, picked_levels, ranked_levels
 from peakloom.operators.peaks import KEY, complement_pairs
 from peakloom.session import cut_lineage
 
@@ -24,11 +24,15 @@ KERNEL = (10, 9, 6, 4, 2)
 # --- tolerances and histograms -----------------------------------------------------
 
 
+def _kept_rank(keep_percent: int) -> Column:
+    rank = F.col("total") - F.floor(F.col("total") * (100 - keep_percent) / 100)
+    return F.array(F.struct(F.lit(keep_percent).alias("pick"), rank.alias("k")))
+
+
 def error_cutoff(errors: DataFrame, keys: Sequence[str], err: Column, keep_percent: int) -> DataFrame:
     """The absolute error left after dropping the largest (100 - keep) percent."""
-    rank = F.col("total") - F.floor(F.col("total") * (100 - keep_percent) / 100)
-    picks = F.array(F.struct(F.lit(keep_percent).alias("pick"), rank.alias("k")))
-    return order_statistics(errors, keys, F.abs(err), picks).select(*keys, F.col("value").alias("tol_u"), F.col("total").alias("n"))
+    found = order_statistics(errors, keys, F.abs(err), _kept_rank(keep_percent))
+    return found.select(*keys, F.col("value").alias("tol_u"), F.col("total").alias("n"))
 
 
 def strongest_ions(matches: DataFrame, n: int = 2) -> DataFrame:
@@ -38,9 +42,12 @@ def strongest_ions(matches: DataFrame, n: int = 2) -> DataFrame:
 
 
 def fragment_tolerance(matches: DataFrame, keep_percent: int) -> DataFrame:
-    best = F.broadcast(strongest_ions(matches))
-    observed = matches.filter("status = 'observed'").select("ion", "err_u").join(best, "ion", "left_semi")
-    return error_cutoff(observed, ["ion"], F.col("err_u"), keep_percent)
+    """``error_cutoff`` of the strongest ions. Matches are read once: they collapse to levels of ion and error, which are stored."""
+    observed = matches.filter("status = 'observed'").groupBy("ion", "status", F.abs("err_u").alias("level"))
+    levels = cut_lineage(observed.agg(F.count(F.lit(1)).alias("n"), F.sum("intensity").alias("intensity")))
+    best = F.broadcast(strongest_ions(levels))
+    ranked = ranked_levels(levels.join(best, "ion", "left_semi").select("ion", "level", "n"), ["ion"], 10_000)
+    return picked_levels(ranked, ["ion"], _kept_rank(keep_percent)).select("ion", F.col("value").alias("tol_u"), F.col("total").alias("n"))
 
 
 def mass_error_bins(matches: DataFrame, width: int, half: int = 20) -> DataFrame:
@@ -380,9 +387,14 @@ def relative_rank_by_residue(ranked: DataFrame, min_rows: int = 7) -> DataFrame:
 # --- probability tables ---------------------------------------------------------------
 
 
-def conditional_probabilities(df: DataFrame, first: str, others: Sequence[str]) -> DataFrame:
-    """P(first | others) from counts; the sum runs over the table of contexts."""
-    counts = df.groupBy(first, *others).agg(F.count(F.lit(1)).alias("n"))
+def context_counts(df: DataFrame, first: str, others: Sequence[str]) -> DataFrame:
+    """Counts of each value and context, stored: a table that is as small as its contexts and may be used several times."""
+    return cut_lineage(df.groupBy(first, *others).agg(F.count(F.lit(1)).alias("n")))
+
+
+def conditional_probabilities(df: DataFrame, first: str, others: Sequence[str], count: Column | None = None) -> DataFrame:
+    """P(first | others) from counts; the sum runs over the table of contexts. ``count``: of rows that stand for several."""
+    counts = df.groupBy(first, *others).agg((F.count(F.lit(1)) if count is None else F.sum(count)).alias("n"))
     return counts.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy(*others)))
 
 

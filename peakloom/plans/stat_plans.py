@@ -40,7 +40,7 @@ TOP_IONS = f"SELECT ion FROM ion_matches WHERE {OBSERVED} GROUP BY 1 ORDER BY su
 @query("AGG5", f"""SELECT ion, err AS tol_u, n FROM (SELECT ion, abs(err_u) AS err, row_number() OVER (PARTITION BY ion ORDER BY abs(err_u)) AS rn, count(*) OVER (PARTITION BY ion) AS n FROM ion_matches
     WHERE {OBSERVED} AND ion IN ({TOP_IONS})) WHERE rn = n - n*10//100""")
 def agg5(t):
-    return st.fragment_tolerance(t.ion_matches(), 90)
+    return st.fragment_tolerance(t.ion_matches(observed=True), 90)
 
 
 @query("AGG37", f"SELECT ion, CAST(greatest(least(round(err_u/1500), 20), -20) AS INTEGER) AS bin, count(*) AS n FROM ion_matches WHERE {OBSERVED} GROUP BY 1, 2")
@@ -75,7 +75,7 @@ UNEXPLAINED = f"(SELECT * FROM peaks ANTI JOIN (SELECT spectrum_id, mass_u FROM
 
 @query("AGG7", HIST.format(off=OFFSETS.format(src=UNEXPLAINED)))
 def agg7(t):
-    used = t.ion_matches().filter(OBSERVED).select(ID, "mass_u")
+    used = t.ion_matches(observed=True).select(ID, "mass_u")
     free = t.peak_list().join(used, [ID, "mass_u"], "left_anti")
     return st.offset_histogram(st.peak_offsets(t.cuts(), free, 600_000), 10_000)
 
@@ -277,7 +277,7 @@ def ranked(t):
     ranks = pk.global_rank(t.peak_list()).select(ID, "mass_u", "rank")
     sizes = t.peak_list().groupBy(ID).agg(F.count(F.lit(1)).alias("n_peaks"))
     return (
-        t.ion_matches().filter(OBSERVED).join(ranks, [ID, "mass_u"]).join(sizes, ID).join(mobile(t).select(ID, "mobility"), ID)
+        t.ion_matches(observed=True).join(ranks, [ID, "mass_u"]).join(sizes, ID).join(mobile(t).select(ID, "mobility"), ID)
         .select(ID, "peptide", "cut", "ion", (F.col("rank") / F.col("n_peaks")).alias("rel_rank"), "mobility")
     )
 
@@ -317,15 +317,16 @@ def agg31(t):
 
 @query("AGG32", f"SELECT ion, round(sum(f.n*ln(f.p/c.p))/sum(f.n), 6) AS kl FROM ({P3}) f JOIN ({P2}) c USING (level, ion) GROUP BY 1")
 def agg32(t):
-    fine = st.conditional_probabilities(binned(t), "level", ["ion", "region"])
-    coarse = st.conditional_probabilities(binned(t), "level", ["ion"])
+    counts = st.context_counts(binned(t), "level", ["ion", "region"])
+    fine, coarse = (st.conditional_probabilities(counts, "level", others, F.col("n")) for others in (["ion", "region"], ["ion"]))
     return rounded(st.weighted_kl(fine, coarse, "level", ["ion", "region"], ["ion"]), "kl")
 
 
 @query("AGG33", f"SELECT level, ion, n, round(p, 6) AS p, round(rp, 6) AS random_p, round(ln(p/rp), 6) AS log_odds FROM ({P2}) JOIN (SELECT level, count(*)/sum(count(*)) OVER () AS rp FROM ({BINNED}) GROUP BY 1) USING (level)")
 def agg33(t):
-    table = st.conditional_probabilities(binned(t), "level", ["ion"])
-    return rounded(st.log_odds(table, st.conditional_probabilities(binned(t), "level", []), "level"), "p", "random_p", "log_odds")
+    counts = st.context_counts(binned(t), "level", ["ion"])
+    table, random = (st.conditional_probabilities(counts, "level", others, F.col("n")) for others in (["ion"], []))
+    return rounded(st.log_odds(table, random, "level"), "p", "random_p", "log_odds")
 
 
 ION_NAMES = list(mass.IONS)
@@ -337,13 +338,13 @@ LEVEL_SQL = "CASE " + " ".join(f"WHEN rank <= {r} THEN {i}" for i, r in enumerat
     ON m.spectrum_id = r.spectrum_id AND m.mass_u = r.mass_u GROUP BY 1""")
 def agg34(t):
     ranks = pk.global_rank(t.peak_list()).select(ID, "mass_u", "rank")
-    seen = t.ion_matches().filter(OBSERVED).select(ID, "mass_u", "ion")
+    seen = t.ion_matches(observed=True).select(ID, "mass_u", "ion")
     return st.ion_rank_histogram(ranks.join(seen, [ID, "mass_u"], "left"), ION_NAMES)
 
 
 @query("AGG35", f"SELECT a.ion AS ion_a, b.ion AS ion_b, count(*) AS n FROM ion_matches a JOIN ion_matches b USING (spectrum_id, cut) WHERE a.{OBSERVED} AND b.{OBSERVED} AND a.ion < b.ion GROUP BY 1, 2")
 def agg35(t):
-    return st.ion_pairs(t.ion_matches().filter(OBSERVED))
+    return st.ion_pairs(t.ion_matches(observed=True))
 
 
 def cover_sql(classes: list[str], sets: str, pair: str, rounds: int = 6) -> str:
@@ -365,7 +366,7 @@ _SETS = f"SELECT {{c}}ions, count(*) AS n FROM (SELECT spectrum_id, cut, {{c}}li
 
 @query("AGG35G", cover_sql([], _SETS.format(c="", strong="", source="ion_matches"), "TRUE") + " SELECT round, a AS ion_a, b AS ion_b, n FROM chosen")
 def agg35g(t):
-    return st.cover_pairs(t.ion_matches().filter(OBSERVED).withColumn("strong_peak", F.lit(True)), [], ["y"], with_strong=False)
+    return st.cover_pairs(t.ion_matches(observed=True).withColumn("strong_peak", F.lit(True)), [], ["y"], with_strong=False)
 
 
 COVER_CLASSES = ["charge", "size_class", "region"]

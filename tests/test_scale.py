@@ -128,3 +128,15 @@ def test_ions_claim_their_peaks_without_a_window(spark):
     claims = [(r.spectrum_id, r.mass_u, r.ion_charge, r.orientation) for r in rows if r.status == "observed"]
     assert len(claims) == len(set(claims)) > 20
     assert sorted(map(tuple, pk.match_ions(expected, peaks, 30_000, observed=True).collect())) == sorted(tuple(r) for r in rows if r.status == "observed")
+
+
+def test_matches_are_read_once(spark, monkeypatch):
+    from peakloom.plans import bindings, stat_plans
+
+    calls, own = [], bindings.Tables.ion_matches
+    monkeypatch.setattr(bindings.Tables, "ion_matches", lambda self, *a, **b: calls.append(1) or own(self, *a, **b))
+    for run in (stat_plans.agg5, stat_plans.agg32, stat_plans.agg33):
+        found = run(bindings.Tables(spark, "/root/testdata/sf0.001"))
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" not in plan and found.count()
+    assert len(calls) == 3
