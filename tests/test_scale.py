@@ -140,3 +140,21 @@ def test_matches_are_read_once(spark, monkeypatch):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInArrow" not in plan and found.count()
     assert len(calls) == 3
+
+
+def test_candidate_pairs_shuffle_no_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    spectra = [(s, rng.randrange(0, 400), rng.choice([1, 2, None])) for s in range(250)]
+    peaks = [(s, rng.randrange(0, 3000) * 40, rng.randrange(1, 30)) for s, _, _ in spectra for _ in range(rng.randrange(1, 9))]
+    frames = spark.createDataFrame(spectra, "spectrum_id bigint, mz_u bigint, charge int"), spark.createDataFrame(peaks, "spectrum_id bigint, mass_u bigint, intensity bigint")
+    tops = {s: [m for _, m in sorted((-i, m) for q, m, i in peaks if q == s)[:5]] for s, _, _ in spectra}
+    want = sorted(
+        (a, b) for a, z, c in spectra for b, y, d in spectra
+        if a < b and c == d and c and abs(z - y) <= 50 and any(abs(m - n) <= 900 for m in tops[a] for n in tops[b])
+    )
+    # small units and slices: several parts of a cell, pairs in many turns
+    monkeypatch.setattr(sim, "UNIT_WEIGHT", 690)
+    monkeypatch.setattr(sim, "PAIRS_AT_ONCE", 16)
+    found = sim.candidate_pairs(*frames, 50, 900)
+    assert "Aggregate [a#" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in found.collect()) == want and len(want) > 200
