@@ -142,6 +142,21 @@ def test_matches_are_read_once(spark, monkeypatch):
     assert len(calls) == 3
 
 
+def test_covered_tags_lay_out_each_text_once(spark):
+    from peakloom.operators import peptide as pep
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("AB") for _ in range(rng.randrange(1, 7))) for _ in range(40)]
+    sets = {s: set(rng.sample(words, 6)) for s in range(50)}
+    tags = spark.createDataFrame([(s, w) for s, own in sets.items() for w in sorted(own)] * 2, "set_id bigint, tag string")
+    found = pep.drop_covered(tags, "set_id")
+    # substrings of the different texts, not of each set
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert all("set_id" not in line for line in plan.splitlines() if "Generate explode" in line)
+    want = sorted((s, w) for s, own in sets.items() for w in own if not any(v != w and v in w for v in own))
+    assert sorted(tuple(r) for r in found.collect()) == want
+
+
 def test_candidate_pairs_shuffle_no_pairs(spark, monkeypatch):
     rng = random.Random(6)
     spectra = [(s, rng.randrange(0, 400), rng.choice([1, 2, None])) for s in range(250)]
