@@ -173,3 +173,22 @@ def test_candidate_pairs_shuffle_no_pairs(spark, monkeypatch):
     found = sim.candidate_pairs(*frames, 50, 900)
     assert "Aggregate [a#" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(tuple(r) for r in found.collect()) == want and len(want) > 200
+
+
+def test_decoys_are_shuffled_in_one_pass_by_numeric_digests(spark, monkeypatch):
+    import hashlib
+
+    from peakloom.operators import peptide as pep
+
+    rng = random.Random(2)
+    rows = [(i, f"n{i}", "".join(rng.choice("ACDEK") for _ in range(rng.randrange(0, 300)))) for i in range(40)] + [(None, "x", "AÅB"), (50, None, None), (51, "e", "")]
+    monkeypatch.setattr(pep, "LETTERS_AT_ONCE", 500)
+    monkeypatch.setattr(pep, "DIGESTS_AT_ONCE", 64)
+    assert pep._shuffled(7, [3], ["AB" * 60]) == pep._shuffled(7, [3, 4], ["AB" * 60, "C"])[:1]
+    found = pep.decoy_shuffle(spark.createDataFrame(rows, "protein_id bigint, name string, seq string").repartition(3), 7)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort" not in plan and "Union" not in plan
+    digest = lambda i, n: hashlib.md5(":".join(str(x) for x in (7, i, n) if x is not None).encode()).hexdigest()
+    plain = lambda i, s: s and "".join(c for _, c in sorted((digest(i, n), c) for n, c in enumerate(s)))
+    want = rows + [(i, None if i is None else f"XXX_{i}", plain(i, s)) for i, _, s in rows]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
