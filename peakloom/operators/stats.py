@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from peakloom.functions import mass
 from peakloom.functions.band import band_join
 from peakloom.functions.ordered import order_statistics, picked_levels, ranked_levels
-from peakloom.operators.peaks import KEY, complement_pairs
+from peakloom.operators.peaks import KEY, complement_pairs, complement_totals
 from peakloom.session import cut_lineage
 
 # Fixed values.
@@ -239,13 +239,9 @@ BACKGROUND_SHIFTS = (-22.0, -10.0, -8.5, 8.5, 12.0, 22.5)
 
 def background_stats(peaks: DataFrame, sums: DataFrame, tol: int, variants: Sequence[str]) -> DataFrame:
     """Mean pair count and intensity over shifted sums, with a wider tolerance."""
-    shifts = F.array(*[F.lit(int(s * mass.UNIT)).cast("bigint") for s in BACKGROUND_SHIFTS])
-    shifted = sums.select(KEY, "sum_u", F.explode(shifts).alias("shift")).select(KEY, "shift", (F.col("sum_u") + F.col("shift")).alias("sum_u"))
-    pairs = complement_pairs(peaks, shifted, tol * 3 // 2, variants, [KEY, "shift"])
-    n = len(BACKGROUND_SHIFTS)
-    return pairs.groupBy(KEY, "variant").agg(
-        (F.count(F.lit(1)) / n).alias("mean_pairs"), (F.sum(F.col("int_a") + F.col("int_b")) / n).alias("mean_intensity")
-    )
+    shifts = [int(s * mass.UNIT) for s in BACKGROUND_SHIFTS]
+    found = complement_totals(peaks, sums, tol * 3 // 2, variants, shifts)
+    return found.select(KEY, "variant", (F.col("n_pairs") / len(shifts)).alias("mean_pairs"), (F.col("total") / len(shifts)).alias("mean_intensity"))
 
 
 def scan_pm_grid(peaks: DataFrame, sums: DataFrame, tol: int, step: int, half: int) -> DataFrame:

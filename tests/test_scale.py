@@ -244,3 +244,22 @@ def test_proteins_with_the_same_alignments_need_one_decision(spark):
     # later founders do not take members of earlier ones; a block holds all kinds
     assert sorted(r.protein_id for r in got.filter("is_founder").collect()) == sorted(founders) and len(rounds) == 1
     assert got.count() == 500 and {r.protein_id: r.group_id for r in got.filter("not is_founder").collect()} == want
+
+
+def test_background_pairs_lay_out_no_probe_for_each_shift(spark):
+    from pyspark.sql import functions as F
+
+    from peakloom.operators import peaks as pk
+
+    rng = random.Random(7)
+    peaks = spark.createDataFrame([(s, rng.randrange(1, 400) * 5_000, rng.randrange(1, 50)) for s in (1, 2, 3) for _ in range(120)], "spectrum_id bigint, mass_u bigint, intensity bigint")
+    sums = spark.createDataFrame([(1, 1_000_000), (2, 2_000_000), (3, 3_500_000), (4, 1)], "spectrum_id bigint, sum_u bigint")
+    variants, moves = list(pk.PAIR_VARIANTS), [-220_000, 0, 85_000, 225_000]
+    found = pk.complement_totals(peaks, sums, 30_000, variants, moves)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # the sums
+    shifted = sums.select("spectrum_id", F.explode(F.array(*map(F.lit, moves))).alias("move"), "sum_u").select("spectrum_id", "move", (F.col("sum_u") + F.col("move")).alias("sum_u"))
+    pairs = pk.complement_pairs(peaks, shifted, 30_000, variants, ["spectrum_id", "move"])
+    want = pairs.groupBy("spectrum_id", "variant").agg(F.count(F.lit(1)), F.sum(F.col("int_a") + F.col("int_b")))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.count() > 10
+    assert st.background_stats(peaks.limit(0), sums, 20_000, ["single"]).count() == 0
