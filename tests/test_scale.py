@@ -272,3 +272,22 @@ def test_parts_of_a_range_join_follow_the_peaks(spark, monkeypatch):
     monkeypatch.setattr(bindings, "PEAKS_IN_PART", 250)
     plan = jn4(bindings.Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") == 2 and ", 25)" in plan
+
+
+def test_shared_cuts_are_counted_without_a_lambda_for_each_row(spark):
+    from pyspark.sql import functions as F
+
+    from peakloom.operators import peptide as pep, solutions as sol
+
+    rng = random.Random(1)
+    rows = [tuple("".join(rng.choice("GASPVBK") for _ in range(rng.randrange(0, 9))) for _ in range(2)) for _ in range(300)] + [(None, "G"), ("G", None), ("", "")]
+    pairs = spark.createDataFrame(rows, "a string, b string")
+    found = sol.with_shared_cuts(pairs, "a", "b", 30_000)
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+    near = F.filter(pep.prefix_mass_array(F.col("a")), lambda x: F.exists(pep.prefix_mass_array(F.col("b")), lambda y: F.abs(x - y) <= 30_000))
+    want = pairs.select("a", "b", (F.size(near) / F.size(pep.prefix_mass_array(F.col("a")))).alias("share"))
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    hits = spark.createDataFrame([(1, "GAS", 9), (1, "GAP", 5), (1, "KK", 3), (2, "V", 4)], "spectrum_id bigint, seq string, score bigint")
+    again = sol.recalibrate_hits(hits, 5_000, 0.6)
+    assert [tuple(r) for r in again.orderBy("spectrum_id", "rank").collect()] == [(1, "GAS", 9, 1, 4, 6), (1, "GAP", 5, 2, -4, None), (1, "KK", 3, 3, -6, None), (2, "V", 4, 1, 4, 4)]
+    assert again._jdf.queryExecution().optimizedPlan().toString().count("max(score") == 1
