@@ -241,16 +241,16 @@ TRUE_NODES = f"""SELECT n.spectrum_id, n.mass_u, n.score, CAST(CASE WHEN n.mass_
 
 
 def true_nodes(t):
-    from peakloom.functions.band import band_join
+    from peakloom.functions.band import with_match
 
+    parts = t.peak_parts()
     nodes, _, _ = t.graph()
-    cuts = t.cuts().select(ID, F.col("cut_u").alias("near_u"))
-    hit = band_join(nodes.select(ID, "mass_u"), cuts, [ID], F.col("mass_u") - ION_TOL, F.col("mass_u") + ION_TOL, "near_u", 4 * ION_TOL)
-    flags = hit.select(ID, "mass_u").distinct().withColumn("hit", F.lit(True))
+    cuts = t.cuts().select(ID, F.col("cut_u").alias("mass_u"))
+    marked = with_match(nodes.select(ID, "mass_u", "score"), cuts, ID, "mass_u", ION_TOL, "is_true", parts=parts)
     info = t.spectra().select(ID, "charge", "pm_u").join(pk.peak_range(t.peak_list()), ID)
     region = pk.classify_region(F.col("mass_u"), F.col("pm_u"), F.col("charge"), F.col("lo_u"), F.col("hi_u"))
-    joined = nodes.join(info, ID).join(flags, [ID, "mass_u"], "left")
-    return joined.select(ID, "mass_u", "score", region.alias("region"), F.coalesce("hit", F.lit(False)).alias("is_true"))
+    joined = marked.repartition(parts, ID).hint("merge").join(info.repartition(parts, ID), ID)
+    return joined.select(ID, "mass_u", "score", region.alias("region"), "is_true")
 
 
 GRID = list(range(-5, 36, 2))

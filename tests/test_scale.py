@@ -291,3 +291,45 @@ def test_shared_cuts_are_counted_without_a_lambda_for_each_row(spark):
     again = sol.recalibrate_hits(hits, 5_000, 0.6)
     assert [tuple(r) for r in again.orderBy("spectrum_id", "rank").collect()] == [(1, "GAS", 9, 1, 4, 6), (1, "GAP", 5, 2, -4, None), (1, "KK", 3, 3, -6, None), (2, "V", 4, 1, 4, 4)]
     assert again._jdf.queryExecution().optimizedPlan().toString().count("max(score") == 1
+
+
+def test_parts_of_graph_nodes_follow_the_peaks(spark, monkeypatch):
+    import re
+
+    from peakloom.plans import bindings
+    from peakloom.plans.stat_plans import true_nodes
+
+    monkeypatch.setattr(bindings, "PEAKS_IN_PART", 250)
+    plan = true_nodes(bindings.Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    # all else that is shuffled by a spectrum is a mass range of each or the table of spectra
+    ranges = re.findall(r"Exchange hashpartitioning\(spectrum_id.*?ENSURE_REQUIREMENTS", plan)
+    assert plan.count(", 25), REPARTITION_BY_NUM") == 6 and len(ranges) <= 1 and "run#" not in "".join(ranges)
+
+
+def test_match_within_a_tolerance_lays_out_no_pair(spark):
+    from peakloom.functions.band import with_match
+
+    rng = random.Random(8)
+    rows = [(rng.randrange(4), rng.randrange(5000), i) for i in range(300)] + [(9, 10, 300), (0, 77, 301), (0, 77, 301)]
+    points = [(rng.randrange(4), rng.randrange(5000)) for _ in range(60)] + [(0, 92), (8, 5)]
+    left, right = spark.createDataFrame(rows, "k int, at bigint, n int"), spark.createDataFrame(points, "k int, at bigint")
+    want = sorted((k, a, n, any(k == q and abs(a - p) <= 15 for q, p in points)) for k, a, n in rows)
+    for spread, parts in ((1, None), (32, 5)):
+        found = with_match(left, right, "k", "at", 15, "hit", spread, parts)
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(tuple, found.collect())) == want
+    assert [tuple(r) for r in with_match(left.limit(1), right.limit(0), "k", "at", 15, "hit").select("hit").collect()] == [(False,)]
+
+
+def test_sums_of_runs_need_no_run_of_each_point(spark):
+    from pyspark.sql import functions as F
+
+    from peakloom.operators import peaks as pk
+
+    rng = random.Random(4)
+    df = spark.createDataFrame([(rng.randrange(3), rng.randrange(900), rng.randrange(9)) for _ in range(200)] + [(7, 3, 1)], "k int, x bigint, v bigint")
+    for gap in (0, 3, 10):
+        want = pk.sessionize(df, ["k"], "x", gap).groupBy("k", "run").agg(F.sum("v"), F.sum("x"))
+        found = pk.run_sums(df, ["k"], "x", gap, {"v": F.col("v"), "x": F.col("x")})
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
