@@ -39,7 +39,11 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
     sizes = np.fromiter(map(len, w), np.int64, len(w))
     ends = np.cumsum(sizes + 1) - 1
     starts = (ends - sizes)[: len(w) - words + 1].tolist()
-    hashes = np.array([digest(line[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist())], np.uint64)
+    return majority(np.array([digest(line[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist())], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     ones = np.zeros(64, np.int64)
     for a in range(0, len(hashes), 1 << 14):
         bits = np.unpackbits(hashes[a : a + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
