@@ -51,10 +51,13 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        fps = np.fromiter((fingerprint(t) for t in batch.column(2).to_pylist()), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "row", "fp"])
+def _fingerprints(words: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.fromiter((fingerprint(t, words) for t in batch.column(2).to_pylist()), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "row", "fp"])
+
+    return run
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -180,11 +183,11 @@ def near_links(fps: DataFrame, n: int, radius: int = RADIUS, shard_points: int =
     return routed.groupBy("shard").applyInArrow(_stars(radius), "a bigint, b bigint")
 
 
-def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: str | None = None) -> DataFrame:
+def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: str | None = None, words: int = WORDS) -> DataFrame:
     """(doc_id, row, fp) of every row, stored; a null text has no words."""
     number = F.monotonically_increasing_id() if row is None else F.col(row)
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), number.alias("row"), text_bytes(text_col).alias("t"))
-    return stored(base.mapInArrow(_fingerprints, "doc_id bigint, row bigint, fp bigint"), "fingerprints")
+    return stored(base.mapInArrow(_fingerprints(words), "doc_id bigint, row bigint, fp bigint"), "fingerprints")
 
 
 def simhash_groups(

@@ -130,3 +130,25 @@ def test_stage_searches_trees(spark, monkeypatch):
     kept = sorted(r.doc_id for r in near_dedup.keep_one(df, task_bytes=20_000).collect())
     assert kept == plain_kept(docs) == [0, 40]
     assert searched and searched[0] > 2 and rest == [0]
+
+
+def test_trees_search_all_texts(spark, monkeypatch):
+    """Texts that no shingle joins to others get a fingerprint and a place in the trees like all others."""
+    rng = random.Random(4)
+    texts = near_texts(rng, 2, 3) + [" ".join(f"t{i}w{k}" for k in range(40)) for i in range(30)] + ["", "one"]
+    docs = list(enumerate(texts))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    searched, links = [], near_dedup.simhash.near_links
+    monkeypatch.setattr(near_dedup.simhash, "near_links", lambda fps, n, *a: searched.append({r.fp for r in fps.collect()}) or links(fps, n, *a))
+    assert sorted(r.doc_id for r in near_dedup.keep_one(df).collect()) == plain_kept(docs)
+    want = {near_dedup.simhash.fingerprint(t.encode(), near_dedup.WORDS) for t in texts}
+    assert [{fp % 2**64 for fp in s} for s in searched] == [want] and len(want) > 30
+
+
+def test_groups_of_all_trees_are_checked():
+    """What the trees over all texts put together is linked only where the similarity holds."""
+    rng = random.Random(2)
+    sets = [near_dedup.shingles(t.encode()) for t in near_texts(rng, 3, 5)]
+    exact = near_dedup.similar_groups(sets)
+    for near in (np.zeros(len(sets), np.int64), np.arange(len(sets)), rng.choices(range(3), k=len(sets))):
+        assert near_dedup.tree_groups(sets, np.array(near)).tolist() == exact.tolist()
