@@ -333,3 +333,58 @@ def test_sums_of_runs_need_no_run_of_each_point(spark):
         found = pk.run_sums(df, ["k"], "x", gap, {"v": F.col("v"), "x": F.col("x")})
         assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
+def similar_frames(spark, n=200):
+    rng = random.Random(21)
+    lists = {s: {rng.randrange(0, 2000) * 40: rng.randrange(1, 30) for _ in range(rng.randrange(1, 12))} for s in range(n)}
+    lists |= {n + s: lists[s] for s in range(0, n, 5)}  # copies
+    place = {s: (rng.randrange(0, 300), rng.choice([1, 2])) for s in range(n)}
+    spectra = spark.createDataFrame([(s, *place[s % n if s < n else s - n]) for s in lists], "spectrum_id bigint, mz_u bigint, charge int")
+    peaks = spark.createDataFrame([(s, m, i) for s, p in lists.items() for m, i in p.items()], "spectrum_id bigint, mass_u bigint, intensity bigint")
+    return spectra, peaks
+
+
+def test_representatives_need_no_second_search_of_pairs(spark, monkeypatch):
+    """Similarity sums come with the links, whatever the units and slices are, and equal those over all pairs."""
+    spectra, peaks = similar_frames(spark)
+    copies = sim.fold_copies(spectra, peaks)
+    pairs = sim.similar_pairs(spectra, peaks, 50, 900, 700, 0.3)
+    want = sorted(tuple(r) for r in sim.representatives(sim.clusters(pairs), pairs, copies).collect())
+    assert len(want) > 5 and max(r[2] for r in want) > 3_000_000
+    for weight, most in ((1 << 21, 10_000), (300, 10_000), (300, 8)):
+        monkeypatch.setattr(sim, "UNIT_WEIGHT", weight)
+        monkeypatch.setattr(sim, "SEEN_AT_ONCE", weight)
+        scored = sim.scored_pairs
+        monkeypatch.setattr(sim, "scored_pairs", lambda *a, **k: scored(*a, **k, most_peaks=most))
+        found = sim.similar_pairs(spectra, peaks, 50, 900, 700, 0.3, True, copies).cache()
+        monkeypatch.setattr(sim, "scored_pairs", scored)
+        assert sorted(tuple(r) for r in sim.representatives(sim.clusters(found), found, copies).collect()) == want
+        assert weight == 300 or found.filter("b is not null").count() < pairs.count()
+        found.unpersist()
+
+
+def test_a_spectrum_goes_to_two_units_while_its_cell_is_one_part(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(s, s % 2000, 1, 30) for s in range(8000)]
+    placed = sim._placed(spark.createDataFrame(rows, "spectrum_id bigint, mz_u bigint, charge int, n int"), 50).join(spark.createDataFrame([(s, 30) for s, *_ in rows], "spectrum_id bigint, n int"), "spectrum_id")
+    laid = sim._laid(placed, F.col("n") * 40)  # 240,000 a cell: two parts as they were
+    assert laid.count() <= 2 * len(rows)
+    pairs = laid.select("spectrum_id", "unit.*").groupBy("at", "kind", "i", "j").agg(F.count("*").alias("n"))
+    assert pairs.filter("kind = 1").count() == 39 and pairs.filter("kind = 0").count() == 1
+
+
+def test_forest_scores_no_pair_that_is_joined(monkeypatch):
+    import pyarrow as pa
+
+    n, scored, plain = 300, [], sim._Lists.matched
+    monkeypatch.setattr(sim._Lists, "matched", lambda self, a, b, tol: scored.append(len(a)) or plain(self, a, b, tol))
+    p = pa.array([[{"mass_u": 1000 + i, "intensity": 5}, {"mass_u": 5000, "intensity": 9}] for i in range(n)], pa.list_(pa.struct({"mass_u": pa.int64(), "intensity": pa.int64()})))
+    one = {"spectrum_id": pa.array(range(n)), "mz_u": pa.array([7] * n), "p": p, "side": pa.array([0] * n, pa.int32()), "inner": pa.array([True] * n)}
+    batch = pa.RecordBatch.from_pydict(one)
+    links = sum(len(b) for b in sim._scored_unit(50, 400, 300, 0.2, True, False)(iter([batch])))
+    first = sum(scored)
+    whole = sum(len(b) for b in sim._scored_unit(50, 400, 300, 0.2, False, False)(iter([batch])))
+    assert links == n - 1 and whole == n * (n - 1) // 2 == sum(scored) - first
+    assert first < whole / 10
