@@ -388,3 +388,50 @@ def test_forest_scores_no_pair_that_is_joined(monkeypatch):
     whole = sum(len(b) for b in sim._scored_unit(50, 400, 300, 0.2, False, False)(iter([batch])))
     assert links == n - 1 and whole == n * (n - 1) // 2 == sum(scored) - first
     assert first < whole / 10
+
+
+def test_complement_pairs_shuffle_no_probes(spark):
+    from peakloom.functions import mass
+    from peakloom.operators import peaks as pk
+
+    rng = random.Random(14)
+    rows = [(s, rng.randrange(0, 2000) * 1000, rng.randrange(1, 50)) for s in range(6) for _ in range(60)] + [(None, 5, 1), (1, None, 2)]
+    sums = [(s, move, 1_900_000 + 40_000 * s + move) for s in range(6) for move in (0, 7000)] + [(2, 3, None)]
+    peaks = spark.createDataFrame(rows, "spectrum_id bigint, mass_u bigint, intensity bigint")
+    given = spark.createDataFrame(sums, "spectrum_id bigint, move int, sum_u bigint")
+    found = pk.complement_pairs(peaks, given, 3_000, list(pk.PAIR_VARIANTS), ["spectrum_id", "move"])
+    want = []
+    for s, move, total in sums:
+        own = [(m, i) for q, m, i in rows if q == s and m is not None and total is not None]
+        for name, (k, p, w, i) in pk.PAIR_VARIANTS.items():
+            for a, ia in own:
+                wanted = (total or 0) + p * mass.PROTON - w * mass.WATER + i * mass.ISOTOPE_STEP - k * a
+                want += [(s, move, name, a, b, ia, ib, b - wanted) for b, ib in own if abs(b - wanted) <= 3_000 and (a < b if k == 1 else a != b)]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want) and len(want) > 300
+    # neither a row for each variant nor buckets of intervals
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert " _b#" not in plan and "[_b#" not in plan and "single_water" not in plan.split("MapInArrow")[-1]
+    stats = pk.complement_stats(found, ["spectrum_id", "move"])
+    assert stats._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") <= 1
+    assert sum(r.n_pairs for r in stats.collect()) == len(want)
+
+
+def test_substrings_of_a_mass_make_no_row_for_each_start(spark, monkeypatch):
+    from peakloom.functions import mass
+    from peakloom.operators import peptide as pep
+
+    monkeypatch.setattr(pep, "LETTERS_AT_ONCE", 100)
+    rng = random.Random(15)
+    rows = [(i, "".join(rng.choice("GASPVTXé\n𝄞") for _ in range(rng.randrange(0, 90)))) for i in range(40)] + [(90, None), (91, ""), (92, "GG"), (93, "G")]
+    target, tol = 2 * mass.RESIDUE_MASS["G"], 150_000
+    want = []
+    for name, seq in rows:
+        for i in range(len(seq or "")):
+            total, j = 0, i
+            while j < len(seq) and total < target - tol:
+                total, j = total + mass.RESIDUE_MASS.get(seq[j], 10**12), j + 1
+            if target - tol <= total <= target + tol:
+                want.append((name, i, seq[i:j], total))
+    found = pep.candidates_with_mass(spark.createDataFrame(rows, "protein_id bigint, seq string").repartition(2), target, tol)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want) and len(want) > 20
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
