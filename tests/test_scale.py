@@ -435,3 +435,25 @@ def test_substrings_of_a_mass_make_no_row_for_each_start(spark, monkeypatch):
     found = pep.candidates_with_mass(spark.createDataFrame(rows, "protein_id bigint, seq string").repartition(2), target, tol)
     assert sorted(tuple(r) for r in found.collect()) == sorted(want) and len(want) > 20
     assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nodes_of_candidate_masses_are_merged_where_the_peaks_are(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(16)
+    strong = spark.createDataFrame([(s, rng.randrange(400_000, 9_000_000), rng.randrange(1, 50)) for s in range(5) for _ in range(60)], "own bigint, mass_u bigint, intensity bigint").distinct()
+    graphs = spark.createDataFrame([(s, s * 16 + i, 9_500_000 + 10_033 * i) for s in range(5) for i in range(3)], "own bigint, spectrum_id bigint, pm_u bigint")
+    laid = strong.join(graphs, "own").select("spectrum_id", "mass_u", "intensity")
+    plain = graph.merge_close_nodes(graph.fragment_nodes(laid, graphs), 50_000)
+    plans, cut = [], graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    found = graph.merge_close_nodes(graph.fragment_nodes(strong, graphs, 3, "own"), 50_000, by="own")
+    for a, b in zip(found, plain):
+        assert sorted(map(str, a.select(*sorted(a.columns)).collect())) == sorted(map(str, b.select(*sorted(b.columns)).collect()))
+    # one table is stored; besides the two that are joined nothing is shuffled
+    assert len(plans) == 1 and sum("REPARTITION_BY_NUM" in line for line in plans[0].splitlines()) == 2 and plans[0].count("SortMergeJoin") == 1
+    assert plans[0].split("SortMergeJoin")[0].count("Exchange") == 0
+    barred = graph.forbidden_pairs(found[1], 5_000)
+    b, y = (found[1].filter(F.col("ion") == i).select("spectrum_id", "peak_u", "pm_u", F.col("mass_u").alias(i)) for i in "by")
+    want = b.join(y.drop("pm_u"), ["spectrum_id", "peak_u"]).filter("b <> y and abs(b + y - pm_u + 10073) <= 7500").selectExpr("spectrum_id", "least(b, y)", "greatest(b, y)").distinct()
+    assert sorted(map(tuple, barred.collect())) == sorted(map(tuple, want.collect())) and want.count() > 10
